@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import jaccard
@@ -79,40 +81,44 @@ def token_set_pairs(sets: DataFrame, key: str, tokens: str, threshold: float,
 
 
 # --- cosine ------------------------------------------------------------------------------------
-def unit(vector: Column) -> Column:
-    wide = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(wide, lambda x: F.try_divide(x, norm))
-
-
 def dot(a: str, b: str, dim: int) -> Column:
     """Unrolled dot product: one arithmetic expression inside whole-stage code."""
     return F.expr(" + ".join(f"{a}[{i}]*{b}[{i}]" for i in range(dim)))
 
 
-def _dim(vectors: DataFrame, vector: str) -> int:
-    row = vectors.select(F.size(vector).alias("n")).first()
-    return row["n"] if row else 0
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    m = np.array(vectors.tolist(), dtype=np.float64)
+    norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+
+
+def unit(vector: Column) -> Column:
+    """Vector scaled to length one (Arrow batches; the result is materialised once per row)."""
+    @F.pandas_udf("array<double>")
+    def scale(v: pd.Series) -> pd.Series:
+        return pd.Series(list(_matrix(v)))
+    return scale(vector)
 
 
 def _pivots(vectors: DataFrame, key: str, vector: str, count: int) -> list[list[float]]:
     """A fixed number of vectors chosen by key hash; bounded driver data."""
-    rows = vectors.orderBy(F.xxhash64(key), key).limit(count).select(vector).collect()
+    rows = (vectors.select(key, vector, F.xxhash64(key).alias("h")).orderBy("h", key).limit(count)
+            .select(vector).collect())
     return [list(r[0]) for r in rows]
 
 
-def _with_cells(vectors: DataFrame, vector: str, pivots, reach: float) -> DataFrame:
-    """Add the nearest-pivot cell and all cells a neighbour within ``reach`` may live in."""
-    distances = F.array(*[
-        F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) - F.lit(2.0) * F.aggregate(
-            F.zip_with(vector, F.array(*[F.lit(float(x)) for x in p]), lambda u, v: u * v),
-            F.lit(0.0), lambda s, x: s + x))) for p in pivots])
-    with_d = vectors.withColumn("_d", distances)
-    nearest = F.array_min("_d")
-    return (with_d.withColumn("home", (F.array_position("_d", nearest) - 1).cast("int"))
-            .withColumn("cells", F.filter(
-                F.transform("_d", lambda d, i: F.when(d - nearest <= 2 * reach + 1e-9, i)),
-                lambda c: c.isNotNull())).drop("_d"))
+def _cells(pivots: list[list[float]], reach: float):
+    """Arrow function: vector -> (unit vector, nearest pivot, pivots a partner may belong to)."""
+    centres = _matrix(pd.Series(pivots))
+
+    @F.pandas_udf("struct<u: array<double>, home: int, cells: array<int>>")
+    def assign(v: pd.Series) -> pd.DataFrame:
+        u = _matrix(v)
+        d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (u @ centres.T)))
+        near = d <= d.min(axis=1, keepdims=True) + 2 * reach + 1e-9
+        return pd.DataFrame({"u": list(u), "home": d.argmin(axis=1).astype("int32"),
+                             "cells": [np.flatnonzero(r).astype("int32") for r in near]})
+    return assign
 
 
 def cosine_matches(queries: DataFrame, store: DataFrame, threshold: float, query_id: str = "id",
@@ -124,17 +130,15 @@ def cosine_matches(queries: DataFrame, store: DataFrame, threshold: float, query
     can hold a partner, so no pair is missed. Skewed cells are split by adaptive execution.
     """
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
-    q = queries.select(F.col(query_id).alias("query_id"), unit(F.col(vector)).alias("qv"))
-    s = store.select(F.col(store_id).alias("match_id"), unit(F.col(vector)).alias("sv"))
-    dim = _dim(s, "sv")
-    centres = _pivots(s, "match_id", "sv", pivots)
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
+    s = store.select(F.col(store_id).alias("match_id"), F.col(vector).alias("v"))
+    centres = _pivots(s, "match_id", "v", pivots)
     if not centres:
-        return q.join(s, F.lit(False)).select("query_id", "match_id", F.lit(0.0).alias("score"))
-    probe = _with_cells(q, "qv", centres, reach).select(
-        "query_id", "qv", F.col("home").alias("cell"))
-    build = _with_cells(s, "sv", centres, reach).select(
-        "match_id", "sv", F.explode("cells").alias("cell"))
-    score = dot("qv", "sv", dim)
+        return s.select(F.col("match_id").alias("query_id"), "match_id", F.lit(0.0).alias("score")).limit(0)
+    assign = _cells(centres, reach)
+    probe = q.withColumn("c", assign("v")).select("query_id", F.col("c.u").alias("qv"), F.col("c.home").alias("cell"))
+    build = s.withColumn("c", assign("v")).select("match_id", F.col("c.u").alias("sv"), F.explode("c.cells").alias("cell"))
+    score = dot("qv", "sv", len(centres[0]))
     return (probe.join(build, "cell").filter(F.col("query_id") != F.col("match_id"))
             .withColumn("score", score).filter(F.col("score") >= threshold)
             .select("query_id", "match_id", "score"))

@@ -1,0 +1,4 @@
+"""Named queries over the given tables, each with its SQL equivalent where SQL can say it."""
+
+from . import queries_news  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
