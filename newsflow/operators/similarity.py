@@ -81,9 +81,7 @@ def token_set_pairs(sets: DataFrame, key: str, tokens: str, threshold: float,
 
 
 # --- cosine ------------------------------------------------------------------------------------
-def dot(a: str, b: str, dim: int) -> Column:
-    """Unrolled dot product: one arithmetic expression inside whole-stage code."""
-    return F.expr(" + ".join(f"{a}[{i}]*{b}[{i}]" for i in range(dim)))
+BLOCK_ROWS = 4096
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -127,7 +125,8 @@ def cosine_matches(queries: DataFrame, store: DataFrame, threshold: float, query
     """(query_id, match_id, score) for every pair with cosine >= threshold, identities left out.
 
     Unit vectors are split into cells around pivots; the triangle inequality says which cells
-    can hold a partner, so no pair is missed. Skewed cells are split by adaptive execution.
+    can hold a partner, so no pair is missed. A crowded cell is cut into blocks of about
+    ``BLOCK_ROWS`` rows a side that are multiplied in separate tasks.
     """
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
@@ -138,10 +137,32 @@ def cosine_matches(queries: DataFrame, store: DataFrame, threshold: float, query
     assign = _cells(centres, reach)
     probe = q.withColumn("c", assign("v")).select("query_id", F.col("c.u").alias("qv"), F.col("c.home").alias("cell"))
     build = s.withColumn("c", assign("v")).select("match_id", F.col("c.u").alias("sv"), F.explode("c.cells").alias("cell"))
-    score = dot("qv", "sv", len(centres[0]))
-    return (probe.join(build, "cell").filter(F.col("query_id") != F.col("match_id"))
-            .withColumn("score", score).filter(F.col("score") >= threshold)
-            .select("query_id", "match_id", "score"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*probe.schema.fields, *build.schema.fields]}
+
+    def blocks(side: DataFrame) -> Column:  # one count per cell; there are at most ``pivots``
+        rows = side.groupBy("cell").count().collect()
+        table = F.create_map(*[F.lit(x) for r in rows for x in (r["cell"], math.ceil(r["count"] / BLOCK_ROWS))]) \
+            if rows else F.create_map().cast("map<int,int>")
+        return F.coalesce(F.try_element_at(table, F.col("cell")), F.lit(0))
+
+    np_, nb_ = blocks(probe), blocks(build)
+    left = (probe.withColumn("p", F.pmod(F.xxhash64("query_id"), np_))
+            .withColumn("b", F.explode(F.sequence(F.lit(1), nb_))).filter("b > 0"))
+    right = (build.withColumn("b", F.pmod(F.xxhash64("match_id"), nb_) + 1)
+             .withColumn("p", F.explode(F.sequence(F.lit(0), np_ - 1))).filter("p >= 0")
+             .withColumn("b", F.col("b").cast("int")).withColumn("p", F.col("p").cast("bigint")))
+
+    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query_id": [], "match_id": [], "score": []})
+        scores = np.array(a["qv"].tolist()) @ np.array(b["sv"].tolist()).T
+        i, j = np.nonzero(scores >= threshold)
+        hits = pd.DataFrame({"query_id": a["query_id"].to_numpy()[i], "match_id": b["match_id"].to_numpy()[j],
+                             "score": scores[i, j]})
+        return hits[hits["query_id"] != hits["match_id"]]
+
+    return (left.groupBy("cell", "p", "b").cogroup(right.groupBy("cell", "p", "b"))
+            .applyInPandas(multiply, f"query_id {kinds['query_id']}, match_id {kinds['match_id']}, score double"))
 
 
 def similar_topk(queries: DataFrame, store: DataFrame, threshold: float, k: int, **cols) -> DataFrame:
@@ -155,9 +176,12 @@ def max_similarity(queries: DataFrame, store: DataFrame, threshold: float = 0.0,
     return hits.groupBy("query_id").agg(F.max("score").alias("max_similarity"))
 
 
-def pair_similarity(pairs: DataFrame, a: str, b: str, dim: int) -> DataFrame:
-    return (pairs.withColumn("_a", unit(F.col(a))).withColumn("_b", unit(F.col(b)))
-            .withColumn("similarity", dot("_a", "_b", dim)).drop("_a", "_b"))
+def pair_similarity(pairs: DataFrame, a: str, b: str, out: str = "similarity") -> DataFrame:
+    """Cosine of two vector columns."""
+    @F.pandas_udf("double")
+    def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series((_matrix(x) * _matrix(y)).sum(axis=1))
+    return pairs.withColumn(out, cosine(a, b))
 
 
 def history_threshold(score: float) -> float:

@@ -158,7 +158,7 @@ def fund_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     main = F.col("super_net") + F.col("big_net")
     return g.select("ticker", "date", main.alias("main_net"), F.lit(0.0).alias("main_in_flow"), "super_net", "big_net",
                     "mid_net", "small_net", F.coalesce(F.round(F.try_divide(main * 100, gross), 2), F.lit(0.0)).alias("main_pct"),
-                    F.round("raw_close", 2).alias("close"), F.lit(0.0).alias("change_pct"))
+                    (F.floor(F.col("raw_close") * 100 + 0.5) / 100).alias("close"), F.lit(0.0).alias("change_pct"))
 
 
 def sector_stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +202,7 @@ VIEW_SQL = {
  FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2""",
     "v_flow": """SELECT ticker, date, super_net + big_net AS main_net, 0.0::DOUBLE AS main_in_flow, super_net, big_net, mid_net, small_net,
  coalesce(round((super_net + big_net) * 100 / nullif(abs(super_net) + abs(big_net) + abs(mid_net) + abs(small_net), 0), 2), 0) AS main_pct,
- round(raw_close, 2) AS close, 0.0::DOUBLE AS change_pct FROM (
+ floor(raw_close * 100 + 0.5) / 100 AS close, 0.0::DOUBLE AS change_pct FROM (
  SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
  sum(CASE WHEN l_quantity >= 40 THEN a ELSE 0 END) AS super_net, sum(CASE WHEN l_quantity >= 25 AND l_quantity < 40 THEN a ELSE 0 END) AS big_net,
  sum(CASE WHEN l_quantity >= 10 AND l_quantity < 25 THEN a ELSE 0 END) AS mid_net, sum(CASE WHEN l_quantity < 10 THEN a ELSE 0 END) AS small_net,

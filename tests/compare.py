@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+import signal
 import sys
 import time
 from datetime import date, datetime
@@ -65,8 +66,9 @@ def compare(spark, con, name, fn, oracle, sf_dir):
     got, want = rows_of(df.columns, got_rows), rows_of(cols, want_rows)
     if got == want:
         return True, message
-    only_got = [r for r in got if r not in set(want)][:3]
-    only_want = [r for r in want if r not in set(got)][:3]
+    seen, expected = set(got), set(want)
+    only_got = [r for r in got if r not in expected][:3]
+    only_want = [r for r in want if r not in seen][:3]
     return False, f"{message} want {len(want)} rows; {sorted(cols)}\n   spark {only_got}\n   sql   {only_want}"
 
 
@@ -77,8 +79,14 @@ def main() -> int:
     sf_dir = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     spark, con = session(), connect(sf_dir)
     bad = 0
+
+    def late(*_):
+        raise TimeoutError("over 120 s")
+
+    signal.signal(signal.SIGALRM, late)
     for name in args or list(QUERIES):
         try:
+            signal.alarm(120)
             if name in ORACLES:
                 ok, message = compare(spark, con, name, QUERIES[name], ORACLES[name], sf_dir)
             else:
@@ -87,6 +95,8 @@ def main() -> int:
                 ok, message = True, f"{name}: {n} rows, spark {time.time() - t0:.1f}s (rows only)"
         except Exception as e:  # noqa: BLE001
             ok, message = False, f"{name}: {type(e).__name__} {str(e)[:700]}"
+        finally:
+            signal.alarm(0)
         bad += not ok
         print("ok  " if ok else "FAIL", message, flush=True)
     print(f"{bad} failed")
