@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 from . import dictionaries as D
 from . import entities as E
 from . import signal_words as S
-from .text import any_of, contains_any, empty, is_chinese_dominant, matches_any
+from .text import any_of, contains_any, empty, is_chinese_dominant, matches_any, matches_word
 
 
 def _lowered(words) -> list[str]:
@@ -25,7 +25,7 @@ def is_noise_title(c: Column, words=D.NOISE_TITLE_WORDS) -> Column:
 def geo_market_multiplier(c: Column) -> Column:
     """1.0 unless the text is about a political hot spot without a US-market connector."""
     low = F.lower(c)
-    named = low.rlike(r"(?iU)\b(?:" + "|".join(D.HOTSPOT_NAMES) + r")\b")
+    named = matches_word(low, D.HOTSPOT_NAMES)
     party = contains_any(c, D.HOTSPOT_PARTY)
     hot = named | party | contains_any(c, D.HOTSPOT_NAMES_CJK)
     connected = contains_any(low, _lowered(D.US_MARKET_CONNECTORS))
@@ -40,8 +40,8 @@ def geo_tier_weight(c: Column, has_tickers: Column, extra_patterns=(), extra_wor
     ``extra_patterns`` and ``extra_words`` add regions to the built-in core list.
     """
     low = F.lower(c)
-    us = matches_any(low, D.US_TIER_PATTERNS, "(?iU)") | contains_any(c, D.US_TIER_CJK)
-    abroad = (matches_any(low, [*D.NON_US_PATTERNS, *extra_patterns], "(?iU)")
+    us = matches_word(low, D.US_TIER_PATTERNS) | contains_any(c, D.US_TIER_CJK)
+    abroad = (matches_word(low, [*D.NON_US_PATTERNS, *extra_patterns])
               | contains_any(c, [*D.NON_US_CJK, *extra_words]))
     return F.when(has_tickers | empty(c) | us, 1.0).when(abroad, 0.25).otherwise(1.0)
 

@@ -7,28 +7,40 @@ import re
 from pyspark.sql import Column, functions as F
 
 from . import strategic_words as W
-from .text import any_of, matches_any
+from .text import matches_any
 
 HIGH, MEDIUM = 0.85, 0.65
 MATCH = "array<struct<conf:double,seq:int,category:string,text:string>>"
 
 
-def _bonus(word: Column, rules) -> Column:
-    total = F.lit(0.0)
-    for value, fragments in rules:
-        total = total + F.when(any_of([word.contains(f) for f in fragments]), value).otherwise(F.lit(0.0))
-    return total
+def _worth(word: str, rules, side: int) -> tuple[float, int]:
+    """(bonus, pair-rule mask) of one dictionary word."""
+    low = word.lower()
+    bonus = sum(value for value, fragments in rules if any(f in low for f in fragments))
+    mask = sum(1 << i for i, rule in enumerate(W.PAIR_RULES) if any(f in low for f in rule[side]))
+    return round(bonus, 6), mask
+
+
+def _entries(words, rules, side: int) -> list[tuple[str, str, float, int]]:
+    return [(w, w.lower(), *_worth(w, rules, side)) for w in dict.fromkeys(words)]
+
+
+def _table(entries) -> Column:
+    return F.array(*[F.struct(F.lit(w).alias("word"), F.lit(low).alias("low"), F.lit(bonus).alias("bonus"),
+                              F.lit(mask).alias("mask")) for w, low, bonus, mask in entries])
+
+
+def _lookup(entries, word: Column) -> Column:
+    """Bonus and mask of a matched word, by its lower-case form."""
+    table = F.create_map(*[x for low, (bonus, mask) in {e[1]: e[2:] for e in entries}.items() for x in (
+        F.lit(low), F.struct(F.lit(bonus).alias("bonus"), F.lit(mask).alias("mask")))])
+    return F.try_element_at(table, F.lower(word))
 
 
 def confidence(entity: Column, action: Column) -> Column:
     """How surely (entity, action) is a strategic event: 0.5 plus bonuses, at most 1."""
-    e, a = F.lower(entity), F.lower(action)
-    pair = F.lit(0.0)
-    for entities, actions in reversed(W.PAIR_RULES):
-        both = any_of([e.contains(x) for x in entities]) & any_of([a.contains(x) for x in actions])
-        pair = F.when(both, W.PAIR_BONUS).otherwise(pair)
-    raw = F.lit(0.5) + _bonus(a, W.ACTION_BONUSES) + _bonus(e, W.ENTITY_BONUSES) + pair
-    return F.least(F.round(raw, 6), F.lit(1.0))
+    pair = F.when(entity["mask"].bitwiseAND(action["mask"]) != 0, W.PAIR_BONUS).otherwise(F.lit(0.0))
+    return F.least(F.round(F.lit(0.5) + action["bonus"] + entity["bonus"] + pair, 6), F.lit(1.0))
 
 
 def _alternation(words) -> str:
@@ -42,37 +54,35 @@ def _found(conf: Column, seq: int, category: str, text: Column) -> Column:
 
 def _government(low: Column, entities, actions) -> Column:
     """Per named entity, the first listed action within 80 characters that is convincing."""
-    entity_table = F.array(*[F.lit(x) for x in dict.fromkeys(entities)])
-    action_table = F.array(*[F.lit(x) for x in dict.fromkeys(actions)])
-    named = F.filter(entity_table, lambda e: F.contains(low, F.lower(e)))
+    named = F.filter(_table(entities), lambda e: F.contains(low, e["low"]))
 
     def first_action(entity: Column) -> Column:
-        start = F.instr(low, F.lower(entity)) + F.length(entity)
-        after = F.substr(low, start, F.lit(80))
-        action = F.get(F.filter(action_table, lambda a: F.contains(after, F.lower(a))
+        after = F.substr(low, F.instr(low, entity["low"]) + F.length(entity["low"]), F.lit(80))
+        action = F.get(F.filter(_table(actions), lambda a: F.contains(after, a["low"])
                                 & (confidence(entity, a) >= MEDIUM)), F.lit(0))
         return F.struct(entity.alias("e"), action.alias("a"))
 
     pairs = F.filter(F.transform(named, first_action), lambda p: p["a"].isNotNull())
     return F.transform(pairs, lambda p: _found(
-        confidence(p["e"], p["a"]), 0, "gov_intervention",
-        F.concat(p["e"], F.lit(" ... "), p["a"])))
+        confidence(p["e"], p["a"]), 0, "gov_intervention", F.concat(p["e"]["word"], F.lit(" ... "), p["a"]["word"])))
 
 
-def _regex_pairs(text: Column, pattern: str, first: int, second: int) -> Column:
+def _regex_pairs(text: Column, pattern: str, entity_group: int, action_group: int, entities, actions) -> Column:
+    """Matched (entity, action) pairs with what each is worth."""
     rx = F.lit("(?iu)" + pattern)
-    return F.arrays_zip(F.regexp_extract_all(text, rx, F.lit(first)).alias("x"),
-                        F.regexp_extract_all(text, rx, F.lit(second)).alias("y"))
-
-
-def _company(text: Column, actions, reach: int, seq: int, category: str, entities,
-             skip_actions=()) -> Column:
-    pattern = f"({_alternation(entities)}).{{0,{reach}}}?({_alternation(actions)})"
-    pairs = F.array_distinct(_regex_pairs(text, pattern, 1, 2))
-    kept = F.filter(pairs, lambda p: confidence(p["x"], p["y"]) >= MEDIUM)
-    if skip_actions:
-        kept = F.filter(kept, lambda p: ~F.lower(p["y"]).isin([a.lower() for a in skip_actions]))
-    return F.transform(kept, lambda p: _found(confidence(p["x"], p["y"]), seq, category,
+    pairs = F.arrays_zip(F.regexp_extract_all(text, rx, F.lit(entity_group)).alias("x"),
+                         F.regexp_extract_all(text, rx, F.lit(action_group)).alias("y"))
+    return F.transform(F.array_distinct(pairs), lambda p: F.struct(
+        p["x"].alias("x"), p["y"].alias("y"), _lookup(entities, p["x"]).alias("e"), _lookup(actions, p["y"]).alias("a")))
+
+
+def _company(text: Column, actions, reach: int, seq: int, category: str, entities, skip=()) -> Column:
+    pattern = f"({_alternation([e[0] for e in entities])}).{{0,{reach}}}?({_alternation([a[0] for a in actions])})"
+    pairs = _regex_pairs(text, pattern, 1, 2, entities, actions)
+    kept = F.filter(pairs, lambda p: confidence(p["e"], p["a"]) >= MEDIUM)
+    if skip:
+        kept = F.filter(kept, lambda p: ~F.lower(p["y"]).isin([w.lower() for w in skip]))
+    return F.transform(kept, lambda p: _found(confidence(p["e"], p["a"]), seq, category,
                                               F.concat(p["x"], F.lit(" ... "), p["y"])))
 
 
@@ -81,27 +91,29 @@ def strategic_matches(text: Column, government=W.GOVERNMENT_ENTITIES, company=W.
                       policy=W.POLICY_ACTIONS, endorsement=W.ENDORSEMENT_ACTIONS,
                       threat=W.THREAT_ACTIONS, exclusions=W.EXCLUSION_PATTERNS) -> Column:
     """Array of (conf, seq, category, text), most confident first; empty when none."""
-    actions = [*investment, *subsidy, *policy, *endorsement]
+    gov = _entries(government, W.ENTITY_BONUSES, 0)
+    firm = _entries(company, W.ENTITY_BONUSES, 0)
+    acts = _entries([*investment, *subsidy, *policy, *endorsement], W.ACTION_BONUSES, 1)
+    praise, threats = (_entries(w, W.ACTION_BONUSES, 1) for w in (endorsement, threat))
     low = F.lower(text)
-    gov_words, act_words = _alternation(government), _alternation(actions)
+    nothing = F.array().cast(MATCH)
     links = "|".join(W.PASSIVE_LINKS)
+    passive_rx = (f"({_alternation([a[0] for a in acts])}).{{0,15}}?({links}).{{0,15}}?"
+                  f"({_alternation([g[0] for g in gov])})")
     passive = F.transform(
-        F.filter(_regex_pairs(text, f"({act_words}).{{0,15}}?({links}).{{0,15}}?({gov_words})", 1, 3),
-                 lambda p: confidence(p["y"], p["x"]) * 0.9 >= MEDIUM),
-        lambda p: _found(F.round(confidence(p["y"], p["x"]) * 0.9, 6), 1, "gov_intervention",
-                         F.concat(p["x"], F.lit(" by "), p["y"])))
-    nothing = F.array().cast(MATCH)
-    # the two cheap entity tests keep the heavy pattern scans off most texts
-    gov_named = low.rlike("(?u)" + _alternation([g.lower() for g in government]))
-    firm_named = low.rlike("(?u)" + _alternation([c.lower() for c in company]))
-    gov_part = F.when(gov_named, F.concat(_government(low, government, actions), passive)).otherwise(nothing)
+        F.filter(_regex_pairs(text, passive_rx, 3, 1, gov, acts), lambda p: confidence(p["e"], p["a"]) * 0.9 >= MEDIUM),
+        lambda p: _found(F.round(confidence(p["e"], p["a"]) * 0.9, 6), 1, "gov_intervention",
+                         F.concat(p["y"], F.lit(" by "), p["x"])))
+    # cheap tests keep the heavy pattern scans off most texts
+    gov_named = low.rlike("(?u)" + _alternation([g[1] for g in gov]))
+    firm_named = low.rlike("(?u)" + _alternation([f[1] for f in firm]))
+    gov_part = F.when(gov_named, F.concat(_government(low, gov, acts), F.when(low.rlike(links), passive).otherwise(nothing))).otherwise(nothing)
     firm_part = F.when(firm_named, F.concat(
-        _company(text, actions, 80, 2, "nvda_investment", company, endorsement),
-        _company(text, endorsement, 80, 3, "nvda_endorsement", company),
-        _company(text, threat, 60, 4, "nvda_competitive_threat", company))).otherwise(nothing)
-    everything = F.concat(gov_part, firm_part)
+        _company(text, acts, 80, 2, "nvda_investment", firm, endorsement),
+        _company(text, praise, 80, 3, "nvda_endorsement", firm),
+        _company(text, threats, 60, 4, "nvda_competitive_threat", firm))).otherwise(nothing)
     excluded = matches_any(text, exclusions, "(?iU)")
-    kept = F.filter(everything, lambda m: (m["conf"] >= HIGH) | ~excluded)
+    kept = F.filter(F.concat(gov_part, firm_part), lambda m: (m["conf"] >= HIGH) | ~excluded)
     ordered = F.array_sort(kept, lambda a, b: F.when(a["conf"] > b["conf"], -1).when(
         a["conf"] < b["conf"], 1).when(a["seq"] < b["seq"], -1).when(
         a["seq"] > b["seq"], 1).otherwise(0))

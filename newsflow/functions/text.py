@@ -40,6 +40,15 @@ def matches_any(c: Column, patterns, flags: str = "(?i)") -> Column:
     return c.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
 
 
+def matches_word(low: Column, patterns) -> Column:
+    """True where a whole-word pattern occurs in lower-case text.
+
+    The common word boundaries are factored out, so alternatives are tried at word starts only.
+    """
+    bodies = [re.sub(r"^\\b|\\b$", "", p).lower() for p in patterns]
+    return low.rlike(r"(?U)\b(?:" + "|".join(bodies) + r")\b")
+
+
 def max_weight(c: Column, weights: dict[str, float]) -> Column:
     """Highest weight among contained keywords, 0 when there is none."""
     by_weight: dict[float, list[str]] = {}
@@ -374,5 +383,11 @@ def register_sql_functions(spark) -> None:
               "CASE upper(substr(trim(s), -1)) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 ELSE 1e0 END")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator, so that later references do not repeat their work."""
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[c for c in df.columns if c not in columns], made)
+
+
 def with_tokens(df: DataFrame, title: str = "title", out: str = "tokens") -> DataFrame:
     return df.withColumn(out, title_tokens(F.coalesce(F.col(title), F.lit(""))))

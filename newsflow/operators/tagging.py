@@ -100,8 +100,8 @@ def contains_join(docs: DataFrame, dictionary: DataFrame, id_col: str = "news_id
         return docs.select(id_col, F.explode(hits).alias("k")).select(id_col, "k.*")
     size = F.least(F.length("keyword"), F.lit(3))
     keyed = dictionary.withColumn("_anchor", F.lower(F.substr("keyword", F.lit(1), size)))
-    anchors = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_low"), F.lit(1))), lambda i: F.substr("_low", i, n)))))
+    runs = [F.regexp_extract_all("_low", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]
+    anchors = F.array_distinct(F.concat(*runs))
     spread = docs.withColumn("_low", low).select(id_col, "_low", F.explode(anchors).alias("_anchor"))
     return (spread.join(keyed, "_anchor").filter(F.contains(F.col("_low"), F.lower("keyword")))
             .select(id_col, *cols))

@@ -213,7 +213,7 @@ def impact_stats(spark: SparkSession, d: str) -> DataFrame:
     return A.impact_stats(V.assessments(spark, d), V.outcomes(spark, d))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(least((least(abs(l_extendedprice % 7 - 3.5) / 3, 1) * 0.35 + least(l_tax * 200 / 15, 1) * 0.2
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(least((least(abs(sqrt(l_extendedprice) % 7 - 3.5) / 3, 1) * 0.35 + least(l_tax * 200 / 15, 1) * 0.2
  + least(((l_discount * 20 > 0.5)::INT + (l_tax * 20 > 0.5)::INT) / 6, 1) * 0.2 + least((l_discount * 40 + l_tax * 40) / 2 / 8, 1) * 0.25) * 100
  * CASE l_linenumber % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.85 WHEN 2 THEN 0.65 WHEN 3 THEN 0.45 ELSE 0.7 END, 100), 1) AS score FROM lineitem""")
 def outcome_score(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +221,7 @@ def outcome_score(spark: SparkSession, d: str) -> DataFrame:
     breadth = F.element_at(F.array(*[F.lit(b) for b in ("cross_asset", "broad_market", "sector", "single_stock", "other")]), F.col("l_linenumber") % 5 + 1)
     sectors = F.create_map(F.lit("XLK"), F.col("l_discount") * 20, F.lit("XLE"), F.col("l_tax") * 20)
     tickers = F.create_map(F.lit("A"), F.col("l_discount") * 40, F.lit("B"), F.col("l_tax") * 40)
-    s = A.outcome_score(F.col("l_extendedprice") % 7 - 3.5, F.col("l_tax") * 200, sectors, tickers, breadth)
+    s = A.outcome_score(F.sqrt("l_extendedprice") % 7 - 3.5, F.col("l_tax") * 200, sectors, tickers, breadth)
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", s.alias("score"))
 
 

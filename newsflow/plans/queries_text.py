@@ -317,8 +317,8 @@ def protective_scores(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def signal_scores(spark: SparkSession, d: str) -> DataFrame:
     h, t = title(spark, d)
-    n = (h.withColumn("text", t).withColumn("tickers", G.extract_tickers(t)).withColumn("macro_tags", G.tag_words(t, E.MACRO_ALERTS))
-         .withColumn("strategic", Z.strategic_matches(t)).withColumn("is_breaking", T.is_breaking(t)).withColumn("published_at", F.lit(None).cast("timestamp")))
+    n = T.once(h.withColumn("text", t), tickers=G.extract_tickers(t), macro_tags=G.tag_words(t, E.MACRO_ALERTS),
+               strategic=Z.strategic_matches(t), is_breaking=T.is_breaking(t)).withColumn("published_at", F.lit(None).cast("timestamp"))
     s = C.signal_score(n, V.ts(V.AS_OF), ["NVDA"], E.DEFAULT_WATCHLIST)
     return s.select("news_id", "event_type", "timeliness", "novelty", "relevance", "direction", "composite")
 
