@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 from . import dictionaries as D
 from . import entities as E
 from . import signal_words as S
-from .text import any_of, contains_any, empty, is_chinese_dominant, matches_any, matches_word
+from .text import any_of, contains_any, empty, is_chinese_dominant, matches_any, matches_word, struct_array
 
 
 def _lowered(words) -> list[str]:
@@ -144,13 +144,10 @@ def macro_indicator(title: Column, indicators=E.MACRO_INDICATORS,
                     preview=E.PREVIEW_WORDS) -> Column:
     """Struct(keyword, indicator, tier) of the first listed keyword; null for previews."""
     low = F.lower(title)
-    chain = F.when(contains_any(low, _lowered(preview)), F.lit(None))
-    for name, (tier, keywords) in indicators.items():
-        for word in keywords:
-            chain = chain.when(low.contains(word.lower()), F.struct(
-                F.lit(word).alias("keyword"), F.lit(name).alias("indicator"),
-                F.lit(tier).alias("tier")))
-    return chain
+    table = struct_array([{"keyword": w, "indicator": name, "tier": tier, "low": w.lower()}
+                          for name, (tier, keywords) in indicators.items() for w in keywords])
+    first = F.get(F.filter(table, lambda k: F.contains(low, k["low"])), F.lit(0))
+    return F.when(~contains_any(low, _lowered(preview)), first.dropFields("low"))
 
 
 def is_macro_text(text: Column, tag_text: Column, words=S.MACRO_WORDS) -> Column:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from . import strategic_words as W
-from .text import matches_any
+from .text import matches_any, struct_array
 
 HIGH, MEDIUM = 0.85, 0.65
 MATCH = "array<struct<conf:double,seq:int,category:string,text:string>>"
@@ -26,15 +26,12 @@ def _entries(words, rules, side: int) -> list[tuple[str, str, float, int]]:
 
 
 def _table(entries) -> Column:
-    return F.array(*[F.struct(F.lit(w).alias("word"), F.lit(low).alias("low"), F.lit(bonus).alias("bonus"),
-                              F.lit(mask).alias("mask")) for w, low, bonus, mask in entries])
+    return struct_array([{"word": w, "low": low, "bonus": float(b), "mask": m} for w, low, b, m in entries])
 
 
 def _lookup(entries, word: Column) -> Column:
-    """Bonus and mask of a matched word, by its lower-case form."""
-    table = F.create_map(*[x for low, (bonus, mask) in {e[1]: e[2:] for e in entries}.items() for x in (
-        F.lit(low), F.struct(F.lit(bonus).alias("bonus"), F.lit(mask).alias("mask")))])
-    return F.try_element_at(table, F.lower(word))
+    """Dictionary entry of a matched lower-case word."""
+    return F.get(F.filter(_table(entries), lambda e: e["low"] == word), F.lit(0))
 
 
 def confidence(entity: Column, action: Column) -> Column:
@@ -44,7 +41,12 @@ def confidence(entity: Column, action: Column) -> Column:
 
 
 def _alternation(words) -> str:
-    return "|".join(re.escape(w) for w in dict.fromkeys(words))
+    """Alternatives grouped by first character; the listed order decides within a group, as only
+    words of one group can start at one position."""
+    groups: dict[str, list[str]] = {}
+    for word in dict.fromkeys(words):
+        groups.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{re.escape(head)}(?:{'|'.join(re.escape(t) for t in tails)})" for head, tails in groups.items())
 
 
 def _found(conf: Column, seq: int, category: str, text: Column) -> Column:
@@ -67,23 +69,23 @@ def _government(low: Column, entities, actions) -> Column:
         confidence(p["e"], p["a"]), 0, "gov_intervention", F.concat(p["e"]["word"], F.lit(" ... "), p["a"]["word"])))
 
 
-def _regex_pairs(text: Column, pattern: str, entity_group: int, action_group: int, entities, actions) -> Column:
-    """Matched (entity, action) pairs with what each is worth."""
-    rx = F.lit("(?iu)" + pattern)
-    pairs = F.arrays_zip(F.regexp_extract_all(text, rx, F.lit(entity_group)).alias("x"),
-                         F.regexp_extract_all(text, rx, F.lit(action_group)).alias("y"))
-    return F.transform(F.array_distinct(pairs), lambda p: F.struct(
-        p["x"].alias("x"), p["y"].alias("y"), _lookup(entities, p["x"]).alias("e"), _lookup(actions, p["y"]).alias("a")))
+def _regex_pairs(low: Column, pattern: str, entity_group: int, action_group: int, entities, actions) -> Column:
+    """Matched (entity, action) pairs with what each is worth. ``pattern`` has the whole match as
+    group 1; entity and action are read from that short piece."""
+    pieces = F.array_distinct(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)))
+    return F.transform(pieces, lambda m: F.struct(
+        _lookup(entities, F.regexp_extract(m, pattern, entity_group)).alias("e"),
+        _lookup(actions, F.regexp_extract(m, pattern, action_group)).alias("a")))
 
 
-def _company(text: Column, actions, reach: int, seq: int, category: str, entities, skip=()) -> Column:
-    pattern = f"({_alternation([e[0] for e in entities])}).{{0,{reach}}}?({_alternation([a[0] for a in actions])})"
-    pairs = _regex_pairs(text, pattern, 1, 2, entities, actions)
+def _company(low: Column, actions, reach: int, seq: int, category: str, entities, skip=()) -> Column:
+    pattern = f"(({_alternation([e[1] for e in entities])}).{{0,{reach}}}?({_alternation([a[1] for a in actions])}))"
+    pairs = F.array_distinct(_regex_pairs(low, pattern, 2, 3, entities, actions))
     kept = F.filter(pairs, lambda p: confidence(p["e"], p["a"]) >= MEDIUM)
     if skip:
-        kept = F.filter(kept, lambda p: ~F.lower(p["y"]).isin([w.lower() for w in skip]))
+        kept = F.filter(kept, lambda p: ~F.lower(p["a"]["word"]).isin([w.lower() for w in skip]))
     return F.transform(kept, lambda p: _found(confidence(p["e"], p["a"]), seq, category,
-                                              F.concat(p["x"], F.lit(" ... "), p["y"])))
+                                              F.concat(p["e"]["word"], F.lit(" ... "), p["a"]["word"])))
 
 
 def strategic_matches(text: Column, government=W.GOVERNMENT_ENTITIES, company=W.COMPANY_ENTITIES,
@@ -98,20 +100,20 @@ def strategic_matches(text: Column, government=W.GOVERNMENT_ENTITIES, company=W.
     low = F.lower(text)
     nothing = F.array().cast(MATCH)
     links = "|".join(W.PASSIVE_LINKS)
-    passive_rx = (f"({_alternation([a[0] for a in acts])}).{{0,15}}?({links}).{{0,15}}?"
-                  f"({_alternation([g[0] for g in gov])})")
+    passive_rx = (f"(({_alternation([a[1] for a in acts])}).{{0,15}}?({links}).{{0,15}}?"
+                  f"({_alternation([g[1] for g in gov])}))")
     passive = F.transform(
-        F.filter(_regex_pairs(text, passive_rx, 3, 1, gov, acts), lambda p: confidence(p["e"], p["a"]) * 0.9 >= MEDIUM),
+        F.filter(_regex_pairs(low, passive_rx, 4, 2, gov, acts), lambda p: confidence(p["e"], p["a"]) * 0.9 >= MEDIUM),
         lambda p: _found(F.round(confidence(p["e"], p["a"]) * 0.9, 6), 1, "gov_intervention",
-                         F.concat(p["y"], F.lit(" by "), p["x"])))
+                         F.concat(p["a"]["word"], F.lit(" by "), p["e"]["word"])))
     # cheap tests keep the heavy pattern scans off most texts
-    gov_named = low.rlike("(?u)" + _alternation([g[1] for g in gov]))
-    firm_named = low.rlike("(?u)" + _alternation([f[1] for f in firm]))
+    gov_named = low.rlike(_alternation([g[1] for g in gov]))
+    firm_named = low.rlike(_alternation([f[1] for f in firm]))
     gov_part = F.when(gov_named, F.concat(_government(low, gov, acts), F.when(low.rlike(links), passive).otherwise(nothing))).otherwise(nothing)
     firm_part = F.when(firm_named, F.concat(
-        _company(text, acts, 80, 2, "nvda_investment", firm, endorsement),
-        _company(text, praise, 80, 3, "nvda_endorsement", firm),
-        _company(text, threats, 60, 4, "nvda_competitive_threat", firm))).otherwise(nothing)
+        _company(low, acts, 80, 2, "nvda_investment", firm, endorsement),
+        _company(low, praise, 80, 3, "nvda_endorsement", firm),
+        _company(low, threats, 60, 4, "nvda_competitive_threat", firm))).otherwise(nothing)
     excluded = matches_any(text, exclusions, "(?iU)")
     kept = F.filter(F.concat(gov_part, firm_part), lambda m: (m["conf"] >= HIGH) | ~excluded)
     ordered = F.array_sort(kept, lambda a, b: F.when(a["conf"] > b["conf"], -1).when(

@@ -31,9 +31,32 @@ def any_of(conditions: list[Column]) -> Column:
     return _balanced(list(conditions), lambda a, b: a | b) if conditions else F.lit(False)
 
 
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_array(items: list[str]) -> Column:
+    """Array literal from SQL item texts; one parse instead of one call per item."""
+    return F.expr("array(" + ", ".join(items) + ")") if items else F.array().cast("array<string>")
+
+
+def string_array(words) -> Column:
+    return literal_array([sql_text(w) for w in dict.fromkeys(words)])
+
+
+def struct_array(rows: list[dict]) -> Column:
+    """Array-of-struct literal from rows of strings, ints and floats."""
+    def show(v) -> str:
+        return sql_text(v) if isinstance(v, str) else f"{v}D" if isinstance(v, float) else str(v)
+    return literal_array(["named_struct(" + ", ".join(f"'{k}', {show(v)}" for k, v in r.items()) + ")" for r in rows])
+
+
 def contains_any(c: Column, words) -> Column:
     """True where the text contains one of the words, as written."""
-    return any_of([c.contains(w) for w in dict.fromkeys(words)])
+    listed = list(dict.fromkeys(words))
+    if len(listed) <= 4:
+        return any_of([c.contains(w) for w in listed])
+    return F.exists(string_array(listed), lambda w: F.contains(c, w))
 
 
 def matches_any(c: Column, patterns, flags: str = "(?i)") -> Column:
@@ -45,39 +68,34 @@ def matches_word(low: Column, patterns) -> Column:
 
     The common word boundaries are factored out, so alternatives are tried at word starts only.
     """
-    bodies = [re.sub(r"^\\b|\\b$", "", p).lower() for p in patterns]
-    return low.rlike(r"(?U)\b(?:" + "|".join(bodies) + r")\b")
+    groups: dict[str, list[str]] = {}
+    for body in (re.sub(r"^\\b|\\b$", "", p).lower() for p in patterns):
+        plain = re.match(r"[a-z](?![?*+{])", body)
+        groups.setdefault(body[0] if plain else "", []).append(body[1:] if plain else body)
+    parts = [f"{head}(?:{'|'.join(tails)})" for head, tails in groups.items()]
+    return low.rlike(r"(?U)\b(?:" + "|".join(parts) + r")\b")
 
 
 def max_weight(c: Column, weights: dict[str, float]) -> Column:
     """Highest weight among contained keywords, 0 when there is none."""
-    by_weight: dict[float, list[str]] = {}
-    for word, weight in weights.items():
-        by_weight.setdefault(weight, []).append(word)
-    chain = None
-    for weight in sorted(by_weight, reverse=True):
-        hit = contains_any(c, by_weight[weight])
-        chain = F.when(hit, F.lit(weight)) if chain is None else chain.when(hit, F.lit(weight))
-    return F.lit(0.0) if chain is None else chain.otherwise(F.lit(0.0))
+    table = struct_array([{"w": w, "v": float(v)} for w, v in weights.items()])
+    hits = F.filter(table, lambda k: F.contains(c, k["w"]))
+    return F.coalesce(F.array_max(F.transform(hits, lambda k: k["v"])), F.lit(0.0))
 
 
 def first_match(c: Column, ordered: list[tuple[str, str]]) -> Column:
     """Value of the first (keyword, value) pair whose keyword is contained; else null."""
-    chain = None
-    for word, value in ordered:
-        hit = c.contains(word)
-        chain = F.when(hit, F.lit(value)) if chain is None else chain.when(hit, F.lit(value))
-    return F.lit(None).cast("string") if chain is None else chain
+    table = struct_array([{"w": w, "v": v} for w, v in ordered])
+    return F.get(F.filter(table, lambda k: F.contains(c, k["w"])), F.lit(0))["v"]
 
 
 def words_found(c: Column, words) -> Column:
     """Array of the contained words, in dictionary order."""
-    table = F.array(*[F.lit(w) for w in dict.fromkeys(words)])
-    return F.filter(table, lambda w: F.contains(c, w))
+    return F.filter(string_array(words), lambda w: F.contains(c, w))
 
 
 def count_found(c: Column, words) -> Column:
-    return reduce(lambda a, b: a + b, [c.contains(w).cast("int") for w in words])
+    return F.size(F.filter(literal_array([sql_text(w) for w in words]), lambda w: F.contains(c, w)))
 
 
 def strip(c: Column) -> Column:

@@ -29,7 +29,10 @@ PERCENT = r"[+-]?(\d+(?:\.\d+)?)\s?(?:%|％|个百分点)"
 
 
 def _numbers(c: Column, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")))
+    """Matched figures without separators or trailing zeros, the way quotes are shown."""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+    return F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(
+        F.replace(x, F.lit(","), F.lit("")), r"(\.\d*?)0+$", "$1"), r"\.$", ""))
 
 
 
@@ -43,7 +46,8 @@ def flag_ungrounded_claims(analyses: DataFrame, quotes: DataFrame, id_col: str =
     trade call.
     """
     def number(c: str) -> Column:
-        return F.regexp_replace(F.format_number(F.round(F.abs(c), 2), "0.##"), "[.]$", "")
+        shown = F.round(F.abs(c), 2).cast("decimal(18,2)").cast("string")
+        return F.regexp_replace(shown, r"\.?0+$", "")
     facts = quotes.select(
         F.upper("ticker").alias("_t"),
         F.array_compact(F.array(number("last"), number("change_pct"), number("ma20"), number("ma50"))).alias("nums"),

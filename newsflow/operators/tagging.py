@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import entities as E
-from ..functions.text import count_found, word_set
+from ..functions.text import string_array, struct_array, word_set
 from ..runtime import small_rows
 from .ranking import merge_tags
 from .windows import top_per_key
@@ -18,7 +18,7 @@ INLINE_LIMIT = 2000
 
 
 def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return string_array(values).cast("array<string>")
 
 
 def extract_tickers(text: Column, known=E.KNOWN_TICKERS, names=E.COMPANY_TICKERS,
@@ -30,14 +30,12 @@ def extract_tickers(text: Column, known=E.KNOWN_TICKERS, names=E.COMPANY_TICKERS
     listed = list(dict.fromkeys([*known, *watch]))
     rx = F.lit(r"(?<![A-Z])(\$?[A-Z]{1,5})(?![A-Z])")
     raw = F.regexp_extract_all(text, rx, F.lit(1))
-    table = F.create_map(*[x for t in listed for x in (F.lit(t), F.lit(True))])
-    codes = F.transform(F.filter(raw, lambda t: t.startswith("$") | F.try_element_at(table, t).isNotNull()),
+    codes = F.transform(F.filter(raw, lambda t: t.startswith("$") | F.array_contains(_strings(listed), t)),
                         lambda t: F.regexp_replace(t, r"^\$", ""))
     low = F.lower(text)
 
     def by_name(haystack: Column, mapping: dict[str, str], whole: bool) -> Column:
-        pairs = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(t).alias("t"))
-                          for n, t in mapping.items() if t in known])
+        pairs = struct_array([{"n": n, "t": t} for n, t in mapping.items() if t in known])
         if whole:
             return F.transform(F.filter(pairs, lambda p: F.regexp_like(
                 haystack, F.concat(F.lit(r"\b"), p["n"], F.lit(r"\b")))), lambda p: p["t"])
@@ -55,14 +53,14 @@ def mentioned_tickers(text: Column, watch) -> Column:
 def tag_words(text: Column, words) -> Column:
     """Distinct dictionary words contained in the text, without regard to case."""
     low = F.lower(text)
-    return F.filter(_strings(dict.fromkeys(words)), lambda w: F.contains(low, F.lower(w)))
+    table = struct_array([{"w": w, "l": w.lower()} for w in dict.fromkeys(words)])
+    return F.transform(F.filter(table, lambda p: F.contains(low, p["l"])), lambda p: p["w"])
 
 
 def tag_groups(text: Column, groups: dict[str, list[str]]) -> Column:
     """Names of the groups with a contained word, e.g. sectors."""
     low = F.lower(text)
-    pairs = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(w.lower()).alias("w"))
-                      for g, words in groups.items() for w in words])
+    pairs = struct_array([{"g": g, "w": w.lower()} for g, words in groups.items() for w in words])
     return F.array_distinct(F.transform(F.filter(pairs, lambda p: F.contains(low, p["w"])), lambda p: p["g"]))
 
 

@@ -551,7 +551,7 @@ def flow_arrays(spark: SparkSession, d: str) -> DataFrame:
     return flows.parse_flow_array(docs, 3).select("ticker", "date", "main_net", "change_pct")
 
 
-@query("""SELECT item_id, (['monetary', 'corporate', 'regulatory'])[item_id % 3 + 1] AS category, n AS event_no, (['CRITICAL', 'LOW'])[n] AS level, regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g') AS text FROM benchmark, (SELECT unnest([1, 2]) AS n)""")
+@query("""SELECT item_id, (['monetary', 'corporate', 'regulatory'])[item_id % 3 + 1] AS category, n AS event_no, (['CRITICAL', 'LOW'])[n] AS level, trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g')) AS text FROM benchmark, (SELECT unnest([1, 2]) AS n)""")
 def event_corpora(spark: SparkSession, d: str) -> DataFrame:
     b = V.read(spark, d, "benchmark")
     head = F.element_at(F.array(F.lit("一、货币政策"), F.lit("二、科技"), F.lit("三、贸易政策")), (F.col("item_id") % 3 + 1).cast("int"))

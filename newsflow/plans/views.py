@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..runtime import spread
+
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_ORDERS = "1998-01-01 00:00:00"
 
@@ -68,14 +70,14 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finance headlines written from the lines of the order table."""
-    li = read(spark, sf_dir, "lineitem")
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
     t = F.element_at(F.array(*[F.lit(x) for x in TEMPLATES]), (F.col("l_partkey") % len(TEMPLATES) + 1).cast("int"))
     title = F.replace(F.replace(t, F.lit("{q}"), F.col("l_quantity").cast("int").cast("string")), F.lit("{s}"),
                       F.col("l_suppkey").cast("string"))
     hid = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
     source = F.element_at(F.array(*[F.lit(s) for s in ("Bloomberg", "CNBC", "ZeroHedge", "Blog", "")]),
                           (F.col("l_suppkey") % 5 + 1).cast("int"))
-    return li.select(hid.alias("news_id"), title.alias("title"), F.lit("").alias("snippet"), source.alias("source"),
+    return spread(li).select(hid.alias("news_id"), title.alias("title"), F.lit("").alias("snippet"), source.alias("source"),
                      F.col("l_shipdate").cast("timestamp").alias("captured_at"))
 
 

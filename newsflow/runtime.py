@@ -14,11 +14,15 @@ DEFAULT_CONF = {
 }
 
 
+# recording call sites would dominate the building of long keyword expressions
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def get_session(app: str = "newsflow", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULT_CONF, **conf}.items():
+    for key, value in {**START_CONF, **DEFAULT_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -47,3 +51,12 @@ def small_rows(df: DataFrame, limit: int) -> list | None:
     """Rows of a dictionary table if it has at most ``limit``; None when it is larger."""
     rows = df.limit(limit + 1).collect()
     return None if len(rows) > limit else rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for CPU-bound row work when the input comes in fewer splits than cores.
+
+    Large inputs have more splits than cores and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
