@@ -39,11 +39,12 @@ def by_type(df: DataFrame, col: str, value: str, order: str, limit: int = 50) ->
     return df.filter(F.col(col) == value).orderBy(F.desc(order)).limit(limit)
 
 
-def active_mutes(preferences: DataFrame, as_of: Column, key: str = "muted_tickers") -> DataFrame:
-    """(ticker, until) still muted, from the preference's JSON map."""
+def active_mutes(preferences: DataFrame, as_of: Column, key: str = "muted_tickers", keep: tuple = ()) -> DataFrame:
+    """(ticker, until) still muted, from the preference's JSON map; ``keep`` names further
+    preference columns to carry along, such as the reader."""
     muted = (preferences.filter(F.col("key") == key)
-             .select(F.explode(F.from_json("value", "map<string,string>")).alias("ticker", "u")))
-    return (muted.select("ticker", F.try_to_timestamp("u").alias("until"))
+             .select(*keep, F.explode(F.from_json("value", "map<string,string>")).alias("ticker", "u")))
+    return (muted.select(*keep, "ticker", F.try_to_timestamp("u").alias("until"))
             .filter(F.col("until") > as_of))
 
 

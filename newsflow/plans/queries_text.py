@@ -169,9 +169,7 @@ def active_mutes(spark: SparkSession, d: str) -> DataFrame:
     prefs = V.read(spark, d, "orders").select("o_custkey", F.lit("muted_tickers").alias("key"), F.to_json(F.create_map(
         F.concat(F.lit("T"), (F.col("o_orderkey") % 50).cast("string")), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))).alias("value"))
     muted = prefs.select(F.col("o_custkey").alias("user_id"), "key", "value")
-    # the operator serves one reader; here the reader id rides along with its preference
-    rows = muted.select("user_id", F.explode(F.from_json("value", "map<string,string>")).alias("ticker", "u"))
-    return rows.select("user_id", "ticker", F.try_to_timestamp("u").alias("until")).filter(F.col("until") > V.ts(V.AS_OF_ORDERS))
+    return R.active_mutes(muted, V.ts(V.AS_OF_ORDERS), keep=("user_id",))
 
 
 # --- tags -----------------------------------------------------------------------------------------
@@ -612,3 +610,41 @@ def ungrounded_claims(spark: SparkSession, d: str) -> DataFrame:
     _, flagged = U.flag_ungrounded_claims(a, quotes)
     n = flagged.groupBy("news_id").agg(F.count("*").alias("flags"))
     return a.select("news_id").join(n, "news_id", "left").select("news_id", F.coalesce("flags", F.lit(0)).alias("flags"))
+
+
+# --- sets and sections ------------------------------------------------------------------------------
+@query(sql("SELECT source, lang, status FROM v_news WHERE status = 'archived' UNION ALL SELECT source, lang, NULL FROM v_news WHERE status = 'pending'", "v_news"))
+def merged_sources(spark: SparkSession, d: str) -> DataFrame:
+    n = V.news(spark, d).select("source", "lang", "status")
+    return R.union_sources([n.filter("status = 'archived'"), n.filter("status = 'pending'").drop("status")])
+
+
+@query("SELECT DISTINCT upper(x) AS ticker FROM (SELECT p_brand AS x FROM part UNION ALL SELECT lower(c_mktsegment) FROM customer)")
+def tracked_tickers(spark: SparkSession, d: str) -> DataFrame:
+    watch = V.read(spark, d, "part").select(F.col("p_brand").alias("ticker"))
+    held = V.read(spark, d, "customer").select(F.lower("c_mktsegment").alias("ticker"))
+    return R.tracked_tickers(watch, held)
+
+
+@query(sql("""SELECT id, array_to_string(list_sort(list_distinct(list_filter(['T' || id % 3, 'STRATEGIC_' || id % 2, '', 'T' || news_id % 3, 'STRATEGIC_' || news_id % 2], lambda x: x <> ''))), ',') AS merged,
+ id % 2 = news_id % 2 AS same_strategy FROM v_assess""", "v_assess"))
+def merged_tags(spark: SparkSession, d: str) -> DataFrame:
+    def tags(c):
+        return F.array(F.concat(F.lit("T"), (c % 3).cast("string")), F.concat(F.lit("STRATEGIC_"), (c % 2).cast("string")), F.lit(""))
+    a, b = tags(F.col("id")), tags(F.col("news_id"))
+    return V.assessments(spark, d).select("id", F.array_join(F.array_sort(R.merge_tags(a, b)), ",").alias("merged"), R.tag_overlap(a, b).alias("same_strategy"))
+
+
+@query(sql("SELECT news_id, array_to_string(list_filter(['NVIDIA', 'AMD', 'FDA'], lambda k: contains(upper(title), k)), ',') AS tickers FROM v_headlines", "v_headlines"))
+def mentioned_tickers(spark: SparkSession, d: str) -> DataFrame:
+    h, t = title(spark, d)
+    return h.select("news_id", F.array_join(G.mentioned_tickers(t, ["NVIDIA", "AMD", "FDA"]), ",").alias("tickers"))
+
+
+@query(sql("SELECT news_id, news_id % 2 = 0 AS found, CASE WHEN news_id % 2 = 0 THEN 'advice ' || lpad(CAST(news_id AS VARCHAR), 12, '0') ELSE 'plain text number ' || lpad(CAST(news_id AS VARCHAR), 20, '0') END AS section FROM v_news", "v_news"))
+def report_sections(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("news_id").cast("string")
+    doc = F.when(F.col("news_id") % 2 == 0, F.concat(F.lit("top\n\n### Advice\n\nadvice "), F.lpad(k, 12, "0"), F.lit("\n\n### Risk\n\nnone"))).otherwise(
+        F.concat(F.lit("# head\nplain text number "), F.lpad(k, 20, "0")))
+    s = T.extract_section(doc, "Advice")
+    return V.news(spark, d).select("news_id", s["found"].alias("found"), s["text"].alias("section"))
