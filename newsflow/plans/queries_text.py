@@ -345,7 +345,18 @@ def deep_enrichment(spark: SparkSession, d: str) -> DataFrame:
     return e.select("news_id", "sentiment", "priority_score", "market_impact", "status")
 
 
-@query()
+_COMMENT = any_sql(LOW, ["admits", "no-win", "despite record", "complains", "lament"])
+_TONE = any_sql(LOW, ["crash", "plunge", "surge", "emergency", "circuit breaker", "evaporates", "bailout"])
+_SCALE = any_sql(LOW, ["49.5 billion", "52 billion", "500 billion", "80 billion"])
+_STATE = any_sql(LOW, ["government", "pentagon", "defense department", "commerce dept", "energy department", "chips act", "treasury",
+                       "congress", "washington", "us invests", "us commerce"])
+_MAJORS = "len(regexp_extract_all(title, '(?i)intel|amd|qualcomm|nvidia|tsmc|samsung|ibm|microsoft|apple|tesla|google|meta|amazon'))"
+
+
+@query(sql(f"""SELECT news_id, least(1.0, round(0.30 + CASE WHEN {_COMMENT} THEN 0.05 WHEN {_TONE} THEN 0.15 ELSE 0 END + CASE WHEN NOT {_COMMENT} AND {_SCALE} THEN 0.15 ELSE 0 END
+ + CASE WHEN {_STATE} THEN 0.10 ELSE 0 END + coalesce(list_sum(list_transform(regexp_extract_all(title, '(\\d+)\\s*(?:billion|B)', 1), lambda x: CASE WHEN CAST(x AS INT) >= 100 THEN 0.12 WHEN CAST(x AS INT) >= 10 THEN 0.08 WHEN CAST(x AS INT) >= 1 THEN 0.04 ELSE 0 END)), 0)
+ + CASE WHEN contains({LOW}, 'jensen huang') THEN 0.10 ELSE 0 END + CASE WHEN contains({LOW}, 'nvidia') THEN 0.08 ELSE 0 END
+ + CASE WHEN {_MAJORS} >= 3 THEN 0.08 WHEN {_MAJORS} >= 1 THEN 0.04 ELSE 0 END, 2))::DOUBLE AS priority FROM v_headlines""", "v_headlines"))
 def case_priorities(spark: SparkSession, d: str) -> DataFrame:
     h, t = title(spark, d)
     return h.select("news_id", C.case_priority(t).alias("priority"))
