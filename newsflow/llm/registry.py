@@ -10,11 +10,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """Session settings the operators rely on; small Arrow batches keep long texts within a worker's memory."""
+    from ..runtime import prepare
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return prepare(spark)
+
+
 def query(oracle: str | None = None):
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            from ..runtime import prepare
-            return fn(prepare(spark), sf_dir)
+            return fn(tuned(spark), sf_dir)
 
         QUERIES[fn.__name__] = run
         if oracle:
