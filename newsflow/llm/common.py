@@ -16,10 +16,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_and_text(docs: DataFrame) -> DataFrame:
-    """Only ``doc_id`` and ``text`` (null text: empty), so that further columns cannot clash."""
+def id_and_text(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Only ``doc_id`` and ``text`` (null text: empty) and the columns of ``carry``, so that others cannot clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(carry or []))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -102,9 +102,9 @@ def _segments(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, i
         i = j
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """doc: a 64-bit key of the row. It may collide; doc_id and text_hash tell such rows apart."""
-    return id_and_text(docs).withColumn("text_hash", F.xxhash64("text")).withColumn("doc", F.xxhash64("doc_id", "text_hash"))
+    return id_and_text(docs, carry).withColumn("text_hash", F.xxhash64("text")).withColumn("doc", F.xxhash64("doc_id", "text_hash"))
 
 
 def anchors(keyed: DataFrame) -> DataFrame:
@@ -315,24 +315,26 @@ def repeated_spans(keyed: DataFrame, hot: int = HOT) -> DataFrame:
 RESULT = "doc_id long, text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT, texts: bool = False, carry: list[str] | None = None) -> DataFrame:
     """doc_id, text_hash, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``texts`` also
-    ``kept_text``, in which a character that lost bytes is dropped.
+    ``kept_text``, in which a character that lost bytes is dropped. ``carry`` names string columns to pass on.
 
     Null text is empty. A null doc_id is smaller than any other; rows with one doc_id and different
     texts are ordered by a hash of the text; rows equal in both are one document and get equal results.
     """
+    carry = carry or []
     keyed = _keyed(docs)
     spans = (repeated_spans(keyed, hot).groupBy("doc")
              .agg(F.collect_list(F.struct("doc_id", "text_hash", "from", "to")).alias("spans")))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.string()] if texts else [])]
-    names = ["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if texts else [])]
+    more = [*(["kept_text"] if texts else []), *carry]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *(pa.string() for _ in more)]
+    names = ["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept_sha256", *more]
     schema = pa.schema(list(zip(names, kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text_hash, text, found in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text_hash, text, found, *rest in zip(*(c.to_pylist() for c in batch.columns)):
                 b = text.encode("utf-8")
                 parts, at, runs = [], 0, 0
                 end = -1
@@ -345,11 +347,13 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, texts: bool = False) -> Data
                         at = end = max(end, e)
                 parts.append(b[at:])
                 kept = b"".join(parts)
-                rows.append((doc_id, text_hash, len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if texts else [])))
+                rows.append((doc_id, text_hash, len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest(), 
+                             *([kept.decode("utf-8", "ignore")] if texts else []), *rest))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], schema=schema)
 
-    joined = keyed.join(spans, "doc", "left").select("doc_id", "text_hash", "text", "spans")
-    return joined.mapInArrow(run, RESULT + (", kept_text string" if texts else ""))
+    passed = _keyed(docs, carry) if carry else keyed
+    joined = passed.join(spans, "doc", "left").select("doc_id", "text_hash", "text", "spans", *carry)
+    return joined.mapInArrow(run, RESULT + "".join(f", {c} string" for c in more))
 
 
 @query()
