@@ -1,4 +1,4 @@
 """All queries of this subpackage and their SQL."""
 
-from . import exact_dedup, fixity, forest_join, grammar_ids, packing, pieces, quality_rules, repeats, sharding  # noqa: F401
+from . import attention_lm, exact_dedup, fixity, forest_join, grammar_ids, packing, pieces, quality_rules, repeats, sharding  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
