@@ -181,7 +181,7 @@ US_TIER_CJK = ["美联储", "联邦储备", "鲍威尔", "沃尔什", "联储主
                "初请失业金", "续请失业金", "美股", "美元指数", "华尔街", "硅谷", "美国CPI", "美国PPI",
                "美国GDP", "美国PMI", "美国ISM", "美国消费者信心", "美国零售", "美国制造业",
                "美国服务业"]
-# Core regions; further regions are passed to geo_tier_weight as extra patterns.
+# Regions outside the US, first the large ones, then the others.
 NON_US_PATTERNS = [
     r"\bECB\b", r"\bEuropean\s+Central\s+Bank\b", r"\bEurozone\b", r"\bEuro\s+area\b",
     r"\bEuropean\s+(?:Union|Commission)\b", r"\b(?:Christine\s+)?Lagarde\b", r"\bEUR\b",
@@ -206,21 +206,37 @@ NON_US_PATTERNS = [
     r"\bHang\s+Seng\b", r"\bHSI\b", r"\bHKMA\b", r"\bHKD\b", r"\bIndia\b", r"\bIndian\b",
     r"\bMumbai\b", r"\bDelhi\b", r"\bRBI\b", r"\bNSE\b", r"\bBSE\b", r"\bSensex\b",
     r"\bNifty\b", r"\bINR\b", r"\bRupee\b", r"\bBrazil\b", r"\bBrazilian\b", r"\bBrasilia\b",
-    r"\bSao\s+Paulo\b", r"\bBCB\b", r"\bBovespa\b", r"\bBRL\b", r"\bReal\b",
-    r"\bRussia\b", r"\bRussian\b", r"\bMoscow\b", r"\bUkraine\b", r"\bUkrainian\b", r"\bKyiv\b",
-    r"\bSaudi\b", r"\bIsrael\b", r"\bIsraeli\b", r"\bTurkey\b", r"\bTurkish\b", r"\bMexico\b",
-    r"\bMexican\b", r"\bSingapore\b", r"\bIndonesia\b", r"\bVietnam\b", r"\bSouth\s+Africa\b",
+    r"\bSao\s+Paulo\b", r"\bBCB\b", r"\bBovespa\b", r"\bBRL\b",
+]
+NON_US_FURTHER_PATTERNS = [
+    r"\bTurkey\b", r"\bTurkish\b", r"\bAnkara\b", r"\bIstanbul\b", r"\bTCMB\b", r"\bLira\b", r"\bTRY\b",
+    r"\bSouth\s+Africa\b", r"\bSARB\b", r"\bRand\b", r"\bZAR\b",
+    r"\bIndonesia\b", r"\bIndonesian\b", r"\bJakarta\b", r"\bBank\s+Indonesia\b", r"\bIDR\b", r"\bRupiah\b",
+    r"\bMalaysia\b", r"\bMalaysian\b", r"\bKuala\s+Lumpur\b", r"\bBNM\b", r"\bRinggit\b", r"\bMYR\b",
+    r"\bThailand\b", r"\bThai\b", r"\bBangkok\b", r"\bBoT\b", r"\bBaht\b", r"\bTHB\b",
+    r"\bPhilippines\b", r"\bFilipino\b", r"\bManila\b", r"\bBSP\b", r"\bPeso\b", r"\bPHP\b",
+    r"\bVietnam\b", r"\bVietnamese\b", r"\bHanoi\b", r"\bDong\b", r"\bVND\b",
+    r"\bSingapore\b", r"\bSingaporean\b", r"\bMAS\b", r"\bSGD\b", r"\bSTI\b",
+    r"\bMexico\b", r"\bMexican\b", r"\bBanxico\b", r"\bMXN\b", r"\bChile\b", r"\bSantiago\b", r"\bCLP\b",
+    r"\bArgentina\b", r"\bBuenos\s+Aires\b", r"\bARS\b", r"\bColombia\b", r"\bBogota\b", r"\bCOP\b",
+    r"\bPoland\b", r"\bPolish\b", r"\bWarsaw\b", r"\bNBP\b", r"\bPLN\b", r"\bCzech\b", r"\bPrague\b", r"\bCNB\b",
+    r"\bCZK\b", r"\bRussia\b", r"\bRussian\b", r"\bMoscow\b", r"\bCBR\b", r"\bRuble\b", r"\bRUB\b", r"\bMOEX\b",
+    r"\bNigeria\b", r"\bLagos\b", r"\bCBN\b", r"\bNaira\b", r"\bNGN\b", r"\bEgypt\b", r"\bCairo\b", r"\bEGP\b",
+    r"\bPakistan\b", r"\bKarachi\b", r"\bIslamabad\b", r"\bPKR\b", r"\bBangladesh\b", r"\bDhaka\b",
+    r"\bSaudi\s+Arabia\b", r"\bSaudi\b", r"\bRiyadh\b", r"\bSAMA\b", r"\bUAE\b", r"\bEmirates\b", r"\bDubai\b",
+    r"\bAbu\s+Dhabi\b", r"\bIsrael\b", r"\bIsraeli\b", r"\bTel\s+Aviv\b", r"\bBank\s+of\s+Israel\b",
+    r"\bQatar\b", r"\bDoha\b", r"\bKuwait\b", r"\bUkraine\b", r"\bUkrainian\b", r"\bKyiv\b",
 ]
 NON_US_CJK = [
     "欧洲央行", "欧央行", "拉加德", "欧元区", "欧盟委员会", "德国", "柏林", "德联邦银行", "DAX",
     "法国", "巴黎", "CAC40", "英国", "伦敦", "英央行", "英镑", "富时", "英格伦", "意大利", "西班牙",
-    "荷兰", "瑞士", "瑞典", "挪威", "日本", "东京", "日银", "日元", "植田和男", "日经", "中国",
-    "人民银行", "证监会", "银保监", "上海", "深圳", "沪深300", "人民币", "在岸", "A股", "韩国",
-    "首尔", "韩元", "KOSPI", "加拿大", "渥太华", "加元", "澳大利亚", "澳洲", "悉尼", "澳元", "台湾",
+    "荷兰", "瑞士", "瑞典", "挪威", "日本", "东京", "日本央行", "日银", "日元", "植田和男", "日经", "中国",
+    "中国央行", "人民银行", "中国人民银行", "证监会", "银保监", "上海", "深圳", "沪深300", "人民币", "在岸", "离岸人民币", "A股", "韩国",
+    "首尔", "韩元", "韩国央行", "KOSPI", "加拿大", "渥太华", "加元", "加拿大央行", "澳大利亚", "澳洲", "悉尼", "澳元", "澳洲央行", "台湾",
     "台北", "台币", "台股", "加权指数", "香港", "恒生", "港币", "金管局", "港股", "印度", "孟买",
-    "新德里", "卢比", "Sensex", "巴西", "圣保罗", "雷亚尔", "土耳其", "里拉", "南非", "兰特", "印尼",
-    "雅加达", "马来西亚", "吉隆坡", "令吉", "泰国", "曼谷", "泰铢", "菲律宾", "马尼拉", "比索",
-    "越南", "河内", "胡志明", "新加坡", "新元", "墨西哥", "阿根廷", "布宜诺斯艾利斯", "俄罗斯",
+    "新德里", "卢比", "印度央行", "Sensex", "巴西", "圣保罗", "雷亚尔", "巴西央行", "土耳其", "里拉", "南非", "兰特", "印尼",
+    "雅加达", "印尼盾", "马来西亚", "吉隆坡", "令吉", "泰国", "曼谷", "泰铢", "菲律宾", "马尼拉", "比索",
+    "越南", "河内", "胡志明", "越南盾", "新加坡", "新元", "新加坡元", "墨西哥", "墨西哥比索", "阿根廷", "布宜诺斯艾利斯", "俄罗斯",
     "莫斯科", "卢布", "沙特", "利雅得", "阿联酋", "迪拜", "以色列", "特拉维夫", "乌克兰", "基辅",
     "广东", "北京", "广州", "浙江", "江苏", "山东", "四川", "湖北", "河南", "河北", "湖南", "福建",
     "安徽", "辽宁", "重庆", "天津", "陕西", "江西", "广西", "云南", "贵州", "山西", "吉林", "黑龙江",

@@ -37,11 +37,11 @@ def geo_market_multiplier(c: Column) -> Column:
 def geo_tier_weight(c: Column, has_tickers: Column, extra_patterns=(), extra_words=()) -> Column:
     """0.25 for non-US regional news, 1.0 for US, company or unclassified news.
 
-    ``extra_patterns`` and ``extra_words`` add regions to the built-in core list.
+    ``extra_patterns`` and ``extra_words`` add regions to the built-in lists.
     """
     low = F.lower(c)
     us = matches_word(low, D.US_TIER_PATTERNS) | contains_any(c, D.US_TIER_CJK)
-    abroad = (matches_word(low, [*D.NON_US_PATTERNS, *extra_patterns])
+    abroad = (matches_word(low, [*D.NON_US_PATTERNS, *D.NON_US_FURTHER_PATTERNS, *extra_patterns])
               | contains_any(c, [*D.NON_US_CJK, *extra_words]))
     return F.when(has_tickers | empty(c) | us, 1.0).when(abroad, 0.25).otherwise(1.0)
 

@@ -125,9 +125,11 @@ def strip_prefix(c: Column) -> Column:
     return F.when(c.rlike(pattern), strip(F.regexp_replace(c, pattern, ""))).otherwise(c)
 
 
-def content_fingerprint(title: Column, snippet: Column) -> Column:
+def content_fingerprint(title: Column, snippet: Column, head_chars: int | None = None) -> Column:
+    """Digest of title and snippet; with ``head_chars`` (300 in the described system) of the snippet's head only."""
     head = strip_prefix(F.coalesce(title, F.lit("")))
-    body = F.substring(F.coalesce(snippet, F.lit("")), 1, 300)
+    body = F.coalesce(snippet, F.lit(""))
+    body = F.substring(body, 1, head_chars) if head_chars else body
     return F.sha2(F.concat(head, F.lit("|"), body), 256)
 
 

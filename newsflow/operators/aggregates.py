@@ -284,13 +284,19 @@ def _newest_ranked(news: DataFrame, newest: int) -> DataFrame:
             .withColumn("n", F.count("*").over(Window.partitionBy())))
 
 
-def score_percentiles(news: DataFrame, newest: int = 2000) -> DataFrame:
-    """Score at the descending rank int(n * p), labelled by the share p above it."""
-    ranked = _newest_ranked(news.filter("priority_score is not null"), newest)
+def score_percentiles(news: DataFrame) -> DataFrame:
+    """Score at the descending rank int(n * p), labelled by the share p above it.
+
+    Rows are counted per distinct score first; only those counts are cumulated.
+    """
+    from pyspark.sql import Window
+    counts = news.filter("priority_score is not null").groupBy("priority_score").agg(F.count("*").alias("c"))
+    ranked = (counts.withColumn("last", F.sum("c").over(Window.orderBy(F.desc("priority_score")).rowsBetween(Window.unboundedPreceding, 0)) - 1)
+              .withColumn("n", F.sum("c").over(Window.partitionBy())))
     points = [90, 80, 70, 60, 50, 40, 30, 25, 20, 10]
     at = F.array(*[F.struct(F.lit(p).alias("top_pct"),
                             F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1).alias("k")) for p in points])
-    wanted = ranked.withColumn("p", F.explode(at)).filter("i = p.k")
+    wanted = ranked.withColumn("p", F.explode(at)).filter("p.k between last - c + 1 and last")
     return wanted.select("p.top_pct", F.col("priority_score").alias("score"), "n")
 
 
@@ -384,11 +390,12 @@ def prompt_ab_diff(run_a: DataFrame, run_b: DataFrame, id_col: str = "case_id",
 
 # --- text aggregates -----------------------------------------------------------------------------
 def budgeted_concat(docs: DataFrame, group: str, order: list, max_chars: int = 3000, newest: int = 20,
-                    id_col: str = "doc_id", kind: str = "type") -> DataFrame:
+                    id_col: str = "doc_id", kind: str = "type", body_chars: int | None = None) -> DataFrame:
     """Join the newest texts per group until the running length reaches the budget (the text
-    that crosses it is still included)."""
+    that crosses it is still included); ``body_chars`` (200 in the described system) shortens contents."""
     from pyspark.sql import Window
-    body = F.coalesce(F.nullif("summary", F.lit("")), F.substring("content", 1, 200))
+    content = F.substring("content", 1, body_chars) if body_chars else F.col("content")
+    body = F.coalesce(F.nullif("summary", F.lit("")), content)
     top = top_per_key(docs.withColumn("_b", body), [group], order, newest, rank="_r").filter("_b <> ''")
     before = F.coalesce(F.sum(F.length("_b")).over(
         Window.partitionBy(group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -48,11 +48,13 @@ def flag_ungrounded_claims(analyses: DataFrame, quotes: DataFrame, id_col: str =
     def number(c: str) -> Column:
         shown = F.round(F.abs(c), 2).cast("decimal(18,2)").cast("string")
         return F.regexp_replace(shown, r"\.?0+$", "")
-    facts = quotes.select(
-        F.upper("ticker").alias("_t"),
+    # one quote per ticker: of several the largest in column order
+    one = quotes.groupBy(F.upper("ticker").alias("_t")).agg(F.max(F.struct("last", "change_pct", "ma20", "ma50")).alias("q")).select("_t", "q.*")
+    facts = one.select(
+        "_t",
         F.array_compact(F.array(number("last"), number("change_pct"), number("ma20"), number("ma50"))).alias("nums"),
         F.when(F.col("change_pct") < 0, "-").otherwise("+").alias("sign"))
-    named = analyses.select(id_col, F.posexplode(tickers).alias("_p", "_t")).withColumn("_t", F.upper(F.trim("_t")))
+    named = analyses.select(id_col, F.explode(tickers).alias("_t")).withColumn("_t", F.upper(F.trim("_t"))).distinct()
     known = (named.join(facts, "_t").groupBy(id_col).agg(
         F.flatten(F.collect_list("nums")).alias("grounded"),
         F.map_from_entries(F.collect_list(F.struct("_t", "sign"))).alias("signs")))

@@ -198,6 +198,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     links = checkpoint(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                        .filter("u <> v").distinct())
+
+    def mark(edges_now: DataFrame) -> tuple:
+        """Number and hash sum of the edges: equal only if a round changed nothing."""
+        h = F.xxhash64("u", "v").cast("decimal(38,0)")
+        return tuple(edges_now.agg(F.count("*"), F.sum(h), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+
+    before = mark(links)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -207,10 +214,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = (big.join(small_low, "u").filter("v <> m")
                  .select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
                  .unionByName(small_low.select("u", F.col("m").alias("v"))).distinct())
-        nxt = checkpoint(small)
-        if nxt.exceptAll(links).isEmpty() and links.exceptAll(nxt).isEmpty():
+        links = checkpoint(small)
+        now = mark(links)
+        if now == before:
             break
-        links = nxt
+        before = now
     members = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return members.unionByName(roots)

@@ -81,10 +81,13 @@ def contains_join(docs: DataFrame, dictionary: DataFrame, id_col: str = "news_id
                   inline_limit: int = INLINE_LIMIT) -> DataFrame:
     """(id, <dictionary columns>) for every dictionary ``keyword`` contained in the text.
 
-    A dictionary of at most ``inline_limit`` rows is checked in size and inlined. A larger one
-    is joined on anchors: the first three characters (fewer for shorter keywords) of each
-    keyword against the distinct character runs of the text, then verified.
+    Null and empty keywords match nothing. A dictionary of at most ``inline_limit`` rows is checked in
+    size and inlined. A larger one is joined on anchors: the first three characters (fewer for shorter
+    keywords) of each keyword against the distinct character runs of the text. Only ids and anchors
+    that the dictionary has are shuffled; the text is joined back once per candidate document, so ids
+    must be unique. Both ways give the same rows.
     """
+    dictionary = dictionary.filter(F.coalesce(F.col("keyword"), F.lit("")) != "")
     cols = dictionary.columns
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     rows = small_rows(dictionary, inline_limit)
@@ -96,13 +99,14 @@ def contains_join(docs: DataFrame, dictionary: DataFrame, id_col: str = "news_id
         table = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in cols]) for r in rows])
         hits = F.filter(table, lambda k: F.contains(low, F.lower(k["keyword"])))
         return docs.select(id_col, F.explode(hits).alias("k")).select(id_col, "k.*")
-    size = F.least(F.length("keyword"), F.lit(3))
-    keyed = dictionary.withColumn("_anchor", F.lower(F.substr("keyword", F.lit(1), size)))
-    runs = [F.regexp_extract_all("_low", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]
-    anchors = F.array_distinct(F.concat(*runs))
-    spread = docs.withColumn("_low", low).select(id_col, "_low", F.explode(anchors).alias("_anchor"))
-    return (spread.join(keyed, "_anchor").filter(F.contains(F.col("_low"), F.lower("keyword")))
-            .select(id_col, *cols))
+    head = F.lower("keyword")
+    keyed = dictionary.withColumn("_anchor", F.substr(head, F.lit(1), F.least(F.length(head), F.lit(3))))
+    runs = [F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]
+    pairs = docs.select(id_col, F.explode(F.array_distinct(F.concat(*runs))).alias("_anchor"))
+    candidates = pairs.join(keyed, "_anchor").groupBy(id_col).agg(F.collect_list(F.struct(*cols)).alias("_words"))
+    hits = F.filter("_words", lambda k: F.contains(low, F.lower(k["keyword"])))
+    return (docs.select(id_col, text).join(candidates, id_col).select(id_col, F.explode(hits).alias("k"))
+            .select(id_col, "k.*"))
 
 
 def tag_dictionary(docs: DataFrame, dictionary: DataFrame, id_col: str = "news_id", text: str = "text",

@@ -79,8 +79,8 @@ def market_enrichment(bars: DataFrame, symbol: str = "symbol") -> DataFrame:
 
 
 def novelty(news: DataFrame, text: str = "text", id_col: str = "news_id", order: str = "captured_at",
-            shock=S.SHOCK_WORDS, fresh=S.NOVELTY_WORDS) -> DataFrame:
-    """Novelty factor; a repeat of the first 200 characters scores 0.1.
+            shock=S.SHOCK_WORDS, fresh=S.NOVELTY_WORDS, head_chars: int | None = None) -> DataFrame:
+    """Novelty factor; a repeated text scores 0.1. ``head_chars`` (200 in the described system) compares heads only.
 
     Only texts that reach the repeat test are remembered, as in the rule order. First
     occurrences are found by an aggregate and flagged by id, so copies never meet in one task.
@@ -92,7 +92,7 @@ def novelty(news: DataFrame, text: str = "text", id_col: str = "news_id", order:
                             .when(shocks >= 2, 1.0).when(shocks == 1, 0.9)
                             .when(news_words >= 2, 0.85))
     firsts = (rated.filter("_rule is null")
-              .groupBy(F.xxhash64(F.substring(t, 1, 200)).alias("h"), F.substring(t, 1, 200).alias("p"))
+              .groupBy(F.sha2(F.substring(t, 1, head_chars) if head_chars else t, 256).alias("h"))
               .agg(F.min(F.struct(order, id_col)).alias("f"))
               .select(F.col(f"f.{id_col}").alias(id_col), F.lit(True).alias("_first")))
     return (rated.join(firsts, id_col, "left")
@@ -154,12 +154,13 @@ def source_streaks(cycles: DataFrame, threshold: int = 3, source: str = "source"
             .select(*base.drop("_day").columns, "event_type", "streak"))
 
 
-def active_stalls(health: DataFrame, newest: int = 60) -> DataFrame:
-    """Sources whose newest stall/recovered record, among the newest records, is a stall."""
-    recent = health.orderBy(F.desc("created_at")).limit(newest)
-    named = (recent.filter(F.col("event_type").isin("source_stall", "source_recovered"))
+def active_stalls(health: DataFrame, tie: str | None = None) -> DataFrame:
+    """Sources whose newest stall/recovered record is a stall; ``tie`` orders records of one time, and
+    without it a stall wins over a recovery."""
+    named = (health.filter(F.col("event_type").isin("source_stall", "source_recovered"))
              .withColumn("source", F.split("detail", ":")[0]).filter("source <> ''"))
-    return (named.groupBy("source").agg(F.max_by("event_type", "created_at").alias("latest"))
+    order = F.struct("created_at", tie or "event_type")
+    return (named.groupBy("source").agg(F.max_by("event_type", order).alias("latest"))
             .filter("latest = 'source_stall'").select("source"))
 
 

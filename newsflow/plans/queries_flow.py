@@ -280,7 +280,7 @@ def threshold_grid(spark: SparkSession, d: str) -> DataFrame:
     return A.threshold_grid(_labels(spark, d))
 
 
-@query(sql("""WITH r AS (SELECT *, row_number() OVER (ORDER BY priority_score DESC, news_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT * FROM v_news ORDER BY news_id DESC LIMIT 2000))
+@query(sql("""WITH r AS (SELECT *, row_number() OVER (ORDER BY priority_score DESC, news_id) - 1 AS i, count(*) OVER () AS n FROM v_news)
  SELECT p AS top_pct, priority_score::DOUBLE AS score, n FROM r, (SELECT unnest([90, 80, 70, 60, 50, 40, 30, 25, 20, 10]) AS p) WHERE i = least((n * p) // 100, n - 1)""", "v_news"))
 def score_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return A.score_percentiles(V.news(spark, d))
@@ -379,7 +379,7 @@ def source_stalls(spark: SparkSession, d: str) -> DataFrame:
     return W.source_streaks(V.cycles(spark, d), tie="event_id").select("source", "event_id", "event_type")
 
 
-@query(sql("""SELECT source FROM (SELECT split_part(detail, ':', 1) AS source, arg_max(event_type, created_at) AS latest FROM (SELECT * FROM v_health ORDER BY created_at DESC LIMIT 60)
+@query(sql("""SELECT source FROM (SELECT split_part(detail, ':', 1) AS source, arg_max(event_type, row(created_at, event_type)) AS latest FROM v_health
  WHERE event_type IN ('source_stall', 'source_recovered') GROUP BY 1) WHERE latest = 'source_stall'""", "v_health"))
 def active_stalls(spark: SparkSession, d: str) -> DataFrame:
     return W.active_stalls(V.health(spark, d))

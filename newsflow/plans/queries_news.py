@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import views as V
@@ -13,6 +15,7 @@ from ..operators import ranking as R
 from ..operators import similarity as S
 from ..operators import tagging as G
 from ..operators import windows as W
+from ..runtime import shared_dir
 from ..sinks import tables as K
 from .registry import query
 from .views import sql
@@ -59,7 +62,7 @@ def url_dedup_against_seen(spark: SparkSession, d: str) -> DataFrame:
     return D.dedup_url(n, n.filter("status = 'archived'")).select("news_id")
 
 
-FINGERPRINT = f"sha256({strip_sql('title')} || '|' || substr(snippet, 1, 300))"
+FINGERPRINT = f"sha256({strip_sql('title')} || '|' || snippet)"
 
 
 @query(sql(f"SELECT news_id, {FINGERPRINT} AS fingerprint FROM v_news", "v_news"))
@@ -326,7 +329,7 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
     return A.table_counts({t: V.read(spark, d, t) for t in ("documents", "orders", "events", "lineitem")})
 
 
-@query(sql("""WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY role ORDER BY conv_id DESC, turn DESC, md5(text)) AS rn, role, substr(text, 1, 200) AS b FROM conversations),
+@query(sql("""WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY role ORDER BY conv_id DESC, turn DESC, md5(text)) AS rn, role, text AS b FROM conversations),
  k AS (SELECT *, coalesce(sum(length(b)) OVER (PARTITION BY role ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r WHERE rn <= 20 AND b <> '')
  SELECT role, count(*) AS docs, string_agg('- [note] ' || b, chr(10) ORDER BY rn) AS context FROM k WHERE before < 3000 GROUP BY role"""))
 def budgeted_context(spark: SparkSession, d: str) -> DataFrame:
@@ -371,7 +374,7 @@ def alert_channel_rows(spark: SparkSession, d: str) -> DataFrame:
     return K.alert_rows(V.news(spark, d).withColumn("alert_level", lvl)).select("news_id", "channel", "silent")
 
 
-@query(sql("""WITH r AS (SELECT news_id, captured_at, lower(text) AS low, substr(text, 1, 200) AS p, lang = 'es' AS brk FROM v_news),
+@query(sql("""WITH r AS (SELECT news_id, captured_at, lower(text) AS low, text AS p, lang = 'es' AS brk FROM v_news),
  s AS (SELECT *, CASE WHEN brk THEN 1.0 WHEN contains(low, 'zation')::INT + contains(low, 'hereon')::INT >= 2 THEN 1.0
  WHEN contains(low, 'zation')::INT + contains(low, 'hereon')::INT = 1 THEN 0.9 WHEN contains(low, 'thth')::INT + contains(low, 'eswh')::INT >= 2 THEN 0.85 END AS rule FROM r),
  f AS (SELECT news_id, row_number() OVER (PARTITION BY p ORDER BY captured_at, news_id) AS rn FROM s WHERE rule IS NULL)
@@ -384,3 +387,40 @@ def novelty_factor(spark: SparkSession, d: str) -> DataFrame:
 @query(sql(f"SELECT coalesce(round(date_diff('second', max(captured_at), {AS_OF}) / 3600.0, 1), 999.0)::DOUBLE AS hours_since_push FROM v_news WHERE status LIKE '%pushed%' AND captured_at > {AS_OF} - INTERVAL 72 HOUR", "v_news"))
 def hours_since_last_push(spark: SparkSession, d: str) -> DataFrame:
     return W.hours_since_last_push(V.news(spark, d), V.ts(V.AS_OF))
+
+
+# --- tables that are written -----------------------------------------------------------------------
+def _fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(sql("""WITH a AS (SELECT news_id, CASE WHEN news_id % 11 <> 0 THEN url END AS url, news_id % 2 AS part FROM v_news),
+ f AS (SELECT *, row_number() OVER (PARTITION BY part, url ORDER BY news_id) AS k FROM a)
+ SELECT news_id, url FROM f WHERE url IS NULL OR (k = 1 AND (part = 0 OR url NOT IN (SELECT url FROM a WHERE part = 0 AND url IS NOT NULL)))""", "v_news"))
+def append_new_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Even articles, then odd ones: an odd one is inserted only if its URL is new; those without a URL always are."""
+    n = V.news(spark, d).select("news_id", F.when(F.col("news_id") % 11 != 0, F.col("url")).alias("url"))
+    path = _fresh_path(spark, "append-new")
+    for part in (0, 1):
+        K.append_new(n.filter(F.col("news_id") % 2 == part), path, "url", ["news_id"])
+    return spark.read.parquet(path).select("news_id", "url")
+
+
+@query(sql("""SELECT ticker, date, CASE WHEN CAST(ticker AS INT) % 3 = 0 THEN main_net * 2 ELSE main_net END AS main_net FROM v_flow""", "v_flow"))
+def upserted_flow(spark: SparkSession, d: str) -> DataFrame:
+    """All flows, then those of every third ticker again with doubled amounts; the later rows win."""
+    flow = V.fund_flow(spark, d).select("ticker", "date", "main_net")
+    path = _fresh_path(spark, "upsert")
+    K.upsert_latest(flow, path, ["ticker", "date"])
+    K.upsert_latest(flow.filter(F.col("ticker").cast("int") % 3 == 0).withColumn("main_net", F.col("main_net") * 2), path, ["ticker", "date"])
+    return K.read_table(spark, path)
+
+
+@query(sql("SELECT source, count(*) * 2 AS rows FROM v_news GROUP BY source", "v_news"))
+def append_log_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows appended twice to a log by source."""
+    n = V.news(spark, d).select("news_id", "source", "captured_at")
+    path = _fresh_path(spark, "log")
+    for _ in range(2):
+        K.append_log(n, path, ["source"])
+    return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("rows"))

@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import views as V
+from ..runtime import shared_dir
+from ..sinks.tables import delete_path
 from ..streaming import operators as S
 from .registry import query
 
 
 def _drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream until its input is used up; the result is written to and read from a folder
-    next to the session's checkpoints."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """Run a stream until its input is used up; the result is written to and read from the shared
+    folder, the stream's own state is deleted."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     q = (stream.writeStream.outputMode(mode).format("parquet").option("path", base + "/out")
          .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
+    delete_path(spark, base + "/checkpoint")
     return spark.read.schema(stream.schema).parquet(base + "/out")
 
 
@@ -56,9 +57,9 @@ def stream_ingest_rate(spark: SparkSession, d: str) -> DataFrame:
     return _drain(spark, S.ingest_rate(e)).select("window_start", "articles")
 
 
-@query("SELECT count(DISTINCT substr(split_part(text, chr(10), 1), 1, 120) || '|' || substr(text, 1, 300)) AS articles FROM documents")
+@query("SELECT count(DISTINCT split_part(text, chr(10), 1) || '|' || text) AS articles FROM documents")
 def stream_dedup_count(spark: SparkSession, d: str) -> DataFrame:
     docs = _source(spark, d, "documents")
-    n = docs.select(F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"), F.substring("text", 1, 300).alias("snippet"),
+    n = docs.select(F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("snippet"),
                     F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 1440).alias("captured_at"))
     return _drain(spark, S.stream_dedup(n).select("fingerprint")).agg(F.count("*").alias("articles"))

@@ -183,18 +183,18 @@ def dictionary_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query(sql("""WITH k AS (SELECT item_id AS tag, lower(substr(text, 1, 7)) AS keyword FROM benchmark) SELECT news_id, string_agg(CAST(tag AS VARCHAR), ',' ORDER BY tag) AS tags
+@query(sql("""WITH k AS (SELECT item_id AS tag, lower(text) AS keyword FROM benchmark) SELECT news_id, string_agg(CAST(tag AS VARCHAR), ',' ORDER BY tag) AS tags
  FROM v_news JOIN k ON contains(lower(text), keyword) GROUP BY news_id""", "v_news"))
 def dictionary_table_tags(spark: SparkSession, d: str) -> DataFrame:
     """The dictionary is a table; the size check sends it through the anchor join."""
-    words = V.read(spark, d, "benchmark").select(F.col("item_id").alias("tag"), F.lower(F.substring("text", 1, 7)).alias("keyword"))
+    words = V.read(spark, d, "benchmark").select(F.col("item_id").alias("tag"), F.lower("text").alias("keyword"))
     t = G.tag_dictionary(V.news(spark, d), words)
     return t.select("news_id", F.array_join("tags", ",").alias("tags"))
 
 
-@query(sql("""WITH k AS (SELECT item_id AS tag, lower(substr(text, 1, 7)) AS keyword FROM benchmark) SELECT news_id, tag FROM v_news JOIN k ON contains(lower(text), keyword)""", "v_news"))
+@query(sql("""WITH k AS (SELECT item_id AS tag, lower(text) AS keyword FROM benchmark) SELECT news_id, tag FROM v_news JOIN k ON contains(lower(text), keyword)""", "v_news"))
 def dictionary_anchor_join(spark: SparkSession, d: str) -> DataFrame:
-    words = V.read(spark, d, "benchmark").select(F.col("item_id").alias("tag"), F.lower(F.substring("text", 1, 7)).alias("keyword"))
+    words = V.read(spark, d, "benchmark").select(F.col("item_id").alias("tag"), F.lower("text").alias("keyword"))
     return G.contains_join(V.news(spark, d), words, inline_limit=0).select("news_id", "tag")
 
 
@@ -459,12 +459,12 @@ def symbol_codes(spark: SparkSession, d: str) -> DataFrame:
  generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1), 1) - 1 AS pos FROM pages),
  r AS (SELECT page_id, pos, trim(regexp_replace(inner_, '<[^>]+>', '', 'g')) AS title, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href ELSE href END AS href FROM a),
  f AS (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS k FROM r WHERE length(title) >= 4)
- SELECT page_id, pos, title, href FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM f WHERE k = 1) WHERE rn <= 30""")
+ SELECT page_id, pos, title, href FROM f WHERE k = 1""")
 def page_headlines(spark: SparkSession, d: str) -> DataFrame:
     return feeds.extract_headlines(V.urls(spark, d), min_chars=4)
 
 
-@query("""SELECT conv_id, turn, CASE WHEN length(b) <= 200 THEN b ELSE substr(b, 1, 197) || '...' END AS title, substr(b, 1, 500) AS snippet, 'Twitter @' || role AS source FROM (SELECT *, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS b FROM conversations) WHERE length(b) >= 10""")
+@query("""SELECT conv_id, turn, CASE WHEN length(b) <= 200 THEN b ELSE substr(b, 1, 197) || '...' END AS title, b AS snippet, 'Twitter @' || role AS source FROM (SELECT *, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS b FROM conversations) WHERE length(b) >= 10""")
 def post_news(spark: SparkSession, d: str) -> DataFrame:
     c = V.read(spark, d, "conversations").select("conv_id", "turn", "text", F.col("role").alias("username"), F.lit("u").alias("url"))
     return feeds.read_posts(c).select("conv_id", "turn", "title", "snippet", "source")
@@ -477,7 +477,7 @@ def _bodies(spark: SparkSession, d: str, entry, wrap) -> DataFrame:
     return n.select("news_id", "source", "lang", F.to_json(wrap(entries)).alias("body"))
 
 
-@query(sql("""SELECT source, news_id * 10 + i AS article_id, 'H' || i || ' ' || news_id AS title, 'Finnhub (' || lang || ')' AS feed FROM v_news, (SELECT unnest([0, 1, 2, 3, 4]) AS i) WHERE (news_id * 10 + i) % 3 <> 0 AND i <> 2""", "v_news"))
+@query(sql("""SELECT source, news_id * 10 + i AS article_id, 'H' || i || ' ' || news_id AS title, 'Finnhub (' || lang || ')' AS feed FROM v_news, (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS i) WHERE (news_id * 10 + i) % 3 <> 0 AND i <> 2""", "v_news"))
 def company_news(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("news_id")
     b = _bodies(spark, d, lambda i: F.struct((k * 10 + i).alias("id"), F.when(i != 2, F.concat(F.lit("H"), i.cast("string"), F.lit(" "), k.cast("string"))).otherwise("").alias("headline"),
@@ -506,7 +506,7 @@ def live_channel_news(spark: SparkSession, d: str) -> DataFrame:
     return feeds.read_live_channel(b.withColumn("channel", F.col("lang")), V.ts(V.AS_OF)).select("url", "title", F.array_join("tickers", ",").alias("tickers"))
 
 
-@query(sql("""SELECT url, sentiment FROM (SELECT 'u' || (news_id * 7 + i) % 3000 AS url, (['bullish', 'bearish', ''])[CAST((news_id + i) % 3 AS INT) + 1] AS sentiment, row_number() OVER (PARTITION BY (news_id * 7 + i) % 3000 ORDER BY lpad(CAST(news_id AS VARCHAR), 9, '0'), i) AS rn FROM v_news, (SELECT unnest([0, 1, 2, 3, 4]) AS i)) WHERE rn = 1""", "v_news"))
+@query(sql("""SELECT url, sentiment FROM (SELECT 'u' || (news_id * 7 + i) % 3000 AS url, (['bullish', 'bearish', ''])[CAST((news_id + i) % 3 AS INT) + 1] AS sentiment, row_number() OVER (PARTITION BY (news_id * 7 + i) % 3000 ORDER BY lpad(CAST(news_id AS VARCHAR), 9, '0'), i) AS rn FROM v_news, (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS i)) WHERE rn = 1""", "v_news"))
 def sentiment_feed_news(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("news_id")
     b = _bodies(spark, d, lambda i: F.struct(F.lit("t").alias("title"), F.concat(F.lit("u"), ((k * 7 + i) % 3000).cast("string")).alias("url"), F.lit("s").alias("source"), F.lit("m").alias("summary"),
@@ -524,7 +524,7 @@ def release_calendar_news(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.regexp_extract("url", r"rid=(\d+)", 1).cast("bigint").alias("p_partkey"), "title")
 
 
-@query("""SELECT title, tickers FROM (SELECT '8-K - ' || s_name || ' NVDA (CIK ' || s_suppkey || ')' AS title, 'NVDA' AS tickers, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn, s_suppkey FROM supplier) WHERE rn <= 30 AND s_suppkey % 2 = 0""")
+@query("""SELECT title, tickers FROM (SELECT '8-K - ' || s_name || ' NVDA (CIK ' || s_suppkey || ')' AS title, 'NVDA' AS tickers, s_suppkey FROM supplier) WHERE s_suppkey % 2 = 0""")
 def filings_news(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     e = V.read(spark, d, "supplier").select(F.col("s_nationkey").alias("document"), k.alias("position"), F.concat(F.lit("8-K - "), "s_name", F.when(k % 2 == 0, " NVDA").otherwise(" XX"), F.lit(" (CIK "), k.cast("string"), F.lit(")")).alias("title"),
@@ -560,11 +560,11 @@ def flow_arrays(spark: SparkSession, d: str) -> DataFrame:
     return flows.parse_flow_array(docs, 3).select("ticker", "date", "main_net", "change_pct")
 
 
-@query("""SELECT item_id, (['monetary', 'corporate', 'regulatory'])[item_id % 3 + 1] AS category, n AS event_no, (['CRITICAL', 'LOW'])[n] AS level, trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g')) AS text FROM benchmark, (SELECT unnest([1, 2]) AS n)""")
+@query("""SELECT item_id, (['monetary', 'corporate', 'regulatory'])[item_id % 3 + 1] AS category, n AS event_no, (['CRITICAL', 'LOW'])[n] AS level, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark, (SELECT unnest([1, 2]) AS n)""")
 def event_corpora(spark: SparkSession, d: str) -> DataFrame:
     b = V.read(spark, d, "benchmark")
     head = F.element_at(F.array(F.lit("一、货币政策"), F.lit("二、科技"), F.lit("三、贸易政策")), (F.col("item_id") % 3 + 1).cast("int"))
-    body = F.regexp_replace(F.substring("text", 1, 40), r"\s+", " ")
+    body = F.regexp_replace("text", r"\s+", " ")
     event = lambda n, lvl: F.concat(F.lit(f"### 1.{n} t\n- **日期**: 2026-01-0{n}\n- **事件**: "), body, F.lit(f"\n- **影响级别**: x {lvl}\n- **受影响标的**: SPY, QQQ\n- **分类标签**: `cpi`, `fed`\n"))
     doc = F.concat(F.lit("# title\n\n## "), head, F.lit("\n\n"), event(1, "CRITICAL"), event(2, "LOW"))
     out = flows.parse_event_corpus(b.select(F.col("item_id").alias("path"), doc.alias("value")))
@@ -659,3 +659,21 @@ def report_sections(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("# head\nplain text number "), F.lpad(k, 20, "0")))
     s = T.extract_section(doc, "Advice")
     return V.news(spark, d).select("news_id", s["found"].alias("found"), s["text"].alias("section"))
+
+
+@query(sql("SELECT news_id, 'Item ' || news_id AS title, url, captured_at AS published_at FROM v_news", "v_news"))
+def rss_items(spark: SparkSession, d: str) -> DataFrame:
+    """RSS items with times in five zones, landed as XML and read back; all name the same instants."""
+    from ..runtime import shared_dir
+    import uuid
+    n = V.news(spark, d)
+    k = F.col("news_id")
+    hours = F.element_at(F.array(*[F.lit(h) for h in (0, -5, 2, -8, 0)]), (k % 5 + 1).cast("int"))
+    zone = F.element_at(F.array(*[F.lit(z) for z in ("GMT", "-0500", "+0200", "PST", "Z")]), (k % 5 + 1).cast("int"))
+    local = F.col("captured_at") + F.make_dt_interval(F.lit(0), hours)
+    text = F.concat(F.date_format(local, "EEE, dd MMM yyyy HH:mm:ss "), zone)
+    path = f"{shared_dir(spark)}/rss-{uuid.uuid4().hex}"
+    (n.select(F.concat(F.lit("Item "), k.cast("string")).alias("title"), F.col("url").alias("link"), F.lit("").alias("description"), text.alias("pubDate"))
+     .write.format("xml").option("rowTag", "item").save(path))
+    out = feeds.read_rss(spark, path, "feed", V.ts(V.AS_OF))
+    return out.select(F.regexp_extract("title", r"(\d+)", 1).cast("bigint").alias("news_id"), "title", "url", "published_at")

@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..runtime import spread
-
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_ORDERS = "1998-01-01 00:00:00"
 
@@ -57,8 +55,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     i = F.col("doc_id")
     return d.select(
-        i.alias("news_id"), F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"),
-        F.substring("text", 1, 500).alias("snippet"),
+        i.alias("news_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("snippet"),
         F.concat(F.lit("https://"), "source", F.lit(".example/n/"), (i % 700).cast("string"), F.lit("?utm_source="), "lang",
                  F.lit("#top")).alias("url"),
         "source", "lang",
@@ -77,7 +74,7 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     hid = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
     source = F.element_at(F.array(*[F.lit(s) for s in ("Bloomberg", "CNBC", "ZeroHedge", "Blog", "")]),
                           (F.col("l_suppkey") % 5 + 1).cast("int"))
-    return spread(li).select(hid.alias("news_id"), title.alias("title"), F.lit("").alias("snippet"), source.alias("source"),
+    return li.select(hid.alias("news_id"), title.alias("title"), F.lit("").alias("snippet"), source.alias("source"),
                      F.col("l_shipdate").cast("timestamp").alias("captured_at"))
 
 
@@ -134,8 +131,8 @@ def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem").filter("l_linenumber <= 3")
-    w = F.element_at(F.array(F.lit("15m"), F.lit("1h"), F.lit("4h")), F.col("l_linenumber"))
+    li = read(spark, sf_dir, "lineitem")
+    w = F.element_at(F.array(F.lit("15m"), F.lit("1h"), F.lit("4h")), (F.col("l_linenumber") - 1) % 3 + 1)
     # one measurement per assessment and window
     return (li.groupBy(F.col("l_orderkey").alias("assessment_id"), w.alias("window"))
             .agg(F.max(F.round(F.col("l_extendedprice") % 100, 2)).alias("actual_score"),
@@ -183,8 +180,7 @@ def _case(column: str, table: dict[str, str]) -> str:
 
 
 VIEW_SQL = {
-    "v_news": """SELECT doc_id AS news_id, substr(split_part(text, chr(10), 1), 1, 120) AS title,
- substr(text, 1, 500) AS snippet,
+    "v_news": """SELECT doc_id AS news_id, split_part(text, chr(10), 1) AS title, text AS snippet,
  'https://' || source || '.example/n/' || CAST(doc_id % 700 AS VARCHAR) || '?utm_source=' || lang || '#top' AS url, source, lang,
  TIMESTAMP '2024-01-01' + INTERVAL (doc_id % 30) DAY + INTERVAL (doc_id % 1440) MINUTE AS captured_at,
  (['pending', 'fast_pushed', 'deep_pushed', 'archived'])[doc_id % 4 + 1] AS status,
@@ -199,9 +195,9 @@ VIEW_SQL = {
     "v_assess": f"""SELECT o_orderkey AS id, o_custkey AS news_id, {_case('o_orderpriority', CATEGORIES)} AS category,
  round(o_totalprice % 100, 2) AS impact_score, CASE WHEN o_orderkey % 2 = 0 THEN 'v1' ELSE 'v2' END AS version,
  (['BULLISH', 'BEARISH', 'NEUTRAL'])[o_orderkey % 3 + 1] AS sentiment, o_orderdate AS created_at FROM orders""",
-    "v_outcomes": """SELECT l_orderkey AS assessment_id, (['15m', '1h', '4h'])[l_linenumber] AS "window",
+    "v_outcomes": """SELECT l_orderkey AS assessment_id, (['15m', '1h', '4h'])[(l_linenumber - 1) % 3 + 1] AS "window",
  max(round(l_extendedprice % 100, 2)) AS actual_score, max(l_shipdate) AS collected_at
- FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2""",
+ FROM lineitem GROUP BY 1, 2""",
     "v_flow": """SELECT ticker, date, super_net + big_net AS main_net, 0.0::DOUBLE AS main_in_flow, super_net, big_net, mid_net, small_net,
  coalesce(round((super_net + big_net) * 100 / nullif(abs(super_net) + abs(big_net) + abs(mid_net) + abs(small_net), 0), 2), 0) AS main_pct,
  floor(raw_close * 100 + 0.5) / 100 AS close, 0.0::DOUBLE AS change_pct FROM (

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -35,28 +33,21 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder named by ``spark.checkpoint.dir``.
-
-    Only where the session names none (unit tests) is a private folder used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cut lineage in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-newsflow-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, else the context's checkpoint folder, else one below the
+    warehouse, which a cluster shares."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/newsflow-scratch").rstrip("/")
+
+
 def small_rows(df: DataFrame, limit: int) -> list | None:
     """Rows of a dictionary table if it has at most ``limit``; None when it is larger."""
     rows = df.limit(limit + 1).collect()
     return None if len(rows) > limit else rows
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-bound row work when the input comes in fewer splits than cores.
-
-    Large inputs have more splits than cores and pass through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1,7 +1,9 @@
 """Writes against Parquet tables: append-new, upsert, patch, retain, alerts.
 
-A table is a folder of Parquet files. Rewrites go to a sibling folder that becomes the new
-version, so a reader never sees a half-written table and a failed job leaves the old one.
+An appended table is a folder of Parquet files. A rewritten table is a folder of versions ``v=<n>``
+and a pointer file for each that is complete, ``_current/<n>``; the highest pointer names the
+version to read. A version is written and then published by creating its pointer, one atomic step,
+so a job that dies leaves the version before it in force and readers never find a gap.
 """
 
 from __future__ import annotations
@@ -12,34 +14,71 @@ from ..operators.windows import first_per_key
 from ..runtime import checkpoint
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
-def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write the new version next to the old one, then swap folders."""
-    spark = df.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path
-    fs = jpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    new, old = path.rstrip("/") + "_next", path.rstrip("/") + "_prev"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(new)
-    fs.delete(jpath(old), True)
-    if fs.exists(jpath(path)):
-        fs.rename(jpath(path), jpath(old))
-    fs.rename(jpath(new), jpath(path))
-    fs.delete(jpath(old), True)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _fs(spark, path)
+    return fs.exists(jpath)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, jpath = _fs(spark, path)
+    fs.delete(jpath, True)
+
+
+def table_version(spark: SparkSession, path: str) -> int | None:
+    """Number of the version in force; None for a table without versions."""
+    fs, jpath = _fs(spark, path.rstrip("/") + "/_current")
+    if not fs.exists(jpath):
+        return None
+    names = [f.getPath().getName() for f in fs.listStatus(jpath)]
+    return max((int(n) for n in names if n.isdigit()), default=None)
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """True for a table with a published version or with plain Parquet files."""
+    if table_version(spark, path) is not None:
+        return True
+    fs, jpath = _fs(spark, path)
+    return fs.exists(jpath) and any(not f.getPath().getName().startswith(("_", ".", "v=")) for f in fs.listStatus(jpath))
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The version in force, or the plain files of a table that was only appended to."""
+    n = table_version(spark, path)
+    return spark.read.parquet(path if n is None else f"{path.rstrip('/')}/v={n}")
+
+
+def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None, keep: int = 2) -> int:
+    """Write a new version and publish it; versions older than the last ``keep`` are deleted."""
+    spark, root = df.sparkSession, path.rstrip("/")
+    n = (table_version(spark, path) or 0) + 1
+    writer = df.write.mode("overwrite")  # what a job that died left under this number goes
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/v={n}")
+    fs, pointer = _fs(spark, f"{root}/_current/{n}")
+    if not fs.createNewFile(pointer):
+        raise RuntimeError(f"{pointer} was published by another writer")
+    for old in range(1, n - keep + 1):
+        if path_exists(spark, f"{root}/v={old}"):
+            delete_path(spark, f"{root}/_current/{old}")
+            delete_path(spark, f"{root}/v={old}")
+    return n
 
 
 def append_new(df: DataFrame, path: str, key: str = "url", order: list[str] | None = None,
                partition_by: list[str] | None = None) -> DataFrame:
-    """Insert rows whose key is not stored yet; returns exactly the inserted rows."""
+    """Insert rows whose key is not stored yet; returns exactly the inserted rows.
+
+    Rows without a key cannot be compared and are inserted as they are.
+    """
     spark = df.sparkSession
-    fresh = first_per_key(df, [key], order or [key])
+    fresh = first_per_key(df.filter(F.col(key).isNotNull()), [key], order or [key])
     if table_exists(spark, path):
         fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti").select(*df.columns)
-    inserted = checkpoint(fresh)
+    inserted = checkpoint(fresh.unionByName(df.filter(F.col(key).isNull())))
     writer = inserted.write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return inserted
@@ -57,7 +96,7 @@ def upsert_latest(df: DataFrame, path: str, keys: list[str], order: str | None =
     """Insert or replace on the key; ``upper`` names a column to store in upper case."""
     new = df.withColumn(upper, F.upper(upper)) if upper else df
     spark = df.sparkSession
-    merged = latest_rows(spark.read.parquet(path), new, keys, order) if table_exists(spark, path) else latest_rows(
+    merged = latest_rows(read_table(spark, path), new, keys, order) if table_exists(spark, path) else latest_rows(
         new.limit(0), new, keys, order)
     replace_table(merged, path)
 
@@ -68,9 +107,10 @@ def append_log(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def update_fields(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
-    """Base rows with the non-null columns of the matching patch row."""
+    """Base rows with the non-null columns of the matching patch row; of several patch values for one
+    key and column the largest counts."""
     cols = [c for c in patch.columns if c != key]
-    p = patch.select(key, *[F.col(c).alias(f"_p_{c}") for c in cols])
+    p = patch.groupBy(key).agg(*[F.max(c).alias(f"_p_{c}") for c in cols])
     joined = base.join(p, key, "left")
     return joined.select(*[F.coalesce(f"_p_{c}", F.col(c)).alias(c) if c in cols else F.col(c) for c in base.columns])
 

@@ -1,7 +1,9 @@
 """Landed feed files to the ``news`` shape (title, url, source, snippet, published_at, ...).
 
-Each reader maps one foreign shape with an explicit schema. Limits such as "20 per source" are
-part of the feed contract and count per landed document or source.
+Each reader maps one foreign shape with an explicit schema and returns all items with whole texts.
+``limit`` (items per landed document or source) and the ``*_chars`` arguments shorten on request; the
+described system uses 20 items (5 for company and sentiment feeds, 30 for filings and headlines) and
+500 characters (800 for company news, 80 for titles taken from a text, 200 for headlines).
 """
 
 from __future__ import annotations
@@ -14,49 +16,63 @@ from ..functions.text import clean_html, strip
 from ..operators.tagging import contains_join, mentioned_tickers
 from ..operators.windows import first_per_key, top_per_key
 
-RFC822 = "EEE, d MMM yyyy HH:mm:ss"
+def first_items(items: Column, limit: int | None) -> Column:
+    return F.slice(items, 1, limit) if limit else items
+
+
+def shorten(c: Column, chars: int | None) -> Column:
+    return F.substring(c, 1, chars) if chars else c
+
+
+# Zone names of RFC 822 and their offsets.
+ZONES = {"UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
+         "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 
 
 def parse_time(c: Column) -> Column:
-    """RFC 822 or ISO text to a UTC timestamp; null when neither fits."""
-    rfc = F.try_to_timestamp(F.regexp_extract(c, r"^\w{3}, (\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1),
-                             F.lit("d MMM yyyy HH:mm:ss"))
-    return F.coalesce(rfc, F.try_to_timestamp(c))
+    """RFC 822 (numeric offset, zone name, or none: UTC) or ISO text to a UTC timestamp; null when neither fits."""
+    parts = r"^\s*(?:\w{3},\s*)?(\d{1,2} \w{3} \d{4} \d{2}:\d{2})(:\d{2})?\s*([+-]\d{4}|[A-Za-z]{1,4})?\s*$"
+    part = lambda i: F.regexp_extract(c, parts, i)
+    zone = F.upper(part(3))
+    known = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
+    offset = F.when(zone == "", "+0000").when(zone.rlike(r"^[+-]"), zone).otherwise(F.try_element_at(known, zone))
+    seconds = F.when(part(2) == "", ":00").otherwise(part(2))
+    rfc = F.try_to_timestamp(F.when(part(1) != "", F.concat(part(1), seconds, F.lit(" "), offset)), F.lit("d MMM yyyy HH:mm:ss xx"))
+    return F.coalesce(rfc, F.try_to_timestamp(F.when(~c.rlike(r"^\s*[A-Za-z]"), c)))
 
 
 def read_rss(spark: SparkSession, path: str, source: str, as_of: Column, row_tag: str = "item",
-             limit: int = 20) -> DataFrame:
-    """RSS items of landed XML files; the first ``limit`` items of each file."""
+             limit: int | None = None, snippet_chars: int | None = None) -> DataFrame:
+    """RSS items of landed XML files; with ``limit`` the first items of each file."""
     schema = "title string, link string, description string, summary string, pubDate string, updated string"
     raw = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
     df = raw.select(strip(F.col("title")).alias("title"), strip(F.col("link")).alias("url"),
                     F.lit(source).alias("source"),
-                    F.substring(clean_html(F.coalesce("summary", "description", F.lit(""))), 1, 500).alias("snippet"),
+                    shorten(clean_html(F.coalesce("summary", "description", F.lit(""))), snippet_chars).alias("snippet"),
                     F.coalesce(parse_time(F.col("pubDate")), parse_time(F.col("updated")), as_of).alias("published_at"),
                     F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_pos"))
-    kept = top_per_key(df, ["_file"], ["_pos"], limit)
+    kept = top_per_key(df, ["_file"], ["_pos"], limit) if limit else df
     return kept.filter("title <> '' and url <> ''").drop("_file", "_pos")
 
 
-ZHIBO = ("result struct<data: struct<feed: struct<list: array<struct<"
-         "rich_text: string, create_time: string, docurl: string>>>>>")
 ZHIBO_TYPE = ("struct<result: struct<data: struct<feed: struct<list: array<struct<"
               "rich_text: string, create_time: string, docurl: string>>>>>>")
 
 
 def read_zhibo(pages: DataFrame, as_of: Column, body: str = "body", channel: str = "channel",
-               fallback_url: str = "", limit: int = 20) -> DataFrame:
+               fallback_url: str = "", limit: int | None = None, title_chars: int | None = None,
+               snippet_chars: int | None = None) -> DataFrame:
     """Live-text channel: bracketed headline as title, noise titles dropped."""
     feed = F.from_json(body, ZHIBO_TYPE)["result"]["data"]["feed"]["list"]
-    rows = pages.select(channel, F.explode(F.slice(feed, 1, limit)).alias("e"))
+    rows = pages.select(channel, F.explode(first_items(feed, limit)).alias("e"))
     rich = clean_html(F.coalesce("e.rich_text", F.lit("")))
     headline = F.regexp_extract("rich", r"(?s)^【([^】]+)】(.*)$", 1)
-    title = F.when(headline != "", strip(headline)).otherwise(F.substring("rich", 1, 80))
+    title = F.when(headline != "", strip(headline)).otherwise(shorten(F.col("rich"), title_chars))
     out = (rows.withColumn("rich", rich).filter("rich <> ''").withColumn("title", title)
            .filter((F.col("title") != "") & ~is_noise_title(F.col("title"))))
     return out.select("title", F.coalesce(F.nullif("e.docurl", F.lit("")), F.lit(fallback_url)).alias("url"),
                       F.concat(F.lit("新浪财经·"), channel).alias("source"),
-                      F.substring("rich", 1, 500).alias("snippet"),
+                      shorten(F.col("rich"), snippet_chars).alias("snippet"),
                       F.coalesce(F.try_to_timestamp("e.create_time", F.lit("yyyy-MM-dd HH:mm:ss")), as_of).alias("published_at"))
 
 
@@ -65,22 +81,22 @@ LIVES_TYPE = ("struct<code: int, data: struct<items: array<struct<id: bigint, ti
 
 
 def read_live_channel(pages: DataFrame, as_of: Column, body: str = "body", channel: str = "channel",
-                      limit: int = 20) -> DataFrame:
+                      limit: int | None = None, snippet_chars: int | None = None, max_symbols: int | None = None) -> DataFrame:
     """Live channel envelope (code 20000); symbols may be strings or objects with ``symbol``."""
     doc = F.from_json(body, LIVES_TYPE)
     rows = (pages.select(channel, doc.alias("d")).filter("d.code = 20000")
-            .select(channel, F.explode(F.slice("d.data.items", 1, limit)).alias("e")))
+            .select(channel, F.explode(first_items(F.col("d.data.items"), limit)).alias("e")))
     title = strip(F.col("e.title"))
     out = rows.withColumn("title", title).filter((F.col("title") != "") & ~is_noise_title(F.col("title")))
     symbol = F.transform(F.coalesce("e.symbols", F.array().cast("array<string>")), lambda s: F.when(
         s.startswith("{"), F.get_json_object(s, "$.symbol")).otherwise(s))
-    clean = F.substring(clean_html(F.col("e.content_text")), 1, 500)
+    clean = shorten(clean_html(F.col("e.content_text")), snippet_chars)
     return out.select(
         "title", F.concat(F.lit("https://wallstreetcn.com/live/global/"), F.col("e.id").cast("string")).alias("url"),
         F.concat(F.lit("华尔街见闻·"), channel).alias("source"),
         F.when(F.coalesce(F.col("e.content_text"), F.lit("")) == "", F.col("title")).otherwise(clean).alias("snippet"),
         F.coalesce(F.timestamp_seconds(F.nullif("e.display_time", F.lit(0))), as_of).alias("published_at"),
-        F.slice(F.filter(symbol, lambda s: s != ""), 1, 10).alias("tickers"))
+        first_items(F.filter(symbol, lambda s: s != ""), max_symbols).alias("tickers"))
 
 
 COMPANY_TYPE = ("array<struct<id: bigint, headline: string, url: string, source: string, summary: string, "
@@ -88,9 +104,9 @@ COMPANY_TYPE = ("array<struct<id: bigint, headline: string, url: string, source:
 
 
 def read_company_news(pages: DataFrame, as_of: Column, seen_ids: DataFrame | None = None, body: str = "body",
-                      ticker: str = "ticker", limit: int = 5) -> DataFrame:
-    """First five articles per ticker response; known ids and empty headlines dropped."""
-    rows = (pages.select(ticker, F.explode(F.slice(F.from_json(body, COMPANY_TYPE), 1, limit)).alias("a"))
+                      ticker: str = "ticker", limit: int | None = None, snippet_chars: int | None = None) -> DataFrame:
+    """Articles per ticker response; known ids and empty headlines dropped."""
+    rows = (pages.select(ticker, F.explode(first_items(F.from_json(body, COMPANY_TYPE), limit)).alias("a"))
             .filter(F.coalesce(F.col("a.headline"), F.lit("")) != ""))
     if seen_ids is not None:
         rows = rows.withColumn("id", F.col("a.id")).join(seen_ids.select("id"), "id", "left_anti")
@@ -98,15 +114,16 @@ def read_company_news(pages: DataFrame, as_of: Column, seen_ids: DataFrame | Non
     return rows.select(F.col("a.id").alias("article_id"), F.col("a.headline").alias("title"),
                        F.coalesce("a.url", F.lit("")).alias("url"),
                        F.concat(F.lit("Finnhub ("), name, F.lit(")")).alias("source"),
-                       F.substring(F.coalesce("a.summary", F.lit("")), 1, 800).alias("snippet"),
+                       shorten(F.coalesce("a.summary", F.lit("")), snippet_chars).alias("snippet"),
                        F.coalesce(F.timestamp_seconds(F.nullif("a.datetime", F.lit(0))), as_of).alias("published_at"),
                        F.array(F.col(ticker)).alias("tickers"))
 
 
 def read_search_news(rows: DataFrame, keyword_tickers: DataFrame) -> DataFrame:
     """Search results (title, url, source, publish_time, related array, search_kw); a result
-    without securities takes the ticker its search keyword stands for."""
-    j = rows.join(keyword_tickers.select(F.col("keyword").alias("search_kw"), F.col("ticker").alias("_t")),
+    without securities takes the ticker its search keyword stands for (the smallest if it stands for several)."""
+    one = keyword_tickers.groupBy(F.col("keyword").alias("search_kw")).agg(F.min("ticker").alias("_t"))
+    j = rows.join(one,
                   "search_kw", "left")
     has = F.coalesce(F.size("related"), F.lit(0)) > 0
     none = F.array().cast("array<string>")
@@ -129,10 +146,10 @@ def read_release_calendar(releases: DataFrame, tags=E.RELEASE_TAGS) -> DataFrame
 
 
 def read_filings(entries: DataFrame, watch, document: str = "document", position: str = "position",
-                 limit: int = 30) -> DataFrame:
+                 limit: int | None = None) -> DataFrame:
     """8-K entries (document, position, title, link, updated) that name a watched ticker; the
-    first ``limit`` entries of each landed document."""
-    kept = top_per_key(entries, [document], [position], limit)
+    first ``limit`` entries of each landed document when it is given."""
+    kept = top_per_key(entries, [document], [position], limit) if limit else entries
     t = kept.withColumn("tickers", mentioned_tickers(F.col("title"), watch)).filter(F.size("tickers") > 0)
     return t.select(F.concat(F.lit("SEC 8-K Filing: "), "title").alias("title"), F.col("link").alias("url"),
                     F.lit("SEC EDGAR").alias("source"),
@@ -141,7 +158,7 @@ def read_filings(entries: DataFrame, watch, document: str = "document", position
                     "tickers", F.lit(0.45).alias("priority_score"))
 
 
-def read_filings_xml(spark: SparkSession, path: str, watch, limit: int = 30) -> DataFrame:
+def read_filings_xml(spark: SparkSession, path: str, watch, limit: int | None = None) -> DataFrame:
     """The same from landed Atom files."""
     raw = (spark.read.format("xml").option("rowTag", "entry")
            .schema("title string, link struct<_href: string>, updated string").load(path))
@@ -154,26 +171,27 @@ SENTIMENT_TYPE = ("struct<feed: array<struct<title: string, url: string, source:
                   "overall_sentiment_label: string>>>")
 
 
-def read_sentiment_feed(pages: DataFrame, body: str = "body", ticker: str = "ticker", limit: int = 5) -> DataFrame:
-    """Five articles per ticker response, distinct URLs, bullish/bearish label kept."""
+def read_sentiment_feed(pages: DataFrame, body: str = "body", ticker: str = "ticker", limit: int | None = None,
+                        snippet_chars: int | None = None) -> DataFrame:
+    """Articles per ticker response, distinct URLs, bullish/bearish label kept."""
     feed = F.from_json(body, SENTIMENT_TYPE)["feed"]
-    rows = pages.select(ticker, F.posexplode(F.slice(feed, 1, limit)).alias("pos", "a")).filter(
+    rows = pages.select(ticker, F.posexplode(first_items(feed, limit)).alias("pos", "a")).filter(
         F.coalesce(F.col("a.url"), F.lit("")) != "")
     label = F.lower(F.coalesce("a.overall_sentiment_label", F.lit("")))
     shaped = rows.select(
         F.coalesce("a.title", F.lit("")).alias("title"), F.col("a.url").alias("url"),
         F.concat(F.lit("Alpha Vantage — "), F.coalesce("a.source", F.lit("unknown"))).alias("source"),
-        F.substring(F.coalesce("a.summary", F.lit("")), 1, 500).alias("snippet"), F.array(F.col(ticker)).alias("tickers"),
+        shorten(F.coalesce("a.summary", F.lit("")), snippet_chars).alias("snippet"), F.array(F.col(ticker)).alias("tickers"),
         F.when(label.isin("bullish", "bearish"), label).otherwise("").alias("sentiment"),
         F.array(F.lit("AlphaVantage")).alias("macro_tags"), F.col(ticker).alias("_t"), F.col("pos").alias("_pos"))
     return first_per_key(shaped, ["url"], ["_t", "_pos"]).drop("_t", "_pos")
 
 
 def extract_headlines(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
-                      min_chars: int = 10, href_pattern: str | None = None, limit: int = 30,
-                      title_cut: int = 200) -> DataFrame:
+                      min_chars: int = 10, href_pattern: str | None = None, limit: int | None = None,
+                      title_chars: int | None = None) -> DataFrame:
     """(page_id, pos, title, href) of the anchors of each page: titles of at least ``min_chars``
-    characters, first anchor per link, relative links resolved, at most ``limit`` per page."""
+    characters, first anchor per link, relative links resolved; with ``limit`` at most so many per page."""
     rx = F.lit(r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>')
     anchors = F.arrays_zip(F.regexp_extract_all(html, rx, F.lit(1)).alias("href"),
                            F.regexp_extract_all(html, rx, F.lit(2)).alias("inner"))
@@ -191,15 +209,16 @@ def extract_headlines(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     if href_pattern:
         good = good.filter(F.col("href").rlike(href_pattern))
     once = first_per_key(good, [page_id, "href"], ["pos"])
-    top = top_per_key(once, [page_id], ["pos"], limit)
-    return top.withColumn("title", F.substring("title", 1, title_cut))
+    top = top_per_key(once, [page_id], ["pos"], limit) if limit else once
+    return top.withColumn("title", shorten(F.col("title"), title_chars))
 
 
-def read_posts(posts: DataFrame, text: str = "text", user: str = "username", url: str = "url") -> DataFrame:
+def read_posts(posts: DataFrame, text: str = "text", user: str = "username", url: str = "url",
+               snippet_chars: int | None = None) -> DataFrame:
     """Social posts of ten characters or more; long ones get a cut title."""
     body = strip(F.col(text))
     title = F.when(F.length("_b") <= 200, F.col("_b")).otherwise(F.concat(F.substring("_b", 1, 197), F.lit("...")))
     return (posts.withColumn("_b", body).filter(F.length("_b") >= 10)
             .select(*[c for c in posts.columns if c not in (text, user, url)], title.alias("title"),
                     F.col(url).alias("url"), F.concat(F.lit("Twitter @"), user).alias("source"),
-                    F.substring("_b", 1, 500).alias("snippet")))
+                    shorten(F.col("_b"), snippet_chars).alias("snippet")))

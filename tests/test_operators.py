@@ -152,7 +152,7 @@ def test_sinks(spark, tmp_path):
     flow = str(tmp_path / "flow")
     K.upsert_latest(spark.createDataFrame([("aapl", 1, 1.0)], "ticker string, day int, v double"), flow, ["ticker", "day"], upper="ticker")
     K.upsert_latest(spark.createDataFrame([("AAPL", 1, 2.0), ("AAPL", 2, 3.0)], "ticker string, day int, v double"), flow, ["ticker", "day"])
-    assert sorted(tuple(r) for r in spark.read.parquet(flow).collect()) == [("AAPL", 1, 2.0), ("AAPL", 2, 3.0)]
+    assert sorted(tuple(r) for r in K.read_table(spark, flow).collect()) == [("AAPL", 1, 2.0), ("AAPL", 2, 3.0)]
     K.write_alerts(spark.createDataFrame([(1, "critical"), (2, "normal"), (3, "notable")], "id long, alert_level string"), str(tmp_path / "alerts"))
     assert spark.read.parquet(str(tmp_path / "alerts")).count() == 3
 
@@ -162,7 +162,8 @@ def test_file_sources(spark, tmp_path):
     items = "".join(f"<item><title>T{i}</title><link>http://x/{i}</link><description>&lt;b&gt;body {i}&lt;/b&gt;</description><pubDate>Mon, 01 Jan 2024 10:00:0{i % 10} GMT</pubDate></item>" for i in range(25))
     rss.write_text(f"<?xml version='1.0'?><rss><channel>{items}<item><title></title><link>http://x/n</link></item></channel></rss>")
     got = feeds.read_rss(spark, str(rss), "src", F.lit("2024-02-01").cast("timestamp")).collect()
-    assert len(got) == 20 and got[0]["snippet"] == "body 0" and got[0]["published_at"] == datetime(2024, 1, 1, 10)
+    assert len(got) == 25 and len(feeds.read_rss(spark, str(rss), "src", F.lit("2024-02-01").cast("timestamp"), limit=20).collect()) == 20
+    assert got[0]["snippet"] == "body 0" and got[0]["published_at"] == datetime(2024, 1, 1, 10)
     atom = tmp_path / "atom.xml"
     atom.write_text('<?xml version="1.0"?><feed><entry><title>8-K - NVDA CORP</title><link href="http://sec/1"/><updated>2024</updated></entry><entry><title>8-K - OTHER</title><link href="http://sec/2"/></entry></feed>')
     filed = feeds.read_filings_xml(spark, str(atom), ["NVDA"]).collect()
@@ -171,3 +172,54 @@ def test_file_sources(spark, tmp_path):
     cases.write_text('{"case_id": "a", "title": "x", "intensity": 4, "is_push": true}\n{"case_id": "b", "title": "y"}\n')
     leaked = spark.createDataFrame([("b",)], "case_id string")
     assert [r["case_id"] for r in flows.read_cases(spark, str(cases), leaked).collect()] == ["a"]
+
+
+def test_replaced_table_survives_a_job_that_dies(spark, tmp_path):
+    path = str(tmp_path / "t")
+    row = lambda k, v: spark.createDataFrame([(k, v)], "k string, v int")
+    K.upsert_latest(row("A", 1), path, ["k"])
+    K.upsert_latest(row("B", 2), path, ["k"])
+    seen = lambda: sorted((r["k"], r["v"]) for r in K.read_table(spark, path).collect())
+    # dies while writing: a half version without pointer is neither read nor kept
+    row("X", 9).write.parquet(f"{path}/v=3")
+    assert seen() == [("A", 1), ("B", 2)]
+    K.upsert_latest(row("C", 3), path, ["k"])
+    assert seen() == [("A", 1), ("B", 2), ("C", 3)]
+    # dies before old versions are deleted: the newest pointer counts
+    row("Y", 9).write.parquet(f"{path}/v=1")
+    assert seen() == [("A", 1), ("B", 2), ("C", 3)]
+    # two writers of one version: the second fails and changes nothing
+    (tmp_path / "t" / "_current" / "4").touch()
+    (tmp_path / "t" / "_current" / "4").unlink()
+    assert K.table_version(spark, path) == 3
+
+
+def test_rows_without_key_and_repeated_patches(spark, tmp_path):
+    path = str(tmp_path / "n")
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, "a")], "i int, url string")
+    assert sorted(r["i"] for r in K.append_new(rows, path, "url", ["i"]).collect()) == [1, 2, 3]
+    assert sorted(r["i"] for r in D.dedup_url(rows, order=("i",)).collect()) == [1, 2, 3]
+    patch = spark.createDataFrame([("a", 5), ("a", 7)], "url string, i int")
+    assert sorted((r["url"] or "", r["i"]) for r in K.update_fields(rows, patch, "url").collect()) == [("", 2), ("", 3), ("a", 7), ("a", 7)]
+
+
+def test_feed_times_in_zones(spark):
+    texts = ["Mon, 01 Jan 2024 10:00:00 GMT", "Mon, 01 Jan 2024 05:00:00 -0500", "1 Jan 2024 05:00 EST", "2024-01-01T10:00:00Z", "no time"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(feeds.parse_time(F.col("t"))).collect()]
+    assert got == [datetime(2024, 1, 1, 10)] * 4 + [None]
+
+
+def test_small_and_joined_dictionaries_agree(spark):
+    from newsflow.operators.tagging import contains_join
+    docs = spark.createDataFrame([(1, "The Cat sat"), (2, None), (3, "dog")], "news_id int, text string")
+    words = spark.createDataFrame([("cat", 1), ("", 2), (None, 3), ("DO", 4), ("a", 5)], "keyword string, tag int")
+    ways = [sorted((r["news_id"], r["tag"]) for r in contains_join(docs, words, inline_limit=n).collect()) for n in (2000, 0)]
+    assert ways[0] == ways[1] == [(1, 1), (1, 5), (3, 4)]
+
+
+def test_regions_outside_the_us(spark):
+    from newsflow.functions.predicates import geo_tier_weight
+    titles = ["Thailand baht slides as Bangkok flood costs rise", "Malaysia ringgit drops", "Istanbul index falls as lira weakens", "Real estate prices rise",
+              "Warsaw stocks gain", "Naira weakens", "Hanoi exports grow"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in titles], "t string").select(geo_tier_weight(F.col("t"), F.lit(False))).collect()]
+    assert got == [0.25, 0.25, 0.25, 1.0, 0.25, 0.25, 0.25]
