@@ -29,31 +29,67 @@ def _source(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(d)
 
 
-@query("""WITH t AS (SELECT *, sum((NOT failed)::INT) OVER (PARTITION BY source ORDER BY ts, event_id) AS g FROM v_cycles),
+def _events(spark: SparkSession, d: str, files: int = 4) -> DataFrame:
+    """The events as a stream of several micro-batches whose rows arrive up to 20 minutes late and out of order."""
+    e = V.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    arrival = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(1200))
+    lo, hi = e.agg(F.min(arrival), F.max(arrival)).first()
+    part = F.least(F.floor((arrival - (lo or 0)) * files / max(1, (hi or 0) - (lo or 0) + 1)), F.lit(files - 1))
+    path = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    for n in range(files):  # one after the other: files are read in the order of their times
+        e.filter(part == n).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+# what the watermark has passed at the end
+PASSED = "epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 1800000 FROM events)"
+
+
+@query(f"""WITH v_cycles AS ({V.VIEW_SQL['v_cycles']}), t AS (SELECT *, sum((NOT failed)::INT) OVER (PARTITION BY source ORDER BY ts, event_id) AS g FROM v_cycles),
  s AS (SELECT *, CASE WHEN failed THEN sum(failed::INT) OVER (PARTITION BY source, g ORDER BY ts, event_id) ELSE 0 END AS streak FROM t),
  p AS (SELECT *, coalesce(lag(streak) OVER (PARTITION BY source ORDER BY ts, event_id), 0) AS before FROM s)
- SELECT source, event_id, CASE WHEN streak = 3 THEN 'source_stall' ELSE 'source_recovered' END AS event_type FROM p WHERE streak = 3 OR (NOT failed AND before >= 3)"""
-       .replace("WITH t", f"WITH v_cycles AS ({V.VIEW_SQL['v_cycles']}), t"))
+ SELECT source, event_id, CASE WHEN streak = 3 THEN 'source_stall' ELSE 'source_recovered' END AS event_type FROM p WHERE (streak = 3 OR (NOT failed AND before >= 3)) AND {PASSED}""")
 def stream_source_stalls(spark: SparkSession, d: str) -> DataFrame:
-    e = _source(spark, d, "events")
-    c = e.select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
+    e = _events(spark, d)
+    c = e.select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source"), "ts", "event_id",
                  F.col("event_type").isin("error", "view", "click").alias("failed"))
     return _drain(spark, S.stream_source_stall(c)).select("source", "event_id", "event_type")
 
 
-@query("""WITH RECURSIVE v AS MATERIALIZED (SELECT md5('v' || CAST(user_id AS VARCHAR)) AS title_hash, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+@query(f"""WITH RECURSIVE v AS MATERIALIZED (SELECT md5('v' || CAST(user_id AS VARCHAR)) AS title_hash, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
  f(title_hash, k, last, ok) AS (SELECT DISTINCT title_hash, 0::BIGINT, TIMESTAMP '1970-01-01', false FROM v UNION ALL
  SELECT v.title_hash, v.k, CASE WHEN epoch(v.ts) - epoch(f.last) >= 43200 THEN v.ts ELSE f.last END, epoch(v.ts) - epoch(f.last) >= 43200 FROM f JOIN v ON v.title_hash = f.title_hash AND v.k = f.k + 1)
- SELECT v.title_hash, v.event_id FROM f JOIN v ON v.title_hash = f.title_hash AND v.k = f.k WHERE f.ok""")
+ SELECT v.title_hash, v.event_id FROM f JOIN v ON v.title_hash = f.title_hash AND v.k = f.k WHERE f.ok AND {PASSED}""")
 def stream_ttl_dedup(spark: SparkSession, d: str) -> DataFrame:
-    e = _source(spark, d, "events").select(F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("title"), F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"))
+    e = _events(spark, d).select(F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("title"), "event_id", "ts")
     return _drain(spark, S.stream_ttl_dedup(e, 43200, "event_id", "ts")).select("title_hash", "event_id")
 
 
+@query(f"""WITH RECURSIVE v AS MATERIALIZED (SELECT 'p' || CAST(user_id % 20 AS VARCHAR) AS pipeline, ts, event_type IN ('error', 'view', 'click') AS bad, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS k FROM events),
+ f(pipeline, k, ts, run, last, hit) AS (SELECT DISTINCT pipeline, 0::BIGINT, TIMESTAMP '1970-01-01', 0, TIMESTAMP '1970-01-01', false FROM v UNION ALL
+ SELECT v.pipeline, v.k, v.ts, CASE WHEN v.bad THEN f.run + 1 ELSE 0 END, CASE WHEN v.bad AND f.run + 1 >= 2 AND epoch(v.ts) - epoch(f.last) >= 3600 THEN v.ts ELSE f.last END,
+ v.bad AND f.run + 1 >= 2 AND epoch(v.ts) - epoch(f.last) >= 3600 FROM f JOIN v ON v.pipeline = f.pipeline AND v.k = f.k + 1)
+ SELECT pipeline, count(*) AS verdicts, sum(hit::INT) AS alerts FROM f WHERE k > 0 AND {PASSED} GROUP BY pipeline""")
+def stream_health_alerts(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d).select(F.concat(F.lit("p"), (F.col("user_id") % 20).cast("string")).alias("pipeline"), "ts", "event_id",
+                                 F.col("event_type").isin("error", "view", "click").alias("should_alert"))
+    out = _drain(spark, S.stream_health_alerts(e, tie="event_id"))
+    return out.groupBy("pipeline").agg(F.count("*").alias("verdicts"), F.sum(F.col("alerted").cast("int")).alias("alerts"))
+
+
+@query(f"""WITH s AS (SELECT CAST(user_id % 50 AS VARCHAR) AS ticker, ts, event_id, ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS et FROM events),
+ w AS (SELECT *, extract(hour FROM et) * 60 + extract(minute FROM et) AS m FROM s WHERE dayofweek(et) NOT IN (0, 6)),
+ n AS (SELECT *, CASE WHEN m BETWEEN 565 AND 575 THEN 'pre' WHEN m BETWEEN 870 AND 880 THEN 'intraday' WHEN m BETWEEN 990 AND 1000 THEN 'sector' END AS snapshot FROM w)
+ SELECT ticker, snapshot, CAST(et AS DATE) AS day, min(ts) AS ts FROM n WHERE snapshot IS NOT NULL AND {PASSED} GROUP BY 1, 2, 3""")
+def stream_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    q = _events(spark, d).select((F.col("user_id") % 50).cast("string").alias("ticker"), "ts")
+    return _drain(spark, S.stream_snapshot_windows(q)).select("ticker", "snapshot", "day", "ts")
+
+
 @query("""SELECT date_trunc('hour', ts) AS window_start, count(*) AS articles FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 30 MINUTE FROM events) GROUP BY 1""")
 def stream_ingest_rate(spark: SparkSession, d: str) -> DataFrame:
     """Windows closed by the watermark; the newest one is still open."""
-    e = _source(spark, d, "events").select(F.col("ts").cast("timestamp").alias("captured_at"))
+    e = _events(spark, d).select(F.col("ts").alias("captured_at"))
     return _drain(spark, S.ingest_rate(e)).select("window_start", "articles")
 
 

@@ -1,15 +1,19 @@
 """Structured Streaming forms of the live rules.
 
-Stateful rules use one keyed fold: state is a small JSON document per key, pruned by the rule's
-own time window and dropped by an event-time timeout once a key goes quiet. The step functions
-are shared with the batch folds, so a stream over the same rows gives the same decisions.
+Rules that depend on order use one keyed fold: rows wait in the key's state until the watermark has
+passed them and are then folded in event order, so the result does not depend on how rows arrive
+within the lateness. Later rows are dropped (``split_late`` keeps them). State is a JSON document per
+key. The step functions are shared with the batch folds, so a stream over the same rows gives the
+same decisions for everything the watermark has passed.
 """
 
 from __future__ import annotations
 
 import json
+from datetime import date
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,27 +26,59 @@ from ..operators.windows import top_per_key
 LATENESS = "30 minutes"
 
 
+def _plain(v):
+    """A value of a row as JSON can hold it."""
+    if isinstance(v, pd.Timestamp):
+        return {"ns": v.value}
+    if isinstance(v, np.ndarray):
+        return [_plain(x) for x in v]
+    if isinstance(v, np.generic):
+        return v.item()
+    return {"day": v.isoformat()} if isinstance(v, date) else v
+
+
+def _value(v):
+    if isinstance(v, dict) and set(v) == {"ns"}:
+        return pd.Timestamp(v["ns"])
+    return date.fromisoformat(v["day"]) if isinstance(v, dict) and set(v) == {"day"} else v
+
+
 def keyed_fold(stream: DataFrame, keys: list[str], order: list[str], ts: str, step: Callable[[dict, dict], list[dict]],
-               out: T.StructType, quiet_seconds: float, lateness: str = LATENESS) -> DataFrame:
-    """Fold each key's rows in order; ``step(state, row)`` returns output rows.
+               out: T.StructType, quiet_seconds: float | None = None, lateness: str | None = LATENESS) -> DataFrame:
+    """Fold each key's rows in event order; ``step(state, row)`` returns output rows.
 
-    A micro-batch hands a key only its own new rows; what stays between batches is the state.
+    State holds the rule's memory and the rows that the watermark has not passed. A key's state is
+    dropped ``quiet_seconds`` after its last row; without it the state stays. ``lateness`` None: the
+    stream has its watermark already.
     """
     names = out.fieldNames()
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        kept = json.loads(state.get[0]) if state.exists else {"memory": {}, "waiting": [], "last": None}
+        passed = state.getCurrentWatermarkMs()
+        rows = [{k: _value(v) for k, v in row.items()} for row in kept["waiting"]]
+        if not state.hasTimedOut:
+            for batch in batches:
+                rows.extend(batch.to_dict("records"))
+        rows.sort(key=lambda r: tuple(r[c] for c in order))
+        millis = [r[ts].value // 1_000_000 for r in rows]
+        memory, made = kept["memory"], []
+        for row, at in zip(rows, millis):
+            if at < passed:
+                made.extend(step(memory, row))
+                kept["last"] = at
+        waiting = [r for r, at in zip(rows, millis) if at >= passed]
+        if waiting or quiet_seconds is None or kept["last"] is None or kept["last"] + quiet_seconds * 1000 >= passed:
+            kept["waiting"] = [{k: _plain(v) for k, v in r.items()} for r in waiting]
+            state.update((json.dumps(kept),))
+            due = min(at for at in millis if at >= passed) if waiting else None if quiet_seconds is None else int(kept["last"] + quiet_seconds * 1000)
+            if due is not None:
+                state.setTimeoutTimestamp(max(due, passed + 1))
+        else:
             state.remove()
-            return
-        memory = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        made = [r for row in rows.to_dict("records") for r in step(memory, row)]
-        state.update((json.dumps(memory),))
-        due = int(rows[ts].max().timestamp() * 1000 + quiet_seconds * 1000)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(made, columns=names).astype({n: "object" for n in names})
 
-    return (stream.withWatermark(ts, lateness).groupBy(*keys)
+    return ((stream.withWatermark(ts, lateness) if lateness else stream).groupBy(*keys)
             .applyInPandasWithState(run, out, "memory string", "append", GroupStateTimeout.EventTimeTimeout))
 
 
@@ -164,8 +200,10 @@ def escalation_step(state: dict, row: dict, cfg: dict = ESCALATION) -> str | Non
 ESCALATION_ALERTS = {"ALERTED": "important", "CONFIRMED": "critical", "CLOSED": "normal"}
 
 
-def stream_escalation(sweeps: DataFrame, ts: str = "swept_at", cfg: dict = ESCALATION, lateness: str = LATENESS) -> DataFrame:
-    """State changes and alerts of events over their sweep rows (one per event and sweep)."""
+def stream_escalation(sweeps: DataFrame, ts: str = "swept_at", cfg: dict = ESCALATION, lateness: str = LATENESS,
+                      quiet_seconds: float | None = None) -> DataFrame:
+    """State changes and alerts of events over their sweep rows (one per event and sweep); an event's
+    state is kept unless ``quiet_seconds`` ends it."""
     out = T.StructType([T.StructField("event_id", T.LongType()), T.StructField(ts, T.TimestampType()),
                         T.StructField("state", T.StringType()), T.StructField("alert_level", T.StringType())])
 
@@ -173,7 +211,7 @@ def stream_escalation(sweeps: DataFrame, ts: str = "swept_at", cfg: dict = ESCAL
         new = escalation_step(state, row, cfg)
         return [] if new is None else [{"event_id": row["event_id"], ts: row[ts], "state": new, "alert_level": ESCALATION_ALERTS[new]}]
 
-    return keyed_fold(sweeps, ["event_id"], [ts], ts, step, out, 24 * 3600, lateness)
+    return keyed_fold(sweeps, ["event_id"], [ts], ts, step, out, quiet_seconds, lateness)
 
 
 # --- suppression -------------------------------------------------------------------------------
@@ -196,10 +234,10 @@ def stream_topic_suppression(alerts: DataFrame, window_seconds: int = 24 * 3600,
 
 
 def batch_cap(path: str, k: int = 4, order: tuple = ("ts", "id"), channel: str = "channel"):
-    """foreachBatch writer: at most k alerts per channel and micro-batch reach the sink."""
+    """foreachBatch writer: at most k alerts per channel and micro-batch reach the sink. A batch that is
+    run again replaces its own folder ``batch_id=<n>``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        capped = top_per_key(batch, [channel], list(order), k)
-        capped.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+        top_per_key(batch, [channel], list(order), k).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return write
 
 
@@ -222,7 +260,7 @@ def stall_step(state: dict, failed: bool, threshold: int = 3) -> str | None:
 
 
 def stream_source_stall(cycles: DataFrame, threshold: int = 3, ts: str = "ts", tie: str = "event_id",
-                        lateness: str = LATENESS) -> DataFrame:
+                        lateness: str = LATENESS, quiet_seconds: float | None = None) -> DataFrame:
     out = T.StructType([T.StructField("source", T.StringType()), cycles.schema[tie],
                         T.StructField(ts, T.TimestampType()), T.StructField("event_type", T.StringType())])
 
@@ -230,11 +268,11 @@ def stream_source_stall(cycles: DataFrame, threshold: int = 3, ts: str = "ts", t
         event = stall_step(state, bool(row["failed"]), threshold)
         return [] if event is None else [{"source": row["source"], tie: row[tie], ts: row[ts], "event_type": event}]
 
-    return keyed_fold(cycles, ["source"], [ts, tie], ts, step, out, 7 * 24 * 3600, lateness)
+    return keyed_fold(cycles, ["source"], [ts, tie], ts, step, out, quiet_seconds, lateness)
 
 
 def stream_health_alerts(verdicts: DataFrame, n: int = 2, cooldown_seconds: int = 3600, ts: str = "ts",
-                         lateness: str = LATENESS) -> DataFrame:
+                         lateness: str = LATENESS, quiet_seconds: float | None = None, tie: str | None = None) -> DataFrame:
     out = T.StructType([T.StructField("pipeline", T.StringType()), T.StructField(ts, T.TimestampType()),
                         T.StructField("alerted", T.BooleanType())])
 
@@ -242,7 +280,7 @@ def stream_health_alerts(verdicts: DataFrame, n: int = 2, cooldown_seconds: int
         hit = debounce_step(state, bool(row["should_alert"]), row[ts].timestamp(), n, cooldown_seconds)
         return [{"pipeline": row["pipeline"], ts: row[ts], "alerted": hit}]
 
-    return keyed_fold(verdicts, ["pipeline"], [ts], ts, step, out, 7 * 24 * 3600, lateness)
+    return keyed_fold(verdicts, ["pipeline"], [ts] + ([tie] if tie else []), ts, step, out, quiet_seconds, lateness)
 
 
 # --- joins and enrichment ------------------------------------------------------------------------
@@ -270,15 +308,21 @@ SNAPSHOTS = {"pre": (9 * 60 + 25, 9 * 60 + 35), "intraday": (14 * 60 + 30, 14 *
 
 
 def stream_snapshot_windows(quotes: DataFrame, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
-    """First quote per ticker inside each daily snapshot window (New York time, weekdays)."""
+    """Earliest quote per ticker inside each daily snapshot window (New York time, weekdays)."""
     et = to_eastern(F.col(ts))
     minute = F.hour(et) * 60 + F.minute(et)
     name = None
     for label, (lo, hi) in SNAPSHOTS.items():
         name = F.when(minute.between(lo, hi), label) if name is None else name.when(minute.between(lo, hi), label)
-    df = (quotes.withColumn("snapshot", name).filter(F.col("snapshot").isNotNull() & ~F.dayofweek(et).isin(1, 7))
-          .withColumn("day", et.cast("date")).withWatermark(ts, lateness))
-    return df.dropDuplicatesWithinWatermark(["ticker", "snapshot", "day"])
+    df = (quotes.withWatermark(ts, lateness).withColumn("snapshot", name).filter(F.col("snapshot").isNotNull() & ~F.dayofweek(et).isin(1, 7))
+          .withColumn("day", et.cast("date")))
+
+    def step(state, row):
+        new = "taken" not in state
+        state["taken"] = True
+        return [row] if new else []
+
+    return keyed_fold(df, ["ticker", "snapshot", "day"], [ts], ts, step, df.schema, 24 * 3600, None)
 
 
 def with_session(quotes: DataFrame, ts: str = "ts") -> DataFrame:
@@ -286,12 +330,13 @@ def with_session(quotes: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def split_late(batch_ts: str, watermark_seconds: float, table: str, late_table: str):
-    """foreachBatch writer that sends rows behind the batch's watermark to a side table."""
+    """foreachBatch writer that sends rows behind the batch's watermark to a side table; a
+    batch that is run again replaces its own folders."""
     def write(batch: DataFrame, batch_id: int) -> None:
         newest = batch.agg(F.max(batch_ts).alias("m")).first()["m"]
         if newest is None:
             return
         bound = F.lit(newest) - F.make_dt_interval(secs=F.lit(float(watermark_seconds)))
-        batch.filter(F.col(batch_ts) >= bound).write.mode("append").parquet(table)
-        batch.filter(F.col(batch_ts) < bound).write.mode("append").parquet(late_table)
+        batch.filter(F.col(batch_ts) >= bound).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        batch.filter(F.col(batch_ts) < bound).write.mode("overwrite").parquet(f"{late_table}/batch_id={batch_id}")
     return write

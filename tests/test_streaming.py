@@ -1,5 +1,6 @@
 """State machines step by step, and streams against their batch form."""
 
+import random
 import uuid
 from datetime import datetime, timedelta
 
@@ -19,10 +20,18 @@ def drain(spark, tmp_path, stream):
     return spark.table(name).collect()
 
 
-def source(spark, tmp_path, df, files=1):
+def source(spark, tmp_path, df, ts=None, end=None, arrivals=1):
+    """A stream of ``arrivals`` micro-batches over shuffled rows, and a row far ahead that lets the watermark pass all."""
     path = str(tmp_path / ("s" + uuid.uuid4().hex))
-    df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    rows = df.collect()
+    random.Random(4).shuffle(rows)
+    parts = [rows[i::arrivals] for i in range(arrivals)]
+    if ts:  # the row that ends the stream
+        parts.append([df.filter(F.col(ts) == df.agg(F.max(ts)).first()[0]).limit(1).withColumn(ts, F.lit(end)).withColumns(
+            {f.name: F.lit("end").cast(f.dataType) for f in df.schema.fields if f.name in ("recipient", "block_of", "source", "pipeline")}).first()])
+    for part in parts:
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def test_escalation_end_to_end(spark, tmp_path):
@@ -31,7 +40,7 @@ def test_escalation_end_to_end(spark, tmp_path):
             (1, T0 + timedelta(hours=8), 3, 95.0, 7.0, None, None, None), (1, T0 + timedelta(hours=9), 3, 95.0, 8.0, None, None, None)]
     df = spark.createDataFrame([(*r[:4], "geopolitical", "BEARISH", *r[4:]) for r in rows],
                                "event_id long, swept_at timestamp, source_count int, peak_impact double, category string, sentiment string, silent_hours double, spx_pct double, vix_pct double, brent_pct double")
-    got = sorted((r["swept_at"], r["state"], r["alert_level"]) for r in drain(spark, tmp_path, S.stream_escalation(source(spark, tmp_path, df))))
+    got = sorted((r["swept_at"], r["state"], r["alert_level"]) for r in drain(spark, tmp_path, S.stream_escalation(source(spark, tmp_path, df, 'swept_at', T0 + timedelta(days=9), 3), lateness='10 hours')))
     assert [g[1:] for g in got] == [("ALERTED", "important"), ("CONFIRMED", "critical"), ("CLOSED", "normal")]
 
 
@@ -39,14 +48,14 @@ def test_suppression_stream_equals_batch(spark, tmp_path):
     rows = [(f"r{i % 2}", i, T0 + timedelta(minutes=17 * i), f"k{i % 5}", i % 4, [f"w{i % 7}", f"w{i % 3}"], ["STRATEGIC_A"] if i % 6 == 0 else []) for i in range(60)]
     df = spark.createDataFrame(rows, "recipient string, id long, ts timestamp, dedup_key string, intensity int, tokens array<string>, strategic_tags array<string>")
     want = {r["id"]: r["passed"] for r in O.suppress_topics(df).collect()}
-    got = {r["id"]: r["passed"] for r in drain(spark, tmp_path, S.stream_topic_suppression(source(spark, tmp_path, df)))}
+    got = {r["id"]: r["passed"] for r in drain(spark, tmp_path, S.stream_topic_suppression(source(spark, tmp_path, df, 'ts', T0 + timedelta(days=9), 4), lateness='20 hours')) if r['recipient'] != 'end'}
     assert got == want and len(set(want.values())) == 2
 
 
 def test_cluster_stream(spark, tmp_path):
     rows = [(1, "fed cuts rates today", 0), (2, "fed cuts rates today now", 5), (3, "apple opens store", 6), (4, "fed cuts rates today", 7), (5, "fed cuts rates today", 90)]
     df = spark.createDataFrame([(i, t, T0 + timedelta(minutes=m)) for i, t, m in rows], "news_id long, title string, captured_at timestamp")
-    got = sorted((r["news_id"], r["event_id"]) for r in drain(spark, tmp_path, S.stream_cluster(source(spark, tmp_path, df), F.lit("all"))))
+    got = sorted((r["news_id"], r["event_id"]) for r in drain(spark, tmp_path, S.stream_cluster(source(spark, tmp_path, df, 'captured_at', T0 + timedelta(days=9), 3), F.lit("all"), lateness='3 hours')))
     assert got == [(1, 1), (2, 1), (4, 1)]
 
 
@@ -57,8 +66,8 @@ def test_outcome_windows_and_snapshots(spark, tmp_path):
     assert got == [("15m", 16.0), ("1h", 61.0), ("4h", 242.0)]
     et = datetime(2024, 1, 2, 14, 26)  # 09:26 in New York
     q = spark.createDataFrame([("A", et, 1.0), ("A", et + timedelta(minutes=3), 2.0), ("A", et + timedelta(hours=1), 3.0), ("B", et, 4.0)], "ticker string, ts timestamp, last double")
-    rows = drain(spark, tmp_path, S.stream_snapshot_windows(source(spark, tmp_path, q)))
-    assert sorted((r["ticker"], r["snapshot"]) for r in rows) == [("A", "pre"), ("B", "pre")]
+    rows = drain(spark, tmp_path, S.stream_snapshot_windows(source(spark, tmp_path, q, 'ts', datetime(2024, 1, 12, 20), 3), lateness='2 hours'))
+    assert sorted((r["ticker"], r["snapshot"], r["last"]) for r in rows) == [("A", "pre", 1.0), ("B", "pre", 4.0)]  # the earliest quote, whatever arrives first
 
 
 def test_batch_cap_and_late_split(spark, tmp_path):
@@ -66,6 +75,8 @@ def test_batch_cap_and_late_split(spark, tmp_path):
     out = str(tmp_path / "capped")
     S.batch_cap(out)(df, 0)
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
+    S.batch_cap(out)(df, 0)  # a batch that is run again
+    assert spark.read.parquet(out).count() == 4
     S.split_late("ts", 300, str(tmp_path / "ok"), str(tmp_path / "late"))(df, 0)
     assert spark.read.parquet(str(tmp_path / "late")).count() == 3
 
@@ -75,3 +86,16 @@ def test_health_alert_step():
     for minute, bad in [(0, True), (30, True), (60, True), (95, True), (120, False), (150, True), (180, True)]:
         fired.append(O.debounce_step(state, bad, minute * 60.0, 2, 3600.0))
     assert fired == [False, True, False, True, False, False, True]
+
+
+def test_stalls_do_not_depend_on_arrival(spark, tmp_path):
+    """Failures at 0, 1, 3 minutes and a healthy cycle at 2 that arrives later: no stall, as in the batch form."""
+    df = spark.createDataFrame([("a", i, T0 + timedelta(minutes=m), bad) for i, (m, bad) in enumerate([(0, True), (1, True), (3, True), (2, False), (4, True), (5, True), (6, False)])],
+                               "source string, event_id long, ts timestamp, failed boolean")
+    path = str(tmp_path / "late")
+    for rows in (df.filter("event_id <> 3 and event_id < 5"), df.filter("event_id = 3 or event_id >= 5"),
+                 spark.createDataFrame([("end", 99, T0 + timedelta(hours=5), False)], df.schema)):
+        rows.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = sorted((r["event_id"], r["event_type"]) for r in drain(spark, tmp_path, S.stream_source_stall(stream)))
+    assert got == [(5, "source_stall"), (6, "source_recovered")]
