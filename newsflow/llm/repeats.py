@@ -2,12 +2,13 @@
 
 A byte goes when some ``LENGTH``-byte string that covers it starts earlier in the corpus as well.
 
-1. Every string of LENGTH bytes names one of its ``KGRAM``-byte substrings, the one with the smallest
+1. Later copies of a text are repeats from end to end and take no further part.
+2. Every string of LENGTH bytes names one of its ``KGRAM``-byte substrings, the one with the smallest
    hash (leftmost on ties). The strings of a document that name the same place form a context. Equal
    strings name equal substrings, so repeats can only be found between contexts of one anchor hash.
-2. Contexts of anchors that occur once are dropped. Of equal contexts the first stays, by a minimum
-   that is combined before the shuffle; every string of the others is a repeat.
-3. The distinct contexts of whole anchors are indexed in batches: a Burrows-Wheeler transform, kept as
+   Anchors that occur once, in one text, are dropped before any text moves.
+3. Contexts meet by anchor. Of equal ones the first stays; every string of the others is a repeat.
+   The distinct contexts of whole anchors are indexed in batches: a Burrows-Wheeler transform, kept as
    runs with the text position and the common prefix sampled at the ends of adjoining runs. Between
    samples the length of the match with the neighbour in suffix order falls by one per byte, so the
    matching statistics of all positions are streamed from the samples; neighbours that match over
@@ -27,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_and_text, read
+from .common import id_and_text, read, written
 from .registry import query
 from .shingles import mix, utf8
 
 LENGTH = 100
 KGRAM = 32
-HOT = 200_000
+HOT = 30_000  # so the text of an anchor that meets in one task stays below about 5 MB
 SEGMENT = 1 << 20  # string starts handled at once
 BATCH_BYTES = 1 << 20  # text of one index
 _PLACE = np.uint64((1 << 22) - 1)
@@ -108,59 +109,66 @@ def _keyed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
 
 
 def anchors(keyed: DataFrame) -> DataFrame:
-    """doc, anchor: one row per context."""
-    schema = pa.schema([("doc", pa.int64()), ("anchors", pa.list_(pa.int64()))])
+    """text_hash, anchor, own (whether the text has the anchor more than once); distinct per row."""
+    schema = pa.schema([("text_hash", pa.int64()), ("anchors", pa.list_(pa.int64())), ("own", pa.list_(pa.bool_()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0)
+            keys, parts = batch.column(0).to_pylist(), [[] for _ in range(batch.num_rows)]
             for b, bounds, first, _ in _segments(batch.column(1)):
                 start, _, anchor = contexts(b, bounds)
-                counts = np.diff(np.searchsorted(start, bounds))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(anchor, pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys.slice(first, len(counts)), lists], schema=schema)
+                cut = np.searchsorted(start, bounds)
+                for k in range(len(bounds) - 1):
+                    if cut[k + 1] > cut[k]:
+                        parts[first + k].append(anchor[cut[k]:cut[k + 1]])
+            found = [np.unique(np.concatenate(x), return_counts=True) if x else (np.empty(0, np.int64), np.empty(0, np.int64)) for x in parts]
+            at = pa.array(np.append(0, np.cumsum([len(x) for x, _ in found])).astype(np.int32))
+            flat = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
+            often = np.concatenate([n for _, n in found]) > 1 if found else np.empty(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat, pa.int64())),
+                                              pa.ListArray.from_arrays(at, pa.array(often, pa.bool_()))], schema=schema)
 
-    return keyed.select("doc", "text").mapInArrow(run, "doc long, anchors array<long>").select("doc", F.explode("anchors").alias("anchor"))
+    lists = keyed.select("text_hash", "text").mapInArrow(run, "text_hash long, anchors array<long>, own array<boolean>")
+    return lists.select("text_hash", F.explode(F.arrays_zip("anchors", "own")).alias("a")).select("text_hash", F.col("a.anchors").alias("anchor"), "a.own")
 
 
 def repeated_anchors(keyed: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc, wanted, hot_ones: its anchors that occur more than once, and those that occur very often."""
-    n = F.count("*").over(Window.partitionBy("anchor"))
-    rows = anchors(keyed).withColumn("n", n).filter("n > 1")
-    return rows.groupBy("doc").agg(F.collect_set("anchor").alias("wanted"), F.collect_set(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot_ones"))
+    """text_hash, wanted, hot_ones: anchors that other texts, or other places of the text, have too, and
+    those of them that occur very often."""
+    group = Window.partitionBy("anchor")
+    rows = (anchors(keyed).withColumn("n", F.count("*").over(group))
+            .withColumn("wide", (F.min("text_hash").over(group) != F.max("text_hash").over(group)) | F.max("own").over(group)).filter("wide"))
+    return rows.groupBy("text_hash").agg(F.collect_set("anchor").alias("wanted"), F.collect_set(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot_ones"))
 
 
-CONTEXT = "anchor long, digest long, doc_id long, text_hash long, doc long, start long, strings int, context binary, hot boolean"
+CONTEXT = "anchor long, doc_id long, text_hash long, doc long, start long, strings int, context binary"
 
 
-def candidate_contexts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The contexts of wanted anchors with their bytes and a 64-bit digest of them."""
-    fields = [("anchor", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()),
-              ("strings", pa.int32()), ("context", pa.binary()), ("hot", pa.bool_())]
-    schema = pa.schema(fields)
+def candidate_contexts(keyed: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The contexts, with their bytes, of the anchors in ``column`` of ``wanted`` (doc, and lists of anchors)."""
+    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()),
+                        ("strings", pa.int32()), ("context", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_id, text_hash, doc, texts, want, hot = batch.columns
+            doc_id, text_hash, doc, texts, want = batch.columns
             for b, bounds, first, shift in _segments(texts):
                 start, strings, anchor = contexts(b, bounds)
-                row = np.searchsorted(bounds, start, side="right") - 1
-                cut = np.searchsorted(row, np.arange(len(bounds)))
+                cut = np.searchsorted(start, bounds)
+                ok = np.zeros(len(start), bool)
                 for k in range(len(bounds) - 1):
-                    here = slice(cut[k], cut[k + 1])
-                    ok = np.isin(anchor[here], want[first + k].values.to_numpy())
-                    if not ok.any():
-                        continue
-                    s, n, a = start[here][ok], strings[here][ok], anchor[here][ok]
-                    bytes_ = [b[x:x + m + LENGTH - 1].tobytes() for x, m in zip(s.tolist(), n.tolist())]
-                    digest = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in bytes_]
-                    is_hot = np.isin(a, hot[first + k].values.to_numpy()) if len(hot[first + k].values) else np.zeros(len(a), bool)
-                    same = lambda c: pa.array([c[first + k].as_py()] * len(a), pa.int64())  # noqa: E731, B023
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a), pa.array(digest, pa.int64()), same(doc_id), same(text_hash), same(doc), pa.array(s - bounds[k] + shift, pa.int64()),
-                         pa.array(n, pa.int32()), pa.array(bytes_, pa.binary()), pa.array(is_hot)], schema=schema)
-
-    rows = keyed.join(wanted, "doc").select("doc_id", "text_hash", "doc", "text", "wanted", "hot_ones")
+                    ok[cut[k]:cut[k + 1]] = np.isin(anchor[cut[k]:cut[k + 1]], want[first + k].values.to_numpy())
+                start, strings, anchor = start[ok], strings[ok], anchor[ok]
+                if not len(start):
+                    continue
+                row = np.searchsorted(bounds, start, side="right") - 1
+                whole = b.tobytes()
+                bytes_ = [whole[x:y] for x, y in zip(start.tolist(), (start + strings + LENGTH - 1).tolist())]
+                take = pa.array(row + first)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), doc_id.take(take), text_hash.take(take), doc.take(take), pa.array(start - bounds[row] + shift),
+                                                  pa.array(strings.astype(np.int32)), pa.array(bytes_, pa.binary())], schema=schema)
+
+    rows = keyed.join(wanted.filter(F.size(column) > 0), "doc").select("doc_id", "text_hash", "doc", "text", column)
     return rows.mapInArrow(run, CONTEXT)
 
 
@@ -196,8 +204,11 @@ class RunLengthIndex:
         return self.order, np.flatnonzero(self.matching_statistics()[self.order] < length)
 
 
-def _suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; a suffix that ends is smaller. Sorts (rank, next rank, place) packed in 64 bits."""
+def _suffix_order(text: np.ndarray, packed_bits: int = 64) -> np.ndarray:
+    """Suffix array by prefix doubling; a suffix that ends is smaller.
+
+    Sorts (rank, next rank, place) packed in one number where they fit, else by a stable argsort.
+    """
     n = len(text)
     bits = np.uint64(max(1, n.bit_length()))
     place, mask = np.arange(n, dtype=np.uint64), (np.uint64(1) << bits) - np.uint64(1)
@@ -207,9 +218,13 @@ def _suffix_order(text: np.ndarray) -> np.ndarray:
     for j in range(depth):
         key = key << np.uint64(8) | padded[j:j + n]
     while True:
-        packed = np.sort(key << bits | place)
-        order = (packed & mask).astype(np.int64)
-        key = packed >> bits
+        if 3 * int(bits) <= packed_bits:
+            packed = np.sort(key << bits | place)
+            order = (packed & mask).astype(np.int64)
+            key = packed >> bits
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1])).astype(np.uint64)
         if rank[order[-1]] == n - 1:
@@ -238,15 +253,18 @@ def _common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 
 def _mark(rows: list[tuple]) -> Iterator[tuple]:
-    """(doc, doc_id, text_hash, from, to) of the repeated strings of distinct contexts of whole anchors."""
-    text = np.frombuffer(b"".join(r[6] + b"\xff" for r in rows), np.uint8)
-    size = np.array([len(r[6]) + 1 for r in rows])
+    """(doc, doc_id, text_hash, from, to) of the repeated strings of distinct contexts of whole anchors.
+
+    rows: (doc_id, text_hash, doc, start, strings, context)
+    """
+    text = np.frombuffer(b"".join(r[5] + b"\xff" for r in rows), np.uint8)
+    size = np.array([len(r[5]) + 1 for r in rows])
     base = np.cumsum(size) - size
     turn = np.empty(len(rows), np.int64)
     turn[sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, rows[i][1], rows[i][3]))] = np.arange(len(rows))
     owner = np.repeat(np.arange(len(rows)), size)
     offset = np.arange(len(text)) - base[owner]
-    when = turn[owner] * (LENGTH + KGRAM + LENGTH) + offset
+    when = turn[owner] * int(size.max()) + offset
     order, new = RunLengthIndex(text).strings(LENGTH)
     earliest = np.repeat(np.minimum.reduceat(when[order], new), np.diff(np.append(new, len(order))))
     again = np.zeros(len(text), bool)
@@ -264,52 +282,73 @@ def _mark(rows: list[tuple]) -> Iterator[tuple]:
 SPAN = "doc long, doc_id long, text_hash long, from long, to long"
 
 
-def indexed_repeats(firsts: DataFrame) -> DataFrame:
-    """Spans of repeated strings between distinct contexts: rows (anchor, first, strings, context)."""
+def indexed_repeats(found: DataFrame) -> DataFrame:
+    """Spans of repeated strings between the contexts of each anchor."""
     schema = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("from", pa.int64()), ("to", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, held, group, anchor = [], 0, [], None
+        whole, held, out = [], 0, []
+        group, anchor, last = {}, None, None
 
-        def marks(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            out = list(_mark(rows)) if rows else []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
 
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for row in zip(*cols):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                key = row[1:5]
                 if row[0] != anchor:
-                    if len(group) > 1:  # a single distinct context has nothing to match
-                        whole.extend(group)
-                        held += sum(len(r[6]) for r in group)
+                    if len(group) > 1:  # a single distinct context has nothing more to match
+                        whole.extend(group.values())
+                        held += sum(map(len, group))
+                    group, anchor, last = {}, row[0], None
                     if held >= BATCH_BYTES:
-                        yield from marks(whole)
+                        out.extend(_mark(whole))
                         whole, held = [], 0
-                    group, anchor = [], row[0]
-                group.append((*row[1:5], row[5], None, row[6]))
-        yield from marks(whole + (group if len(group) > 1 else []))
-
-    rows = firsts.select("anchor", "first.doc_id", "first.text_hash", "first.doc", "first.start", "strings", "context")
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SPAN)
+                if key == last:  # the same place of a repeated row
+                    continue
+                last = key
+                if row[6] in group:
+                    out.append((row[3], row[1], row[2], row[4], row[4] + row[5] + LENGTH - 1))
+                else:
+                    group[row[6]] = row[1:]
+            if len(out) > 20_000:
+                yield batch_of(out)
+                out = []
+        if len(group) > 1:
+            whole.extend(group.values())
+        if whole:
+            out.extend(_mark(whole))
+        if out:
+            yield batch_of(out)
+
+    rows = found.select("anchor", "doc_id", "text_hash", "doc", "start", "strings", "context")
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "text_hash", "start").mapInArrow(run, SPAN)
+
+
+def digested_repeats(found: DataFrame) -> DataFrame:
+    """The same by digests of single strings: one row per string, combined to its earliest start."""
+    string = F.explode(F.transform(F.sequence(F.lit(0), F.col("strings") - 1), lambda i: F.struct(
+        (F.col("start") + i).alias("start"), F.unhex(F.sha2(F.substring("context", i + 1, F.lit(LENGTH)), 256)).alias("digest"))))
+    rows = found.select("doc_id", "text_hash", "doc", string.alias("s")).select("doc_id", "text_hash", "doc", "s.start", "s.digest")
+    earliest = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"))
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("start") == F.col("first.start"))
+    return (rows.join(earliest, "digest").filter(~first)
+            .select("doc", "doc_id", "text_hash", F.col("start").alias("from"), (F.col("start") + LENGTH).alias("to")))
 
 
 def repeated_spans(keyed: DataFrame, hot: int = HOT) -> DataFrame:
     """doc, doc_id, text_hash, from, to: byte ranges covered by repeated strings; ranges may overlap."""
-    found = candidate_contexts(keyed, repeated_anchors(keyed, hot))
-    cold = found.filter(~F.col("hot"))
-    here = F.struct("doc_id", "text_hash", "start", "doc")
-    firsts = cold.groupBy("anchor", "digest").agg(F.min(here).alias("first"), F.first("strings").alias("strings"), F.first("context").alias("context"))
-    same = lambda a: F.col("doc_id").eqNullSafe(F.col(f"{a}.doc_id")) & (F.col("text_hash") == F.col(f"{a}.text_hash")) & (F.col("start") == F.col(f"{a}.start"))
-    copies = (cold.drop("context").join(firsts.select("anchor", "digest", "first"), ["anchor", "digest"]).filter(~same("first"))
-              .select("doc", "doc_id", "text_hash", F.col("start").alias("from"), (F.col("start") + F.col("strings") + (LENGTH - 1)).alias("to")))
-    string = F.explode(F.transform(F.sequence(F.lit(0), F.col("strings") - 1), lambda i: F.struct(
-        (F.col("start") + i).alias("start"), F.unhex(F.sha2(F.substring("context", i + 1, F.lit(LENGTH)), 256)).alias("digest"))))
-    often = found.filter("hot").select("doc_id", "text_hash", "doc", string.alias("s")).select("doc_id", "text_hash", "doc", "s.start", "s.digest")
-    earliest = often.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"))
-    often = (often.join(earliest, "digest").filter(~same("first"))
-             .select("doc", "doc_id", "text_hash", F.col("start").alias("from"), (F.col("start") + LENGTH).alias("to")))
-    return indexed_repeats(firsts).unionByName(copies).unionByName(often)
+    rows = written(keyed.select("doc", "doc_id", "text_hash", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("n")), "copies")
+    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    copies = (rows.join(firsts, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("n") >= LENGTH))
+              .select("doc", "doc_id", "text_hash", F.lit(0).cast("long").alias("from"), F.col("n").alias("to")))
+    owners = firsts.select(F.col("first.text_hash").alias("text_hash"), F.xxhash64("first.doc_id", "first.text_hash").alias("doc"))
+    wanted = written(repeated_anchors(keyed, hot).join(owners, "text_hash").groupBy("doc").agg(F.first("wanted").alias("wanted"), F.first("hot_ones").alias("hot_ones"))
+                     .select("doc", F.array_except("wanted", "hot_ones").alias("wanted"), "hot_ones"), "repeated-anchors")
+    spans = indexed_repeats(candidate_contexts(keyed, wanted, "wanted")).unionByName(copies)
+    if not wanted.filter(F.size("hot_ones") > 0).isEmpty():
+        spans = spans.unionByName(digested_repeats(candidate_contexts(keyed, wanted, "hot_ones")))
+    return spans
 
 
 RESULT = "doc_id long, text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -137,7 +137,7 @@ def test_run_length_index():
     index = P.RunLengthIndex(text)
     raw = text.tobytes()
     order_ = sorted(range(len(raw)), key=lambda i: raw[i:])
-    assert index.order.tolist() == order_
+    assert index.order.tolist() == order_ == P._suffix_order(text, packed_bits=0).tolist()
     lcp = [0] * len(raw)
     for a, b in zip(order_, order_[1:]):
         n = 0

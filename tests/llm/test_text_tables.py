@@ -189,3 +189,12 @@ def test_pieces(spark):
     full = S.encode_pieces(corpus.frame(spark, data[:3])).collect()
     assert [library.encode(t) for _, t in data[:3]] == [r["ids"] for r in full] and all(r["agrees"] for r in full)
     assert S.encode_pieces(corpus.empty(spark)).count() == 0
+
+
+def test_agendas_side_by_side_and_on_a_heap():
+    import random
+    agenda = S.agenda(tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    words = ["".join(rng.choice("theanrdiolnsEé▁\n日") for _ in range(rng.randrange(1, 25))) for _ in range(500)] + ["▁▁▁▁▁▁▁", "aaaaaaaaa", "e"]
+    assert agenda.merge_rows(words) == [agenda.merge(w) for w in words]
+    assert agenda.library.encode(["x" * 200, "é日x" * 30]) == [list(map(int, s[:-1].split(","))) for s in agenda.encode(["x" * 200, "é日x" * 30])]
