@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.text import event_title, title_tokens
 from .dedup import _token_key
+from .folds import ordered_fold
 from .similarity import connected_components, token_set_pairs
 
 CLUSTER_WINDOW_SECONDS = 30 * 60
@@ -47,6 +48,76 @@ def cluster_events(news: DataFrame, window_seconds: int = CLUSTER_WINDOW_SECONDS
     return items.join(labelled, ["_k", "_b"], "left").select(id_col, "event_id")
 
 
+def greedy_step(cells: dict, row: dict, window: float) -> dict:
+    """One article against the recent ones: join the event of the most similar article that has one,
+    else pair with the most similar single one; the newest wins ties.
+
+    ``cells`` maps a token set to its newest article with an event and its single article; copies of
+    one title need no more than these two.
+    """
+    now, cells["seq"] = row["_s"], cells.get("seq", 0) + 1
+    best_event = best_single = None
+    for key, sim in zip(row["_others"], row["_sims"]):
+        cell = cells.get(key)
+        if cell is None:
+            continue
+        for kind in ("event", "single"):
+            entry = cell.get(kind)
+            if entry is not None and now - entry[0] <= window:
+                rated = (sim, entry[1], key, entry)
+                if kind == "event" and (best_event is None or rated[:2] > best_event[:2]):
+                    best_event = rated
+                if kind == "single" and (best_single is None or rated[:2] > best_single[:2]):
+                    best_single = rated
+    own = cells.setdefault(row["_k"], {})
+    event = seed = None
+    if best_event is not None:
+        event = best_event[3][2]
+    elif best_single is not None:
+        _, _, key, entry = best_single
+        event = seed = entry[2]
+        cells[key]["single"] = None
+        if cells[key].get("event") is None or cells[key]["event"][1] < entry[1]:
+            cells[key]["event"] = entry
+    own["single" if event is None else "event"] = (now, cells["seq"], row["_id"] if event is None else event)
+    if cells["seq"] % 1000 == 0:  # forget what left the window
+        for key in [k for k, c in cells.items() if k != "seq" and all(e is None or now - e[0] > window for e in c.values())]:
+            del cells[key]
+    return {"event_id": event, "_seed": seed}
+
+
+def cluster_events_greedy(news: DataFrame, window_seconds: int = CLUSTER_WINDOW_SECONDS, threshold: float = CLUSTER_THRESHOLD,
+                          id_col: str = "news_id", ts: str = "captured_at") -> DataFrame:
+    """(id, event_id) by the live rule: each article joins the event of its best recent match, else pairs
+    with its best single match; the event is named by its first article.
+
+    Similar token sets are found once. Only articles whose token sets are linked, directly or over
+    others, depend on each other: each such component is folded in time order, with two entries of
+    state per token set of the window.
+    """
+    items = (news.select(F.col(id_col).alias("_id"), F.col(ts).alias("_ts"), title_tokens(F.coalesce("title", F.lit(""))).alias("_t"))
+             .withColumn("_k", _token_key(F.col("_t"))).filter("_k is not null").withColumn("_s", F.unix_micros("_ts") / 1e6)
+             .withColumn("_b", F.floor(F.col("_s") / window_seconds)))
+    cells = items.groupBy("_k", "_b").agg(F.first("_t").alias("tokens"), F.concat("_k", F.lit("/"), F.col("_b").cast("string")).alias("cell"))
+    key = lambda c: F.substring_index(c, "/", 1)
+    pairs = (token_set_pairs(cells, "cell", "tokens", threshold, block="_b").select(key("a").alias("a"), key("b").alias("b"), "sim")
+             .filter("a <> b").distinct())
+    parts = connected_components(pairs.select("a", "b")).withColumnRenamed("node", "_k")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    near = both.groupBy(F.col("a").alias("_k")).agg(F.collect_list("b").alias("_o"), F.collect_list("sim").alias("_v"))
+    rows = (items.join(near, "_k", "left").join(parts, "_k", "left")
+            .select("_id", "_s", "_k", F.coalesce("component", "_k").alias("_part"),
+                    F.concat(F.array("_k"), F.coalesce("_o", F.array().cast("array<string>"))).alias("_others"),
+                    F.concat(F.array(F.lit(1.0)), F.coalesce("_v", F.array().cast("array<double>"))).alias("_sims")))
+    kind = news.schema[id_col].dataType
+    folded = ordered_fold(rows, ["_part"], ["_s", "_id"], dict, lambda cells, row: greedy_step(cells, row, window_seconds),
+                          [("event_id", kind), ("_seed", kind)])
+    made = folded.select(F.explode(F.array(F.struct(F.col("_id").alias("n"), F.col("event_id").alias("event_id")),
+                                           F.struct(F.col("_seed").alias("n"), F.col("_seed").alias("event_id")))).alias("m"))
+    assigned = made.select(F.col("m.n").alias(id_col), "m.event_id").filter("event_id is not null").distinct()
+    return news.select(id_col).join(assigned, id_col, "left").select(id_col, "event_id")
+
+
 def event_lines(news: DataFrame, assigned: DataFrame, id_col: str = "news_id",
                 ts: str = "captured_at") -> DataFrame:
     """One row per event: title of the first article, sources, articles and times."""

@@ -424,3 +424,9 @@ def append_log_rows(spark: SparkSession, d: str) -> DataFrame:
     for _ in range(2):
         K.append_log(n, path, ["source"])
     return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("rows"))
+
+
+@query()
+def event_clusters_greedy(spark: SparkSession, d: str) -> DataFrame:
+    """Events by the live rule over all articles; the brute-force form is in the tests."""
+    return C.cluster_events_greedy(V.news(spark, d), 7 * 86400, 0.45)

@@ -223,3 +223,24 @@ def test_regions_outside_the_us(spark):
               "Warsaw stocks gain", "Naira weakens", "Hanoi exports grow"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in titles], "t string").select(geo_tier_weight(F.col("t"), F.lit(False))).collect()]
     assert got == [0.25, 0.25, 0.25, 1.0, 0.25, 0.25, 0.25]
+
+
+def test_greedy_events_equal_the_live_rule(spark):
+    """Random titles over few words against the step that the stream uses, article by article."""
+    from newsflow.operators.cluster import cluster_events_greedy
+    from newsflow.streaming.operators import cluster_step
+    rng = random.Random(11)
+    words = ["fed", "cuts", "rates", "oil", "jumps", "apple", "opens", "store", "bank", "falls"]
+    rows = [(i, " ".join(rng.sample(words, rng.randrange(1, 5))), T0 + timedelta(minutes=m)) for i, m in enumerate(sorted(rng.randrange(0, 900) for _ in range(250)))]
+    recent, want = [], {}
+    for i, title, at in rows:
+        now = at.timestamp()
+        live = [e for e in recent if now - e[1] <= 1800]
+        event, seed = cluster_step(live, 0, set(title.split()), now, 1800, 0.45)
+        recent = [[i, now, sorted(set(title.split())), event], *live]
+        want[i] = event
+        if seed is not None:
+            want[seed] = event
+    df = spark.createDataFrame(rows, "news_id long, title string, captured_at timestamp")
+    assert {r["news_id"]: r["event_id"] for r in cluster_events_greedy(df).collect()} == want
+    assert len(set(want.values())) > 5 and None in want.values()
