@@ -16,6 +16,7 @@ from ..functions.text import jaccard
 from ..runtime import checkpoint
 
 COMMON_TOKENS = 1000
+PAIR_TOKENS = 32
 
 
 def _rare_first(df: DataFrame, tokens: str) -> Column:
@@ -40,18 +41,21 @@ def _block_keys(ordered: Column, threshold: float) -> Column:
 
     Two sets that reach the threshold share two tokens among the first
     n - ceil(threshold * n) + 2 of each, unless they are so short that one common token is
-    enough; those get single-token keys.
+    enough; those get single-token keys. Pairs grow with the square of the prefix, so sets of more
+    than ``PAIR_TOKENS`` tokens, and those that can match one, use the single tokens of the prefix.
     """
     n = F.size(ordered)
+    none = F.array().cast("array<bigint>")
     prefix = F.slice(ordered, 1, F.least(
         n, n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 2))
-    pairs = F.flatten(F.transform(prefix, lambda t, i: F.transform(
+    pairs = F.when(n <= PAIR_TOKENS, F.flatten(F.transform(prefix, lambda t, i: F.transform(
         F.slice(prefix, i + 2, F.greatest(F.size(prefix) - i - 1, F.lit(0))),
-        lambda u: F.xxhash64(t, u))))
+        lambda u: F.xxhash64(t, u)))))
     short = math.floor((1 + threshold) / threshold + 1e-9) - 1
-    singles = F.when((n <= short) & F.lit(threshold <= 0.5),
-                     F.transform(ordered, lambda t: F.xxhash64(t)))
-    return F.array_distinct(F.concat(pairs, F.coalesce(singles, F.array().cast("array<bigint>"))))
+    one = ((n <= short) & F.lit(threshold <= 0.5)) | (n >= math.floor(threshold * PAIR_TOKENS))
+    reach = F.when(n <= short, ordered).otherwise(F.slice(prefix, 1, F.greatest(F.size(prefix) - 1, F.lit(1))))
+    singles = F.when(one, F.transform(reach, lambda t: F.xxhash64(t)))
+    return F.array_distinct(F.concat(F.coalesce(pairs, none), F.coalesce(singles, none)))
 
 
 def token_set_pairs(sets: DataFrame, key: str, tokens: str, threshold: float,
