@@ -3,10 +3,9 @@
 A document is the set of its five-word shingles (A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``). Equal
 sets form a class and take part once, with the class size as weight. Each of ``TREES`` trees orders the
 classes by ``DEPTH`` MinHash values; two classes are candidates when the first ``k`` values agree in
-some tree. ``k`` starts at the full depth and is shortened until the expected share of found links
-reaches the target: the similarities of neighbours in the tries, corrected for how easily each is seen,
-say how many links of each strength there are, and ``1 - (1 - s^k)^TREES`` of those of strength s are
-found.
+some tree, which finds ``1 - (1 - s^k)^TREES`` of the links of strength s. ``k`` starts at the full depth
+and is shortened until the weakest link asked for is found with the target's probability; stronger
+links are found more surely, so the target holds for links of every strength on any corpus.
 
 A candidate pair belongs to the first tree in which its prefixes agree, so nothing is verified twice.
 Prefix groups are cut into blocks of ``BLOCK`` classes and pairs of blocks are the units of work:
@@ -83,25 +82,17 @@ def crowded(members: DataFrame) -> DataFrame:
     return rows.join(many, "bucket")
 
 
-def choose_depth(classes: DataFrame, similarity: float = SIMILARITY, target: float = TARGET) -> int:
-    """Shorten the matched prefix until the expected recall of links reaches ``target``.
+def recall(strength: float, depth: int) -> float:
+    """Probability that a link of this Jaccard similarity is found with prefixes of ``depth`` values."""
+    return 1 - (1 - strength ** depth) ** TREES
 
-    At full depth each prefix group offers its two extreme classes as neighbours; the share of equal
-    MinHash values estimates their similarity. The histogram has one bin per possible share. Without
-    links to learn from, the recall of the weakest link counts.
+
+def choose_depth(classes: DataFrame | None = None, similarity: float = SIMILARITY, target: float = TARGET) -> int:
+    """The longest prefix that finds the weakest link asked for with probability ``target``; 1 if none does.
+
+    The choice does not depend on ``classes``: a mix of mostly strong links must not cost the weak ones.
     """
-    total = TREES * DEPTH
-    ends = (crowded(prefixes(classes.select("key", "sig"), DEPTH)).groupBy("bucket")
-            .agg(F.min_by("sig", "key").alias("a"), F.max_by("sig", "key").alias("b")))
-    equal = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    seen = {r["s"] / total: r["count"] for r in ends.groupBy(equal.alias("s")).count().collect()}
-    found = lambda s, k: 1 - (1 - s ** k) ** TREES
-    # a pair of strength s meets in about TREES * s^DEPTH groups of full depth
-    weight = {s: n / (TREES * s ** DEPTH) for s, n in seen.items() if s >= similarity} or {similarity: 1.0}
-    for depth in range(DEPTH, 1, -1):
-        if sum(w * found(s, depth) for s, w in weight.items()) >= target * sum(weight.values()):
-            return depth
-    return 1
+    return next((depth for depth in range(DEPTH, 1, -1) if recall(similarity, depth) >= target), 1)
 
 
 def units(members: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -156,3 +156,13 @@ def test_long_texts_in_segments(monkeypatch):
     whole = sum(int(n) for _, _, n in starts())
     monkeypatch.setattr(P, "SEGMENT", 700)
     assert whole == sum(int(n) for _, _, n in starts()) == len(text) - 99 + 51
+
+
+def test_depth_finds_the_weakest_link(spark, monkeypatch):
+    """A corpus of links near 1.0 must not make the prefix too long for one at the threshold."""
+    rng = np.random.default_rng(4)
+    words = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 150)) for _ in range(20)]
+    used, prefixes = [], J.prefixes
+    monkeypatch.setattr(J, "prefixes", lambda classes, depth: used.append(depth) or prefixes(classes, depth))
+    J.near_copies(corpus.frame(spark, [(2 * k + j, t + " end" * j) for k, t in enumerate(words) for j in (0, 1)]))
+    assert 1 - (1 - J.SIMILARITY ** used[-1]) ** J.TREES >= J.TARGET
