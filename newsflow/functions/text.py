@@ -253,19 +253,25 @@ def is_breaking(c: Column, markers=D.BREAKING_MARKERS) -> Column:
 
 
 # --- report sections ------------------------------------------------------------------------
-def extract_section(c: Column, name: str) -> Column:
-    """Struct(text, found): a named report section, or the first long line as a guess."""
+def extract_section(c: Column, name: str, longest: int | None = None, line_chars: int | None = None, text_chars: int | None = None) -> Column:
+    """Struct(text, found): a named report section, or the first long line or else the text as a guess.
+
+    Sections of more than ``longest`` characters are not matched, and guesses are cut to ``line_chars`` and
+    ``text_chars``; None is no bound. The reference has 800, 500 and 300.
+    """
     section = re.escape(name)
     stop = r"(?=\n\n|\n#|\n\d+\."
+    size = f"{{10,{'' if longest is None else longest}}}"
     tries = [
-        rf"(?s)#+\s*{section}\s*\n+(.{{10,800}}?){stop}|\z)",
-        rf"(?s){section}[：:]\s*\n?(.{{10,800}}?){stop}|\n📌|\n🎯|\z)",
-        rf"(?s)\d+\.\s*{section}\s*\n+(.{{10,800}}?){stop}|\z)",
+        rf"(?s)#+\s*{section}\s*\n+(.{size}?){stop}|\z)",
+        rf"(?s){section}[：:]\s*\n?(.{size}?){stop}|\n📌|\n🎯|\z)",
+        rf"(?s)\d+\.\s*{section}\s*\n+(.{size}?){stop}|\z)",
     ]
     hit = F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in tries])
     lines = F.filter(F.transform(F.split(c, "\n"), strip),
                      lambda s: (F.length(s) > 30) & ~s.startswith("#") & ~s.startswith("-"))
-    guess = F.coalesce(F.substring(F.get(lines, F.lit(0)), 1, 500), F.substring(c, 1, 300))
+    cut = lambda x, n: x if n is None else F.substring(x, 1, n)
+    guess = F.coalesce(cut(F.get(lines, F.lit(0)), line_chars), cut(c, text_chars))
     return F.struct(F.coalesce(strip(hit), guess).alias("text"), hit.isNotNull().alias("found"))
 
 

@@ -113,3 +113,12 @@ def test_sections(spark):
     got = value(spark, doc, lambda c: T.extract_section(c, "操作建议"))
     assert got["found"] and got["text"].startswith("持有观望")
     assert value(spark, "no header here", lambda c: T.extract_section(c, "操作建议"))["found"] is False
+
+
+def test_long_sections_are_whole(spark):
+    body, line = "advice " * 300, "x" * 900
+    doc = f"top\n\n### Advice\n\n{body}\n\n### Risk\n\nnone"
+    got = value(spark, doc, lambda c: T.extract_section(c, "Advice"))
+    assert got["found"] and got["text"] == body.strip()
+    assert not value(spark, doc, lambda c: T.extract_section(c, "Advice", 800, 500, 300))["found"]
+    assert value(spark, line, lambda c: T.extract_section(c, "Advice"))["text"] == line
