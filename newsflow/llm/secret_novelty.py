@@ -2,8 +2,8 @@
 
 Patterns give the base spans. Beyond them, a run of at least 16 credential characters is a candidate if a
 sensitive word stands shortly before it. A candidate is measured by what it adds to the compressed size of
-the code around it: the text before and after it and the identifiers that are frequent around candidates of
-the whole corpus prime the compressor, so names, paths, placeholders and repeated words cost a few bytes,
+the code around it: the text before and after it and the parts of identifiers that are frequent in and around
+candidates of the whole corpus prime the compressor, so names, paths, placeholders and repeated words cost a few bytes,
 while a random string costs nearly its own entropy. Candidates that cost at least ``LEAST_NOVELTY`` bytes
 per character are reported.
 
@@ -35,7 +35,7 @@ LEAST_VALUE, LEAST_ACCESS = 8, 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api.?key|private.?key|credential|bearer|authoriz|signature|client.?id|access.?key|aws_|ghp_|sk_live|xox[abp]-",
                        re.IGNORECASE | re.ASCII)
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,}")
+PARTS = r"[A-Za-z][a-z]{3,}|[A-Z]{4,}"  # of identifiers; random strings have next to none, however often they are copied
 BEFORE = 48  # characters in which the sensitive word must end
 LONGEST_WORD = 16
 AROUND = 240  # characters of code on each side
@@ -77,7 +77,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
         if b < len(taken) and taken[b][0] < end or not mixed(m.group()):
             continue
         left = max(0, start - BEFORE - LONGEST_WORD)
-        last = max((w.end() for w in SENSITIVE.finditer(text, left, end)), default=-1)  # a prefix such as ghp_ is part of the run
+        last = max((w.end() for w in SENSITIVE.finditer(text, left, end)), default=-BEFORE - 1)  # a prefix such as ghp_ is part of the run
         if last > start or last >= start - BEFORE and "\n\n" not in text[last:start]:
             out.append((start, end, m.group(), text[max(0, start - AROUND):start], text[end:end + AROUND]))
     return out
@@ -138,9 +138,9 @@ def found_spans(docs: DataFrame) -> DataFrame:
 
 
 def frequent_identifiers(found: DataFrame, words: int = DICTIONARY_WORDS) -> list[str]:
-    """The ``words`` identifiers that stand around most candidates, rarest first; counted over all of them."""
-    c = found.select(F.explode("candidates").alias("c")).select(F.concat_ws("\n", "c.before", "c.after").alias("code"))
-    names = c.select(F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(IDENTIFIER.pattern), 0))).alias("word"))
+    """The ``words`` parts of identifiers that stand in or around most candidates, rarest first; counted over all of them."""
+    c = found.select(F.explode("candidates").alias("c")).select(F.concat_ws("\n", "c.before", "c.run", "c.after").alias("code"))
+    names = c.select(F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(PARTS), 0))).alias("word"))
     top = (names.filter(F.length("word") <= 64).groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
            .orderBy(F.desc("n"), "word").limit(words))
     return [r["word"] for r in top.collect()][::-1]
