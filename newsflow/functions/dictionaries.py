@@ -181,7 +181,7 @@ US_TIER_CJK = ["美联储", "联邦储备", "鲍威尔", "沃尔什", "联储主
                "初请失业金", "续请失业金", "美股", "美元指数", "华尔街", "硅谷", "美国CPI", "美国PPI",
                "美国GDP", "美国PMI", "美国ISM", "美国消费者信心", "美国零售", "美国制造业",
                "美国服务业"]
-# Regions outside the US, first the large ones, then the others.
+# Regions outside the US.
 NON_US_PATTERNS = [
     r"\bECB\b", r"\bEuropean\s+Central\s+Bank\b", r"\bEurozone\b", r"\bEuro\s+area\b",
     r"\bEuropean\s+(?:Union|Commission)\b", r"\b(?:Christine\s+)?Lagarde\b", r"\bEUR\b",
@@ -206,9 +206,7 @@ NON_US_PATTERNS = [
     r"\bHang\s+Seng\b", r"\bHSI\b", r"\bHKMA\b", r"\bHKD\b", r"\bIndia\b", r"\bIndian\b",
     r"\bMumbai\b", r"\bDelhi\b", r"\bRBI\b", r"\bNSE\b", r"\bBSE\b", r"\bSensex\b",
     r"\bNifty\b", r"\bINR\b", r"\bRupee\b", r"\bBrazil\b", r"\bBrazilian\b", r"\bBrasilia\b",
-    r"\bSao\s+Paulo\b", r"\bBCB\b", r"\bBovespa\b", r"\bBRL\b",
-]
-NON_US_FURTHER_PATTERNS = [
+    r"\bSao\s+Paulo\b", r"\bBCB\b", r"\bBovespa\b", r"\bBRL\b", r"\bReal\b",
     r"\bTurkey\b", r"\bTurkish\b", r"\bAnkara\b", r"\bIstanbul\b", r"\bTCMB\b", r"\bLira\b", r"\bTRY\b",
     r"\bSouth\s+Africa\b", r"\bSARB\b", r"\bRand\b", r"\bZAR\b",
     r"\bIndonesia\b", r"\bIndonesian\b", r"\bJakarta\b", r"\bBank\s+Indonesia\b", r"\bIDR\b", r"\bRupiah\b",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 from . import dictionaries as D
 from . import entities as E
 from . import signal_words as S
+from .lexicon import Found, Lexicon
 from .text import any_of, contains_any, empty, is_chinese_dominant, matches_any, matches_word, struct_array
 
 
@@ -16,20 +17,25 @@ def _lowered(words) -> list[str]:
     return [w.lower() for w in words]
 
 
+def _has(found: Found | None, name: str, low: Column, words) -> Column:
+    """A word of the list is contained: answered from the scan where there is one."""
+    return found.any(name) if found else contains_any(low, words)
+
+
 # --- noise titles -----------------------------------------------------------------------------
 def is_noise_title(c: Column, words=D.NOISE_TITLE_WORDS) -> Column:
     return contains_any(c, words)
 
 
 # --- geography --------------------------------------------------------------------------------
-def geo_market_multiplier(c: Column) -> Column:
+def geo_market_multiplier(c: Column, found: Found | None = None) -> Column:
     """1.0 unless the text is about a political hot spot without a US-market connector."""
     low = F.lower(c)
     named = matches_word(low, D.HOTSPOT_NAMES)
-    party = contains_any(c, D.HOTSPOT_PARTY)
-    hot = named | party | contains_any(c, D.HOTSPOT_NAMES_CJK)
-    connected = contains_any(low, _lowered(D.US_MARKET_CONNECTORS))
-    political = contains_any(low, _lowered(D.POLITICAL_ACTIONS))
+    party = _has(found, "party", low, D.HOTSPOT_PARTY)
+    hot = named | party | _has(found, "hotspot", low, D.HOTSPOT_NAMES_CJK)
+    connected = _has(found, "connector", low, _lowered(D.US_MARKET_CONNECTORS))
+    political = _has(found, "political", low, _lowered(D.POLITICAL_ACTIONS))
     return (F.when(empty(c) | ~hot, 1.0).when(connected, 1.0)
             .when(political & party & ~named, 0.15).when(political, 0.2).otherwise(0.6))
 
@@ -41,64 +47,64 @@ def geo_tier_weight(c: Column, has_tickers: Column, extra_patterns=(), extra_wor
     """
     low = F.lower(c)
     us = matches_word(low, D.US_TIER_PATTERNS) | contains_any(c, D.US_TIER_CJK)
-    abroad = (matches_word(low, [*D.NON_US_PATTERNS, *D.NON_US_FURTHER_PATTERNS, *extra_patterns])
+    abroad = (matches_word(low, [*D.NON_US_PATTERNS, *extra_patterns])
               | contains_any(c, [*D.NON_US_CJK, *extra_words]))
     return F.when(has_tickers | empty(c) | us, 1.0).when(abroad, 0.25).otherwise(1.0)
 
 
 # --- quality ----------------------------------------------------------------------------------
-def is_propaganda(c: Column) -> Column:
+def is_propaganda(c: Column, found: Found | None = None) -> Column:
     low = F.lower(c)
-    return contains_any(low, D.PROPAGANDA_MARKERS) & ~contains_any(low, D.PROPAGANDA_REDEEMERS)
+    return _has(found, "propaganda", low, D.PROPAGANDA_MARKERS) & ~_has(found, "redeemer", low, D.PROPAGANDA_REDEEMERS)
 
 
-def has_multi_asset(c: Column, classes=D.BROAD_ASSET_CLASSES) -> Column:
+def has_multi_asset(c: Column, classes=D.BROAD_ASSET_CLASSES, found: Found | None = None) -> Column:
     low = F.lower(c)
-    hits = [contains_any(low, words).cast("int") for words in classes.values()]
+    hits = [_has(found, f"broad:{name}", low, words).cast("int") for name, words in classes.items()]
     return sum(hits[1:], hits[0]) >= 2
 
 
-def is_major_stock_event(c: Column, has_tickers: Column) -> Column:
+def is_major_stock_event(c: Column, has_tickers: Column, found: Found | None = None) -> Column:
     low = F.lower(c)
-    mega = contains_any(low, D.MEGA_CAPS)
+    mega = _has(found, "mega", low, D.MEGA_CAPS)
     move = matches_any(low, D.MASSIVE_MOVE_PATTERNS, "")
-    drug = contains_any(low, D.DRUG_SIGNALS)
+    drug = _has(found, "drug", low, D.DRUG_SIGNALS)
     deal = matches_any(low, D.DEAL_PATTERNS, "")
     leader = matches_any(low, D.LEADER_CHANGE_PATTERNS, "")
     return (mega & (has_tickers | leader | drug)) | move | deal | ((drug | leader) & has_tickers)
 
 
-def is_single_stock_noise(c: Column, has_tickers: Column) -> Column:
+def is_single_stock_noise(c: Column, has_tickers: Column, found: Found | None = None) -> Column:
     low = F.lower(c)
     a_share = matches_any(low, D.A_SHARE_PATTERNS, "")
     trivial = matches_any(low, D.SINGLE_STOCK_PATTERNS)
-    return a_share | (trivial & ~has_multi_asset(c) & ~is_major_stock_event(c, has_tickers))
+    return a_share | (trivial & ~has_multi_asset(c, found=found) & ~is_major_stock_event(c, has_tickers, found))
 
 
 def is_political_gossip(c: Column, has_tickers: Column) -> Column:
     return ~has_tickers & matches_any(F.lower(c), D.GOSSIP_PATTERNS)
 
 
-def is_routine_politics(c: Column, has_tickers: Column) -> Column:
+def is_routine_politics(c: Column, has_tickers: Column, found: Found | None = None) -> Column:
     low = F.lower(c)
     return (~has_tickers & matches_any(low, D.ROUTINE_POLITICS_PATTERNS, "(?iU)")
-            & ~contains_any(low, D.ROUTINE_POLITICS_REDEEMERS))
+            & ~_has(found, "routine_redeemer", low, D.ROUTINE_POLITICS_REDEEMERS))
 
 
-def has_us_signal(c: Column, has_tickers: Column) -> Column:
-    return has_tickers | contains_any(F.lower(c), D.US_SIGNALS)
+def has_us_signal(c: Column, has_tickers: Column, found: Found | None = None) -> Column:
+    return has_tickers | _has(found, "us_signal", F.lower(c), D.US_SIGNALS)
 
 
-def content_quality_multiplier(c: Column, has_tickers: Column, strategic: Column) -> Column:
+def content_quality_multiplier(c: Column, has_tickers: Column, strategic: Column, found: Found | None = None) -> Column:
     """Lowest applicable demotion; strategic news is exempt, propaganda is final."""
     low = F.lower(c)
     one = F.lit(1.0)
     lowest = F.least(
-        F.when(is_chinese_dominant(low) & ~has_us_signal(c, has_tickers), 0.5).otherwise(one),
-        F.when(is_single_stock_noise(c, has_tickers), 0.30).otherwise(one),
+        F.when(is_chinese_dominant(low) & ~has_us_signal(c, has_tickers, found), 0.5).otherwise(one),
+        F.when(is_single_stock_noise(c, has_tickers, found), 0.30).otherwise(one),
         F.when(is_political_gossip(c, has_tickers), 0.30).otherwise(one),
-        F.when(is_routine_politics(c, has_tickers), 0.20).otherwise(one))
-    return (F.when(empty(c) | strategic, 1.0).when(is_propaganda(c), 0.15).otherwise(lowest))
+        F.when(is_routine_politics(c, has_tickers, found), 0.20).otherwise(one))
+    return (F.when(empty(c) | strategic, 1.0).when(is_propaganda(c, found), 0.15).otherwise(lowest))
 
 
 def content_quality_penalty(c: Column) -> Column:
@@ -144,10 +150,9 @@ def macro_indicator(title: Column, indicators=E.MACRO_INDICATORS,
                     preview=E.PREVIEW_WORDS) -> Column:
     """Struct(keyword, indicator, tier) of the first listed keyword; null for previews."""
     low = F.lower(title)
-    table = struct_array([{"keyword": w, "indicator": name, "tier": tier, "low": w.lower()}
-                          for name, (tier, keywords) in indicators.items() for w in keywords])
-    first = F.get(F.filter(table, lambda k: F.contains(low, k["low"])), F.lit(0))
-    return F.when(~contains_any(low, _lowered(preview)), first.dropFields("low"))
+    rows = [{"keyword": w, "indicator": name, "tier": tier} for name, (tier, keywords) in indicators.items() for w in keywords]
+    place = F.get(Lexicon({"words": [r["keyword"].lower() for r in rows]}).found(low).places("words"), F.lit(0))
+    return F.when(~contains_any(low, _lowered(preview)), F.get(struct_array(rows), place))
 
 
 def is_macro_text(text: Column, tag_text: Column, words=S.MACRO_WORDS) -> Column:

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column, functions as F
 
 from . import strategic_words as W
+from .lexicon import Found, Lexicon
 from .text import matches_any, struct_array
+from .vocabulary import strategic_lists
 
 HIGH, MEDIUM = 0.85, 0.65
 MATCH = "array<struct<conf:double,seq:int,category:string,text:string>>"
@@ -54,14 +56,15 @@ def _found(conf: Column, seq: int, category: str, text: Column) -> Column:
                     F.lit(category).alias("category"), text.alias("text"))
 
 
-def _government(low: Column, entities, actions) -> Column:
+def _government(low: Column, entities, actions, found: Found) -> Column:
     """Per named entity, the first listed action within 80 characters that is convincing."""
-    named = F.filter(_table(entities), lambda e: F.contains(low, e["low"]))
+    named = F.transform(found.places("government"), lambda p: F.get(_table(entities), p))
+    acts = Lexicon({"action": [a[1] for a in actions]})
 
     def first_action(entity: Column) -> Column:
         after = F.substr(low, F.instr(low, entity["low"]) + F.length(entity["low"]), F.lit(80))
-        action = F.get(F.filter(_table(actions), lambda a: F.contains(after, a["low"])
-                                & (confidence(entity, a) >= MEDIUM)), F.lit(0))
+        said = F.transform(acts.found(after).places("action"), lambda p: F.get(_table(actions), p))
+        action = F.get(F.filter(said, lambda a: confidence(entity, a) >= MEDIUM), F.lit(0))
         return F.struct(entity.alias("e"), action.alias("a"))
 
     pairs = F.filter(F.transform(named, first_action), lambda p: p["a"].isNotNull())
@@ -91,8 +94,11 @@ def _company(low: Column, actions, reach: int, seq: int, category: str, entities
 def strategic_matches(text: Column, government=W.GOVERNMENT_ENTITIES, company=W.COMPANY_ENTITIES,
                       investment=W.INVESTMENT_ACTIONS, subsidy=W.SUBSIDY_ACTIONS,
                       policy=W.POLICY_ACTIONS, endorsement=W.ENDORSEMENT_ACTIONS,
-                      threat=W.THREAT_ACTIONS, exclusions=W.EXCLUSION_PATTERNS) -> Column:
-    """Array of (conf, seq, category, text), most confident first; empty when none."""
+                      threat=W.THREAT_ACTIONS, exclusions=W.EXCLUSION_PATTERNS, found: Found | None = None) -> Column:
+    """Array of (conf, seq, category, text), most confident first; empty when none.
+
+    ``found`` answers for ``strategic_lists`` of the same words from a scan of the lower-case text.
+    """
     gov = _entries(government, W.ENTITY_BONUSES, 0)
     firm = _entries(company, W.ENTITY_BONUSES, 0)
     acts = _entries([*investment, *subsidy, *policy, *endorsement], W.ACTION_BONUSES, 1)
@@ -106,14 +112,16 @@ def strategic_matches(text: Column, government=W.GOVERNMENT_ENTITIES, company=W.
         F.filter(_regex_pairs(low, passive_rx, 4, 2, gov, acts), lambda p: confidence(p["e"], p["a"]) * 0.9 >= MEDIUM),
         lambda p: _found(F.round(confidence(p["e"], p["a"]) * 0.9, 6), 1, "gov_intervention",
                          F.concat(p["a"]["word"], F.lit(" by "), p["e"]["word"])))
-    # cheap tests keep the heavy pattern scans off most texts
-    gov_named = low.rlike(_alternation([g[1] for g in gov]))
-    firm_named = low.rlike(_alternation([f[1] for f in firm]))
-    gov_part = F.when(gov_named, F.concat(_government(low, gov, acts), F.when(low.rlike(links), passive).otherwise(nothing))).otherwise(nothing)
-    firm_part = F.when(firm_named, F.concat(
-        _company(low, acts, 80, 2, "nvda_investment", firm, endorsement),
-        _company(low, praise, 80, 3, "nvda_endorsement", firm),
-        _company(low, threats, 60, 4, "nvda_competitive_threat", firm))).otherwise(nothing)
+    if found is None:
+        found = Lexicon(strategic_lists(government, company, [*investment, *subsidy, *policy, *endorsement], threat)).found(low)
+    # a relation needs both its sides; the scan keeps the patterns off all other texts
+    acting, threatening = found.any("action"), found.any("threat")
+    gov_part = F.when(found.any("government") & acting, F.concat(
+        _government(low, gov, acts, found), F.when(low.rlike(links), passive).otherwise(nothing))).otherwise(nothing)
+    firm_part = F.when(found.any("company") & (acting | threatening), F.concat(
+        F.when(acting, F.concat(_company(low, acts, 80, 2, "nvda_investment", firm, endorsement),
+                                _company(low, praise, 80, 3, "nvda_endorsement", firm))).otherwise(nothing),
+        F.when(threatening, _company(low, threats, 60, 4, "nvda_competitive_threat", firm)).otherwise(nothing))).otherwise(nothing)
     excluded = matches_any(text, exclusions, "(?iU)")
     kept = F.filter(F.concat(gov_part, firm_part), lambda m: (m["conf"] >= HIGH) | ~excluded)
     ordered = F.array_sort(kept, lambda a, b: F.when(a["conf"] > b["conf"], -1).when(

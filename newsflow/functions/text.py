@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import dictionaries as D
 from . import entities as E
 from . import signal_words as S
+from .lexicon import Found, Lexicon, tree
 
 CJK = "一-鿿"
 CJK_WIDE = "一-鿿㐀-䶿"
@@ -52,11 +53,11 @@ def struct_array(rows: list[dict]) -> Column:
 
 
 def contains_any(c: Column, words) -> Column:
-    """True where the text contains one of the words, as written."""
+    """True where the text contains one of the words, as written; long lists are one prefix tree."""
     listed = list(dict.fromkeys(words))
     if len(listed) <= 4:
         return any_of([c.contains(w) for w in listed])
-    return F.exists(string_array(listed), lambda w: F.contains(c, w))
+    return c.rlike("(?s)" + tree(listed))
 
 
 def matches_any(c: Column, patterns, flags: str = "(?i)") -> Column:
@@ -78,24 +79,17 @@ def matches_word(low: Column, patterns) -> Column:
 
 def max_weight(c: Column, weights: dict[str, float]) -> Column:
     """Highest weight among contained keywords, 0 when there is none."""
-    table = struct_array([{"w": w, "v": float(v)} for w, v in weights.items()])
-    hits = F.filter(table, lambda k: F.contains(c, k["w"]))
-    return F.coalesce(F.array_max(F.transform(hits, lambda k: k["v"])), F.lit(0.0))
+    return Lexicon({"words": weights}).found(c).max_weight("words", list(weights.values()))
 
 
 def first_match(c: Column, ordered: list[tuple[str, str]]) -> Column:
     """Value of the first (keyword, value) pair whose keyword is contained; else null."""
-    table = struct_array([{"w": w, "v": v} for w, v in ordered])
-    return F.get(F.filter(table, lambda k: F.contains(c, k["w"])), F.lit(0))["v"]
-
-
-def words_found(c: Column, words) -> Column:
-    """Array of the contained words, in dictionary order."""
-    return F.filter(string_array(words), lambda w: F.contains(c, w))
+    return Lexicon({"words": [w for w, _ in ordered]}).found(c).first("words", [v for _, v in ordered])
 
 
 def count_found(c: Column, words) -> Column:
-    return F.size(F.filter(literal_array([sql_text(w) for w in words]), lambda w: F.contains(c, w)))
+    """How many of the words are contained."""
+    return Lexicon({"words": words}).found(c).count("words")
 
 
 def strip(c: Column) -> Column:
@@ -195,18 +189,23 @@ def _deviation_band(actual: Column, expected: Column) -> Column:
 def deviation_max(c: Column) -> Column:
     """Strongest 'actual vs expected' deviation in the text, 0..1."""
     scores = []
+    none = F.lit(0.0)
     for pattern, actual_group, expected_group in D.DEVIATION_NUMBERS:
-        rx = F.lit("(?iU)" + pattern)
+        text = "(?iU)" + pattern
+        rx = F.lit(text)
         pairs = F.arrays_zip(
             F.regexp_extract_all(c, rx, F.lit(actual_group)).alias("a"),
             F.regexp_extract_all(c, rx, F.lit(expected_group)).alias("e"))
-        scores.append(F.array_max(F.transform(
-            pairs, lambda p: _deviation_band(parse_number(p["a"]), parse_number(p["e"])))))
+        scores.append(F.when(c.rlike(text), F.array_max(F.transform(
+            pairs, lambda p: _deviation_band(parse_number(p["a"]), parse_number(p["e"]))))))
     said = F.regexp_extract_all(c, F.lit("(?i)" + D.DEVIATION_DIRECTION), F.lit(1))
-    scores.append(F.array_max(F.transform(said, lambda w: F.when(
+    worded = F.coalesce(F.array_max(F.transform(said, lambda w: F.when(
         w.isin(D.BEAT_WORDS), F.lit(D.DEVIATION_BEAT)).when(
-        w.isin(D.MISS_WORDS), F.lit(D.DEVIATION_MISS)).otherwise(F.lit(0.0)))))
-    return F.coalesce(F.greatest(*[F.coalesce(s, F.lit(0.0)) for s in scores]), F.lit(0.0))
+        w.isin(D.MISS_WORDS), F.lit(D.DEVIATION_MISS)).otherwise(none))), none)
+    # numbers and a word of comparison are needed for a number pattern
+    counted = F.when(c.rlike(r"(?U)\d") & c.rlike(r"(?iU)vs|versus|expected|forecast|est|预期|预估|预测|估计"),
+                     F.greatest(*[F.coalesce(s, none) for s in scores])).otherwise(none)
+    return F.coalesce(F.greatest(counted, worded), none)
 
 
 def deviation_score(c: Column, weight: float = D.PRIORITY_WEIGHTS["deviation"]) -> Column:
@@ -216,31 +215,33 @@ def deviation_score(c: Column, weight: float = D.PRIORITY_WEIGHTS["deviation"])
 
 
 # --- keyword intensity ---------------------------------------------------------------------
+# ``found`` answers from one scan of the lower-case text (vocabulary.py) instead of a scan per list
 def surprise_score(c: Column, weights: dict[str, float] = D.SURPRISE_WEIGHTS,
-                   weight: float = D.PRIORITY_WEIGHTS["surprise"]) -> Column:
-    return F.round(max_weight(F.lower(c), weights) * weight, 4)
+                   weight: float = D.PRIORITY_WEIGHTS["surprise"], found: Found | None = None) -> Column:
+    top = found.max_weight("surprise", list(weights.values())) if found else max_weight(F.lower(c), weights)
+    return F.round(top * weight, 4)
 
 
-def business_intensity(c: Column, weights: dict[str, float] = D.BUSINESS_IMPACT_WEIGHTS) -> Column:
+def business_intensity(c: Column, weights: dict[str, float] = D.BUSINESS_IMPACT_WEIGHTS, found: Found | None = None) -> Column:
     low = F.lower(c)
     raised = F.when(low.rlike("(?U)" + D.PRICE_RAISE), D.PRICE_RAISE_WEIGHT).otherwise(F.lit(0.0))
-    return F.greatest(max_weight(low, weights), raised)
+    return F.greatest(found.max_weight("business", list(weights.values())) if found else max_weight(low, weights), raised)
 
 
 def business_impact_score(c: Column, weights: dict[str, float] = D.BUSINESS_IMPACT_WEIGHTS,
-                          weight: float = D.PRIORITY_WEIGHTS["business_impact"]) -> Column:
-    return F.round(business_intensity(c, weights) * weight, 4)
+                          weight: float = D.PRIORITY_WEIGHTS["business_impact"], found: Found | None = None) -> Column:
+    return F.round(business_intensity(c, weights, found) * weight, 4)
 
 
-def asset_class_count(c: Column, classes: dict[str, list[str]] = D.ASSET_CLASSES) -> Column:
+def asset_class_count(c: Column, classes: dict[str, list[str]] = D.ASSET_CLASSES, found: Found | None = None) -> Column:
     low = F.lower(c)
-    return reduce(lambda a, b: a + b,
-                  [contains_any(low, words).cast("int") for words in classes.values()])
+    return reduce(lambda a, b: a + b, [(found.any(f"asset:{name}") if found else contains_any(low, words)).cast("int")
+                                       for name, words in classes.items()])
 
 
 def asset_linkage_score(c: Column, classes: dict[str, list[str]] = D.ASSET_CLASSES,
-                        weight: float = D.PRIORITY_WEIGHTS["asset_linkage"]) -> Column:
-    hits = asset_class_count(c, classes)
+                        weight: float = D.PRIORITY_WEIGHTS["asset_linkage"], found: Found | None = None) -> Column:
+    hits = asset_class_count(c, classes, found)
     factor = F.lit(D.ASSET_CLASS_FACTORS[4])
     chain = F.when(hits == 0, D.ASSET_CLASS_FACTORS[0])
     for n in (1, 2, 3):

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import entities as E
-from ..functions.text import string_array, struct_array, word_set
+from ..functions.lexicon import Found, Lexicon
+from ..functions.text import string_array, word_set
+from ..functions.vocabulary import entity_lists, lowered
 from ..runtime import small_rows
 from .ranking import merge_tags
 from .windows import top_per_key
@@ -22,10 +24,11 @@ def _strings(values) -> Column:
 
 
 def extract_tickers(text: Column, known=E.KNOWN_TICKERS, names=E.COMPANY_TICKERS,
-                    names_cjk=E.COMPANY_TICKERS_CJK, watch=(), word_boundary: bool = False) -> Column:
+                    names_cjk=E.COMPANY_TICKERS_CJK, watch=(), word_boundary: bool = False, found: Found | None = None) -> Column:
     """Sorted distinct tickers: $CODE, known bare codes, and company names.
 
-    Names match as substrings, as in "arm" inside "farm"; ``word_boundary`` asks for whole words.
+    Names match as substrings, as in "arm" inside "farm"; ``word_boundary`` asks for whole words. ``found``
+    answers for the lists "names" and "names_cjk" of a scan of the lower-case text.
     """
     listed = list(dict.fromkeys([*known, *watch]))
     rx = F.lit(r"(?<![A-Z])(\$?[A-Z]{1,5})(?![A-Z])")
@@ -34,15 +37,15 @@ def extract_tickers(text: Column, known=E.KNOWN_TICKERS, names=E.COMPANY_TICKERS
                         lambda t: F.regexp_replace(t, r"^\$", ""))
     low = F.lower(text)
 
-    def by_name(haystack: Column, mapping: dict[str, str], whole: bool) -> Column:
-        pairs = struct_array([{"n": n, "t": t} for n, t in mapping.items() if t in known])
+    def by_name(haystack: Column, name: str, mapping: dict[str, str], whole: bool) -> Column:
+        answers = found or Lexicon({name: list(mapping)}).found(haystack)
+        rows = answers.pick(name, [{"n": n, "t": t if t in known else None} for n, t in mapping.items()])
         if whole:
-            return F.transform(F.filter(pairs, lambda p: F.regexp_like(
-                haystack, F.concat(F.lit(r"\b"), p["n"], F.lit(r"\b")))), lambda p: p["t"])
-        return F.transform(F.filter(pairs, lambda p: F.contains(haystack, p["n"])), lambda p: p["t"])
+            rows = F.filter(rows, lambda p: F.regexp_like(haystack, F.concat(F.lit(r"\b"), p["n"], F.lit(r"\b"))))
+        return F.array_compact(F.transform(rows, lambda p: p["t"]))
 
-    found = F.concat(codes, by_name(low, names, word_boundary), by_name(text, names_cjk, False))
-    return F.array_sort(F.array_distinct(found))
+    every = F.concat(codes, by_name(low, "names", names, word_boundary), by_name(text, "names_cjk", names_cjk, False))
+    return F.array_sort(F.array_distinct(every))
 
 
 def mentioned_tickers(text: Column, watch) -> Column:
@@ -50,30 +53,24 @@ def mentioned_tickers(text: Column, watch) -> Column:
     return F.filter(_strings(watch), lambda t: F.contains(up, F.upper(t)))
 
 
-def tag_words(text: Column, words) -> Column:
+def tag_words(text: Column, words, found: Found | None = None, name: str = "words") -> Column:
     """Distinct dictionary words contained in the text, without regard to case."""
-    low = F.lower(text)
-    table = struct_array([{"w": w, "l": w.lower()} for w in dict.fromkeys(words)])
-    return F.transform(F.filter(table, lambda p: F.contains(low, p["l"])), lambda p: p["w"])
+    listed = list(dict.fromkeys(words))
+    return (found or Lexicon({name: lowered(listed)}).found(F.lower(text))).words(name, listed)
 
 
-def tag_groups(text: Column, groups: dict[str, list[str]]) -> Column:
+def tag_groups(text: Column, groups: dict[str, list[str]], found: Found | None = None, name: str = "words") -> Column:
     """Names of the groups with a contained word, e.g. sectors."""
-    low = F.lower(text)
-    pairs = struct_array([{"g": g, "w": w.lower()} for g, words in groups.items() for w in words])
-    return F.array_distinct(F.transform(F.filter(pairs, lambda p: F.contains(low, p["w"])), lambda p: p["g"]))
+    pairs = [(g, w.lower()) for g, words in groups.items() for w in words]
+    answers = found or Lexicon({name: [w for _, w in pairs]}).found(F.lower(text))
+    return F.array_distinct(answers.pick(name, [g for g, _ in pairs]))
 
 
-def people_tier(text: Column, people: dict[str, int] = E.PEOPLE_TIERS) -> Column:
+def people_tier(text: Column, people: dict[str, int] = E.PEOPLE_TIERS, found: Found | None = None) -> Column:
     """Struct(found, tier): best tier of any named person, (false, 1) when nobody is named."""
-    low = F.lower(text)
-    chain = None
-    from ..functions.text import contains_any
-    for tier in sorted(set(people.values())):
-        hit = contains_any(low, [n.lower() for n, t in people.items() if t == tier])
-        value = F.struct(F.lit(True).alias("found"), F.lit(tier).alias("tier"))
-        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    return chain.otherwise(F.struct(F.lit(False).alias("found"), F.lit(1).alias("tier")))
+    answers = found or Lexicon({"people": lowered(people)}).found(F.lower(text))
+    best = F.array_min(answers.pick("people", list(people.values())))
+    return F.struct(best.isNotNull().alias("found"), F.coalesce(best, F.lit(1)).alias("tier"))
 
 
 # --- dictionaries as tables --------------------------------------------------------------------
@@ -207,13 +204,19 @@ def resonance(news: DataFrame, minutes: float = 5, share: float = 0.30, id_col:
 
 
 def with_entities(news: DataFrame, text: Column, macro=E.MACRO_ALERTS, sectors=E.SECTOR_WORDS,
-                  people: dict[str, int] = E.PEOPLE_TIERS, watch=()) -> DataFrame:
-    """Add tickers, macro tags, sectors, named people and the people tier in one projection."""
+                  people: dict[str, int] = E.PEOPLE_TIERS, watch=(), found: Found | None = None) -> DataFrame:
+    """Add tickers, macro tags, sectors, named people and the people tier from one scan of the text.
+
+    ``found``, where given, answers for ``entity_lists`` of the same dictionaries.
+    """
+    columns = news.columns
+    if found is None:
+        news, found = Lexicon(entity_lists(macro=macro, sectors=sectors, people=people)).add(news, F.lower(text), "_entity_codes")
     return news.select(
-        *[c for c in news.columns if c not in ("tickers", "macro_tags")],
-        extract_tickers(text, watch=watch).alias("found_tickers"),
-        *( [F.col("tickers")] if "tickers" in news.columns else [] ),
-        tag_words(text, macro).alias("macro_tags"), tag_groups(text, sectors).alias("sectors"),
-        tag_words(text, list(people)).alias("people"), people_tier(text, people).alias("people_tier"),
+        *[c for c in columns if c not in ("tickers", "macro_tags")],
+        extract_tickers(text, watch=watch, found=found).alias("found_tickers"),
+        *([F.col("tickers")] if "tickers" in columns else []),
+        tag_words(text, macro, found, "macro").alias("macro_tags"), tag_groups(text, sectors, found, "sectors").alias("sectors"),
+        tag_words(text, list(people), found, "people").alias("people"), people_tier(text, people, found).alias("people_tier"),
     ).withColumn("tickers", merge_tags(F.col("tickers"), F.col("found_tickers"))
-                 if "tickers" in news.columns else F.col("found_tickers"))
+                 if "tickers" in columns else F.col("found_tickers"))

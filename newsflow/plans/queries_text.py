@@ -11,6 +11,8 @@ from ..functions import predicates as P
 from ..functions import signal_words as S
 from ..functions import strategic as Z
 from ..functions import text as T
+from ..functions.lexicon import Lexicon
+from ..functions.vocabulary import entity_lists, filter_lists, score_lists, strategic_lists
 from ..operators import aggregates as A
 from ..operators import decisions as X
 from ..operators import grounding as U
@@ -69,8 +71,9 @@ def deviation_scores(spark: SparkSession, d: str) -> DataFrame:
 @query(sql(f"""SELECT news_id, round({max_sql('lower(title)', D.SURPRISE_WEIGHTS)} * 0.15, 4)::DOUBLE AS surprise,
  round(greatest({max_sql('lower(title)', D.BUSINESS_IMPACT_WEIGHTS)}, CASE WHEN regexp_matches(lower(title), {q(D.PRICE_RAISE)}) THEN 0.9 ELSE 0 END) * 0.15, 4)::DOUBLE AS business FROM v_headlines""", "v_headlines"))
 def keyword_intensity(spark: SparkSession, d: str) -> DataFrame:
-    h, t = title(spark, d)
-    return h.select("news_id", T.surprise_score(t).alias("surprise"), T.business_impact_score(t).alias("business"))
+    h, found = Lexicon(score_lists()).add(V.headlines(spark, d), F.lower("title"))
+    t = F.col("title")
+    return h.select("news_id", T.surprise_score(t, found=found).alias("surprise"), T.business_impact_score(t, found=found).alias("business"))
 
 
 @query(sql("SELECT news_id, " + " + ".join(any_sql("lower(title)", w) + "::INT" for w in D.ASSET_CLASSES.values()) + " AS classes FROM v_headlines", "v_headlines"))
@@ -109,14 +112,15 @@ QUALITY = f"CASE WHEN {PROPAGANDA} THEN 0.15 ELSE least(1.0, CASE WHEN {CHINESE}
 
 @query(sql(f"SELECT news_id, ({GEO})::DOUBLE AS geo, ({TIER})::DOUBLE AS tier FROM v_headlines", "v_headlines"))
 def geo_multipliers(spark: SparkSession, d: str) -> DataFrame:
-    h, t = title(spark, d)
-    return h.select("news_id", P.geo_market_multiplier(t).alias("geo"), P.geo_tier_weight(t, F.lit(False)).alias("tier"))
+    h, found = Lexicon(filter_lists()).add(V.headlines(spark, d), F.lower("title"))
+    t = F.col("title")
+    return h.select("news_id", P.geo_market_multiplier(t, found).alias("geo"), P.geo_tier_weight(t, F.lit(False)).alias("tier"))
 
 
 @query(sql(f"SELECT news_id, ({QUALITY})::DOUBLE AS quality FROM v_headlines", "v_headlines"))
 def content_quality(spark: SparkSession, d: str) -> DataFrame:
-    h, t = title(spark, d)
-    return h.select("news_id", P.content_quality_multiplier(t, F.lit(False), F.lit(False)).alias("quality"))
+    h, found = Lexicon(filter_lists()).add(V.headlines(spark, d), F.lower("title"))
+    return h.select("news_id", P.content_quality_multiplier(F.col("title"), F.lit(False), F.lit(False), found).alias("quality"))
 
 
 @query(sql(f"SELECT news_id, {PROPAGANDA} AS propaganda, {NOISE} AS noise, {MAJOR} AS major, {GOSSIP} AS gossip, {ROUTINE} AS routine, {any_sql(LOW, D.US_SIGNALS)} AS us_signal, {MULTI} AS multi_asset FROM v_headlines", "v_headlines"))
@@ -262,7 +266,8 @@ def related_etfs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def strategic_matches(spark: SparkSession, d: str) -> DataFrame:
     h, t = title(spark, d)
-    return (h.select("news_id", F.explode(Z.strategic_matches(t)).alias("m"))
+    h, found = Lexicon(strategic_lists()).add(h, F.lower(t))
+    return (h.select("news_id", F.explode(Z.strategic_matches(t, found=found)).alias("m"))
             .select("news_id", "m.category", "m.text", F.col("m.conf").alias("confidence")))
 
 
@@ -279,9 +284,11 @@ CLASSES = "(" + " + ".join(any_sql(LOW, w) + "::INT" for w in D.ASSET_CLASSES.va
  + round({SURP} * 0.15, 4) + round((CASE {CLASSES} WHEN 0 THEN 0 WHEN 1 THEN 0.3 WHEN 2 THEN 0.6 WHEN 3 THEN 0.9 ELSE 1.0 END) * 0.15, 4)
  + round(greatest({BUS}, CASE WHEN regexp_matches({LOW}, {q(D.PRICE_RAISE)}) THEN 0.9 ELSE 0 END) * 0.15, 4), 4)::DOUBLE AS score FROM n""", "v_headlines"))
 def priority_scores(spark: SparkSession, d: str) -> DataFrame:
-    h, t = title(spark, d)
-    people = G.people_tier(t, {"Jensen Huang": 1})
-    score = C.priority_score(t, T.is_breaking(t), F.lit(0), F.size(G.extract_tickers(t)), F.col("source"), people["found"], people["tier"], F.lit(0))
+    people, t = {"Jensen Huang": 1}, F.col("title")
+    h, found = Lexicon({**score_lists(), **entity_lists(people=people)}).add(V.headlines(spark, d), F.lower("title"))
+    tier = G.people_tier(t, people, found)
+    score = C.priority_score(t, T.is_breaking(t), F.lit(0), F.size(G.extract_tickers(t, found=found)), F.col("source"), tier["found"], tier["tier"],
+                             F.lit(0), found=found)
     return h.select("news_id", score.alias("score"))
 
 

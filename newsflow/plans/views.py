@@ -47,6 +47,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores by key: the given files have one row group, which a scan gives to one task."""
+    return df.repartition(spark.sparkContext.defaultParallelism, *keys)
+
+
 def ts(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
@@ -54,7 +59,7 @@ def ts(text: str) -> Column:
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    return d.select(
+    return dealt(spark, d.select(
         i.alias("news_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("snippet"),
         F.concat(F.lit("https://"), "source", F.lit(".example/n/"), (i % 700).cast("string"), F.lit("?utm_source="), "lang",
                  F.lit("#top")).alias("url"),
@@ -62,12 +67,13 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_seconds(F.lit(1704067200) + (i % 30) * 86400 + (i % 1440) * 60).alias("captured_at"),
         F.element_at(F.array(*[F.lit(s) for s in ("pending", "fast_pushed", "deep_pushed", "archived")]),
                      (i % 4 + 1).cast("int")).alias("status"),
-        (((i * 37) % 1000) / 1000.0).alias("priority_score"), "text")
+        (((i * 37) % 1000) / 1000.0).alias("priority_score"), "text"), "news_id")
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finance headlines written from the lines of the order table."""
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    li = dealt(spark, read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"),
+               "l_orderkey", "l_linenumber")
     t = F.element_at(F.array(*[F.lit(x) for x in TEMPLATES]), (F.col("l_partkey") % len(TEMPLATES) + 1).cast("int"))
     title = F.replace(F.replace(t, F.lit("{q}"), F.col("l_quantity").cast("int").cast("string")), F.lit("{s}"),
                       F.col("l_suppkey").cast("string"))
