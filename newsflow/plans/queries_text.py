@@ -22,6 +22,7 @@ from ..operators import scoring as C
 from ..operators import tagging as G
 from ..sources import feeds, flows, responses
 from .registry import query
+from .strategic_sql import strategic_ctes
 from .views import sql
 
 AS_OF = f"TIMESTAMP '{V.AS_OF}'"
@@ -263,7 +264,8 @@ def related_etfs(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- strategic relations ---------------------------------------------------------------------------
-@query()
+@query(sql(f"""WITH {strategic_ctes('SELECT news_id AS id, title FROM v_headlines')}
+ SELECT id AS news_id, category, text, conf::DOUBLE AS confidence FROM strategic""", "v_headlines"))
 def strategic_matches(spark: SparkSession, d: str) -> DataFrame:
     h, t = title(spark, d)
     h, found = Lexicon(strategic_lists()).add(h, F.lower(t))
@@ -292,7 +294,33 @@ def priority_scores(spark: SparkSession, d: str) -> DataFrame:
     return h.select("news_id", score.alias("score"))
 
 
-@query()
+MAJOR_H = f"(({any_sql(LOW, D.MEGA_CAPS)} AND (has OR {LEADER} OR {DRUG})) OR {MOVE} OR {DEAL} OR (({DRUG} OR {LEADER}) AND has))"
+NOISE_H = f"({rx_sql(LOW, D.A_SHARE_PATTERNS, '')} OR ({rx_sql(LOW, D.SINGLE_STOCK_PATTERNS)} AND NOT {MULTI} AND NOT {MAJOR_H}))"
+QUALITY_H = f"""CASE WHEN {PROPAGANDA} THEN 0.15 ELSE least(1.0, CASE WHEN {CHINESE} AND NOT (has OR {any_sql(LOW, D.US_SIGNALS)}) THEN 0.5 ELSE 1 END,
+ CASE WHEN {NOISE_H} THEN 0.3 ELSE 1 END, CASE WHEN NOT has AND {GOSSIP} THEN 0.3 ELSE 1 END, CASE WHEN NOT has AND {ROUTINE} THEN 0.2 ELSE 1 END) END"""
+MACRO_FOUND = "list_transform(list_filter([" + ", ".join("{'w': " + q(w) + ", 'l': " + q(w.lower()) + "}" for w in dict.fromkeys(E.MACRO_ALERTS)) + f"], lambda k: contains({LOW}, k.l)), lambda k: k.w)"
+WATCHED = "list_filter([" + ", ".join(q(w) for w in E.DEFAULT_WATCHLIST) + "], lambda k: contains(upper(title), upper(k)))"
+PEOPLE_BONUS = "CASE WHEN " + any_sql(LOW, [n.lower() for n in E.PEOPLE_TIERS]) + f" THEN CASE {PEOPLE} " + " ".join(f"WHEN {k} THEN {v}" for k, v in D.PEOPLE_TIER_WEIGHTS.items()) + " END ELSE 0 END"
+PW = D.PRIORITY_WEIGHTS
+
+
+# the body is title, a blank and the empty snippet; scores read the title alone
+@query(sql(f"""WITH RECURSIVE b AS (SELECT news_id, title || ' ' AS title, title AS headline, source FROM v_headlines),
+ {strategic_ctes('SELECT news_id AS id, title FROM b')},
+ best AS (SELECT id, arg_min(category, seq - 10 * conf) AS best FROM strategic GROUP BY id),
+ n AS (SELECT b.*, {TICKERS} AS tk, {MACRO_FOUND} AS mt, {WATCHED} AS watched, best,
+  CASE WHEN headline LIKE 'CPI rose%' THEN abs(CAST(regexp_extract(headline, 'rose (\d+)%', 1) AS DOUBLE) - 20) / 20
+  WHEN headline LIKE 'BREAKING: factory%' THEN abs(CAST(regexp_extract(headline, 'orders (\d+)K', 1) AS DOUBLE) - 25) / 25 END AS x FROM b LEFT JOIN best ON b.news_id = best.id),
+ m AS (SELECT *, len(tk) > 0 AS has FROM n),
+ f AS (SELECT *, ({GEO})::DOUBLE AS geo, round(({GEO})::DOUBLE * ({QUALITY_H})::DOUBLE * (CASE WHEN has THEN 1.0 ELSE {TIER} END)::DOUBLE, 3) AS mult FROM m),
+ s AS (SELECT *, round(CASE WHEN {rx_sql('title', D.BREAKING_MARKERS)} THEN {PW['breaking']} ELSE 0 END + least({PW['macro_cap']}, len(mt) * {PW['macro_per_tag']}) + least({PW['ticker_cap']}, len(tk) * {PW['ticker_per_hit']}) + {PEOPLE_BONUS} + {AUTH}
+  + round(CASE WHEN x IS NOT NULL THEN {BAND} WHEN contains(headline, 'beats estimates') THEN 0.4 WHEN contains(headline, 'misses forecasts') THEN 0.5 ELSE 0 END * {PW['deviation']}, 4)
+  + round({SURP.replace(LOW, 'lower(headline)')} * {PW['surprise']}, 4) + round((CASE {CLASSES.replace(LOW, 'lower(headline)')} WHEN 0 THEN 0 WHEN 1 THEN 0.3 WHEN 2 THEN 0.6 WHEN 3 THEN 0.9 ELSE 1.0 END) * {PW['asset_linkage']}, 4)
+  + round(greatest({BUS.replace(LOW, 'lower(headline)')}, CASE WHEN regexp_matches(lower(headline), {q(D.PRICE_RAISE)}) THEN 0.9 ELSE 0 END) * {PW['business_impact']}, 4), 4)::DOUBLE AS raw FROM f)
+ SELECT news_id, p AS priority_score, CASE WHEN best IS NOT NULL AND geo > 0.2 THEN greatest(mult, 0.8) ELSE mult END AS filter_multiplier,
+  array_to_string(list_concat(mt, CASE WHEN best IS NULL THEN [] ELSE ['STRATEGIC_' || upper(best)] END), ',') AS tags,
+  array_to_string(list_sort(list_distinct(list_concat(tk, CASE WHEN best IS NULL THEN [] ELSE watched END))), ',') AS tickers
+ FROM (SELECT *, CASE WHEN best IS NOT NULL AND geo > 0.2 THEN greatest(round(raw * mult, 4), 1.0) ELSE round(raw * mult, 4) END AS p FROM s) WHERE p >= 0.30""", "v_headlines"))
 def screened_headlines(spark: SparkSession, d: str) -> DataFrame:
     s = C.screen(V.headlines(spark, d))
     return s.select("news_id", "priority_score", "filter_multiplier", F.array_join("macro_tags", ",").alias("tags"), F.array_join("tickers", ",").alias("tickers"))
