@@ -303,20 +303,22 @@ WATCHED = "list_filter([" + ", ".join(q(w) for w in E.DEFAULT_WATCHLIST) + "], l
 PEOPLE_BONUS = "CASE WHEN " + any_sql(LOW, [n.lower() for n in E.PEOPLE_TIERS]) + f" THEN CASE {PEOPLE} " + " ".join(f"WHEN {k} THEN {v}" for k, v in D.PEOPLE_TIER_WEIGHTS.items()) + " END ELSE 0 END"
 PW = D.PRIORITY_WEIGHTS
 
+RAW_SCORE = f"""CASE WHEN {rx_sql('title', D.BREAKING_MARKERS)} THEN {PW['breaking']} ELSE 0 END + least({PW['macro_cap']}, N_TAGS * {PW['macro_per_tag']}) + least({PW['ticker_cap']}, N_TICKERS * {PW['ticker_per_hit']}) + {PEOPLE_BONUS} + {AUTH}
+  + round(CASE WHEN x IS NOT NULL THEN {BAND} WHEN contains(headline, 'beats estimates') THEN 0.4 WHEN contains(headline, 'misses forecasts') THEN 0.5 ELSE 0 END * {PW['deviation']}, 4)
+  + round({SURP.replace(LOW, 'lower(headline)')} * {PW['surprise']}, 4) + round((CASE {CLASSES.replace(LOW, 'lower(headline)')} WHEN 0 THEN 0 WHEN 1 THEN 0.3 WHEN 2 THEN 0.6 WHEN 3 THEN 0.9 ELSE 1.0 END) * {PW['asset_linkage']}, 4)
+  + round(greatest({BUS.replace(LOW, 'lower(headline)')}, CASE WHEN regexp_matches(lower(headline), {q(D.PRICE_RAISE)}) THEN 0.9 ELSE 0 END) * {PW['business_impact']}, 4)"""
+
 
 # the body is title, a blank and the empty snippet; scores read the title alone
 @query(sql(f"""WITH RECURSIVE b AS (SELECT news_id, title || ' ' AS title, title AS headline, source FROM v_headlines),
  {strategic_ctes('SELECT news_id AS id, title FROM b')},
  best AS (SELECT id, arg_min(category, seq - 10 * conf) AS best FROM strategic GROUP BY id),
  n AS (SELECT b.*, {TICKERS} AS tk, {MACRO_FOUND} AS mt, {WATCHED} AS watched, best,
-  CASE WHEN headline LIKE 'CPI rose%' THEN abs(CAST(regexp_extract(headline, 'rose (\d+)%', 1) AS DOUBLE) - 20) / 20
-  WHEN headline LIKE 'BREAKING: factory%' THEN abs(CAST(regexp_extract(headline, 'orders (\d+)K', 1) AS DOUBLE) - 25) / 25 END AS x FROM b LEFT JOIN best ON b.news_id = best.id),
+  CASE WHEN headline LIKE 'CPI rose%' THEN abs(CAST(regexp_extract(headline, 'rose (\\d+)%', 1) AS DOUBLE) - 20) / 20
+  WHEN headline LIKE 'BREAKING: factory%' THEN abs(CAST(regexp_extract(headline, 'orders (\\d+)K', 1) AS DOUBLE) - 25) / 25 END AS x FROM b LEFT JOIN best ON b.news_id = best.id),
  m AS (SELECT *, len(tk) > 0 AS has FROM n),
  f AS (SELECT *, ({GEO})::DOUBLE AS geo, round(({GEO})::DOUBLE * ({QUALITY_H})::DOUBLE * (CASE WHEN has THEN 1.0 ELSE {TIER} END)::DOUBLE, 3) AS mult FROM m),
- s AS (SELECT *, round(CASE WHEN {rx_sql('title', D.BREAKING_MARKERS)} THEN {PW['breaking']} ELSE 0 END + least({PW['macro_cap']}, len(mt) * {PW['macro_per_tag']}) + least({PW['ticker_cap']}, len(tk) * {PW['ticker_per_hit']}) + {PEOPLE_BONUS} + {AUTH}
-  + round(CASE WHEN x IS NOT NULL THEN {BAND} WHEN contains(headline, 'beats estimates') THEN 0.4 WHEN contains(headline, 'misses forecasts') THEN 0.5 ELSE 0 END * {PW['deviation']}, 4)
-  + round({SURP.replace(LOW, 'lower(headline)')} * {PW['surprise']}, 4) + round((CASE {CLASSES.replace(LOW, 'lower(headline)')} WHEN 0 THEN 0 WHEN 1 THEN 0.3 WHEN 2 THEN 0.6 WHEN 3 THEN 0.9 ELSE 1.0 END) * {PW['asset_linkage']}, 4)
-  + round(greatest({BUS.replace(LOW, 'lower(headline)')}, CASE WHEN regexp_matches(lower(headline), {q(D.PRICE_RAISE)}) THEN 0.9 ELSE 0 END) * {PW['business_impact']}, 4), 4)::DOUBLE AS raw FROM f)
+ s AS (SELECT *, round({RAW_SCORE.replace('N_TAGS', 'len(mt)').replace('N_TICKERS', 'len(tk)')}, 4)::DOUBLE AS raw FROM f)
  SELECT news_id, p AS priority_score, CASE WHEN best IS NOT NULL AND geo > 0.2 THEN greatest(mult, 0.8) ELSE mult END AS filter_multiplier,
   array_to_string(list_concat(mt, CASE WHEN best IS NULL THEN [] ELSE ['STRATEGIC_' || upper(best)] END), ',') AS tags,
   array_to_string(list_sort(list_distinct(list_concat(tk, CASE WHEN best IS NULL THEN [] ELSE watched END))), ',') AS tickers
@@ -347,7 +349,35 @@ def protective_scores(spark: SparkSession, d: str) -> DataFrame:
     return h.select("news_id", F.round(C.protective_score(mine, t, F.lit(None).cast("string"), ["AAA"], ["AAA", "BBB"]), 4).alias("protective"))
 
 
-@query()
+def count_sql(c: str, words) -> str:
+    return "(" + " + ".join(f"contains({c}, {q(w)})::INT" for w in words) + ")"
+
+
+PENALTY = f"""least(CASE WHEN {rx_sql(LOW, S.RETROSPECTIVE_PATTERNS, '')} THEN 0.5 ELSE 1 END, CASE WHEN {rx_sql(LOW, S.THREAT_PATTERNS, '')} THEN 0.65 ELSE 1 END,
+ CASE WHEN {rx_sql(LOW, [S.PERSONNEL_PATTERN], '')} AND NOT {rx_sql(LOW, [S.POLICY_PATTERN], '')} THEN 0.55 ELSE 1 END)"""
+TAG_TYPE = "CASE " + " ".join(f"WHEN contains(tags, {q(k)}) THEN {q(v)}" for k, v in S.TAG_EVENT_TYPES.items()) + " END"
+MATCH_TYPE = "CASE best " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in S.STRATEGIC_EVENT_TYPES.items()) + " END"
+MATCH_WORTH = "CASE category " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in S.OPPORTUNITY_CATEGORIES.items()) + " ELSE 0.5 END"
+OTHERS = "[" + ", ".join(q(w) for w in E.DEFAULT_WATCHLIST if w != "NVDA") + "]"
+
+
+@query(sql(f"""WITH RECURSIVE {strategic_ctes('SELECT news_id AS id, title FROM v_headlines')},
+ best AS (SELECT id, arg_min(category, seq - 10 * conf) AS best, max({MATCH_WORTH} * conf) AS worth FROM strategic GROUP BY id),
+ n AS (SELECT h.*, {TICKERS} AS tk, lower(array_to_string({MACRO_FOUND}, ',')) AS tags, best, coalesce(worth, 0) AS worth, {rx_sql('title', D.BREAKING_MARKERS)} AS brk
+  FROM v_headlines h LEFT JOIN best ON h.news_id = best.id),
+ r AS (SELECT *, CASE WHEN title = '' THEN 0.85 WHEN brk THEN 1.0 WHEN {count_sql(LOW, S.SHOCK_WORDS)} >= 2 THEN 1.0 WHEN {count_sql(LOW, S.SHOCK_WORDS)} = 1 THEN 0.9
+  WHEN {count_sql(LOW, S.NOVELTY_WORDS)} >= 2 THEN 0.85 END AS rule FROM n),
+ f AS (SELECT news_id, row_number() OVER (PARTITION BY title ORDER BY captured_at, news_id) AS k FROM r WHERE rule IS NULL),
+ w AS (SELECT *, list_filter(string_split_regex(replace(tags, ',', ' '), '\\s+'), lambda x: x <> '') AS words FROM r),
+ s AS (SELECT w.*, coalesce(rule, CASE WHEN f.k = 1 THEN 0.85 ELSE 0.1 END)::DOUBLE AS novelty, coalesce({MATCH_TYPE}, {TAG_TYPE}, {TYPE_CASE}) AS event_type,
+  greatest(CASE WHEN list_contains(tk, 'NVDA') THEN 1.1 ELSE 0 END, CASE WHEN len(list_intersect(tk, {OTHERS})) > 0 THEN 0.5 + least(len(list_intersect(tk, {OTHERS})) * 0.2, 0.4) ELSE 0 END,
+   CASE WHEN {any_sql("(lower(title) || ' ' || tags)", S.MACRO_WORDS)} THEN 0.6 ELSE 0 END)::DOUBLE AS protective,
+  greatest(worth, {max_sql('tags', S.HIGH_IMPACT_TAGS)})::DOUBLE AS first FROM w LEFT JOIN f ON f.news_id = w.news_id),
+ o AS (SELECT *, least(greatest(CASE WHEN len(words) > 0 AND len(list_filter(words, lambda x: NOT list_contains([{', '.join(q(t) for t in S.LOW_IMPACT_TAGS)}], x))) = 0 THEN least(first, 0.5) ELSE first END,
+  {max_sql(LOW, S.SECTOR_SIGNALS)}) * {PENALTY}, 1.5)::DOUBLE AS opportunity FROM s),
+ z AS (SELECT *, CASE WHEN greatest(protective, opportunity) = 0 THEN 0.3 ELSE greatest(protective, opportunity) END AS relevance FROM o)
+ SELECT news_id, event_type, 1.0::DOUBLE AS timeliness, novelty, relevance, CASE WHEN protective >= opportunity AND protective > 0 THEN 'protective' WHEN opportunity > protective THEN 'opportunity' ELSE 'none' END AS direction,
+  round(novelty * relevance, 3) AS composite FROM z""", "v_headlines"))
 def signal_scores(spark: SparkSession, d: str) -> DataFrame:
     h, t = title(spark, d)
     n = T.once(h.withColumn("text", t), tickers=G.extract_tickers(t), macro_tags=G.tag_words(t, E.MACRO_ALERTS),
@@ -374,7 +404,15 @@ def lexicon_sentiment(spark: SparkSession, d: str) -> DataFrame:
     return s.select("news_id", "sentiment_score", T.sentiment_class(F.col("sentiment_score")).alias("sentiment"))
 
 
-@query()
+@query(sql(f"""WITH b AS (SELECT news_id, title || ' ' AS title, title AS headline, source FROM v_headlines),
+ w AS (SELECT news_id, unnest(string_split_regex(regexp_replace(lower(title), '[^a-z\\-\\s]', ' ', 'g'), '\\s+')) AS w FROM b), v AS (SELECT news_id, sum({VAL})::DOUBLE AS v FROM w GROUP BY news_id),
+ n AS (SELECT b.*, v / sqrt(v * v + 15) AS mood, len({TICKERS}) AS nt, len({MACRO_FOUND}) AS nm,
+  CASE WHEN headline LIKE 'CPI rose%' THEN abs(CAST(regexp_extract(headline, 'rose (\\d+)%', 1) AS DOUBLE) - 20) / 20
+  WHEN headline LIKE 'BREAKING: factory%' THEN abs(CAST(regexp_extract(headline, 'orders (\\d+)K', 1) AS DOUBLE) - 25) / 25 END AS x FROM b JOIN v USING (news_id)),
+ s AS (SELECT *, round({RAW_SCORE.replace('N_TAGS', 'nm').replace('N_TICKERS', 'nt')}, 4)::DOUBLE AS p FROM n)
+ SELECT news_id, CASE WHEN mood >= 0.15 THEN 'bullish' WHEN mood >= 0.05 THEN 'cautiously_bullish' WHEN mood > -0.05 THEN 'neutral' WHEN mood > -0.15 THEN 'cautiously_bearish' ELSE 'bearish' END AS sentiment,
+  p AS priority_score, CASE WHEN p >= 0.7 OR nt >= 3 THEN 'high' WHEN p >= 0.4 OR nt >= 1 THEN 'medium' ELSE 'low' END AS market_impact,
+  CASE WHEN p >= 0.7 THEN 'deep_pushed' WHEN p >= 0.4 THEN 'fast_pushed' ELSE 'archived' END AS status FROM s""", "v_headlines"))
 def deep_enrichment(spark: SparkSession, d: str) -> DataFrame:
     e = C.enrich_deep(V.headlines(spark, d))
     return e.select("news_id", "sentiment", "priority_score", "market_impact", "status")
