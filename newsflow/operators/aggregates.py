@@ -107,43 +107,87 @@ def category_bias(assess: DataFrame, outcomes: DataFrame, n: int = 20, minimum:
     return per.select("category", "samples", F.round(bias, 4).alias("bias")).withColumn("hint", text)
 
 
-def ema_bias(assess: DataFrame, outcomes: DataFrame, alpha_tenths: int = 3, tail: int = 2000) -> DataFrame:
+def _ema_step(b: int, x: int, tenths: int) -> int:
+    """Moving average in whole cents, rounded half away from zero on exact tenths."""
+    raw = b * (10 - tenths) + x * tenths
+    return (raw + 5) // 10 if raw >= 0 else -((5 - raw) // 10)
+
+
+def _ema_chunks(tenths: int, low: int, high: int, narrow: int = 64):
+    """Reduce each run of rows of a category, in time order, to a step map.
+
+    The update is monotone and contracting. ``head`` holds the first rows, as many as it takes until the images
+    of the lowest and the highest possible bias are at most ``narrow`` apart; ``outs`` says where each value
+    from ``base`` on ends after all rows. ``started`` is the bias if the run's first row opens the category.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        done, now = [], None
+
+        def close():
+            if now:
+                done.append([now[c] for c in ("category", "part", "samples", "started", "head", "base", "outs")])
+
+        for batch in batches:
+            for category, part, e in zip(*(batch.column(c).to_pylist() for c in ("category", "part", "e"))):
+                if now is None or category != now["category"]:
+                    close()
+                    now = {"category": category, "part": part, "samples": 0, "started": None, "head": [], "base": low, "top": high, "outs": None}
+                now["samples"] += 1
+                now["started"] = e if now["started"] is None else _ema_step(now["started"], e, tenths)
+                if now["outs"] is None:
+                    now["head"].append(e)
+                    now["base"], now["top"] = _ema_step(now["base"], e, tenths), _ema_step(now["top"], e, tenths)
+                    if now["top"] - now["base"] <= narrow:
+                        now["outs"] = list(range(now["base"], now["top"] + 1))
+                elif now["outs"][0] == now["outs"][-1]:
+                    now["outs"] = [_ema_step(now["outs"][0], e, tenths)] * len(now["outs"])
+                else:
+                    now["outs"] = [_ema_step(b, e, tenths) for b in now["outs"]]
+        close()
+        columns = list(zip(*done)) or [[]] * 7
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)],
+                                         ["category", "part", "samples", "started", "head", "base", "outs"])
+    return run
+
+
+def ema_bias(assess: DataFrame, outcomes: DataFrame, alpha_tenths: int = 3) -> DataFrame:
     """Moving bias per category, rounded to cents at every step, plus the sample count.
 
-    The update is monotone in the old bias. Folding the newest ``tail`` rows once from the
-    smallest and once from the largest possible bias therefore brackets the true value; when
-    both ends meet, it is the exact result and older rows cannot change it. Otherwise the tail
-    is doubled until it covers the whole history. Work per category stays bounded.
+    Rows are sorted by category and time over range partitions, so a category of any size lies in several.
+    Each partition turns its run of a category into a step map of bounded size, and the maps of a category,
+    at most one a partition, are composed in order.
     """
     rows = (assess.join(outcomes, assess["id"] == outcomes["assessment_id"])
             .filter("actual_score >= 0")
-            .select("category", outcomes["collected_at"].alias("at"), assess["id"].alias("id"),
+            .select(F.col("category").cast("string").alias("category"), outcomes["collected_at"].alias("at"), assess["id"].alias("id"),
                     outcomes["window"].alias("w"),
                     F.round((F.col("impact_score") - F.col("actual_score")) * 100).cast("bigint").alias("e")))
-    rows = checkpoint(rows)
-    bounds = rows.groupBy("category").agg(F.count("*").alias("samples"), F.min("e").alias("lo"),
-                                          F.max("e").alias("hi"))
-
-    def step(b: Column, x: Column) -> Column:  # round half away from zero on exact tenths of cents
-        raw = b * (10 - alpha_tenths) + x * alpha_tenths
-        return (F.signum(raw).cast("bigint") * F.floor((F.abs(raw) + 5) / 10)).cast("bigint")
-
-    while True:
-        newest = top_per_key(rows, ["category"], [F.desc("at"), F.desc("id"), F.desc("w")], tail)
-        series = newest.groupBy("category").agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("at", "id", "w", "e"))), lambda s: s["e"]).alias("es"))
-        d = bounds.join(series, "category")
-        whole = F.size("es") == F.col("samples")
-        start, rest = F.get("es", F.lit(0)), F.slice("es", 2, F.greatest(F.size("es") - 1, F.lit(0)))
-
-        def fold(edge: str) -> Column:
-            return F.when(whole, F.aggregate(rest, start, step)).otherwise(
-                F.aggregate("es", F.col(edge), step))
-
-        out = checkpoint(d.select("category", "samples", fold("lo").alias("a"), fold("hi").alias("b")))
-        if out.filter("a <> b").isEmpty():
-            return out.select("category", (F.col("a") / 100.0).alias("bias"), "samples")
-        tail *= 2
+    rows = checkpoint(rows.filter("e is not null"))
+    ends = rows.agg(F.min("e").alias("low"), F.max("e").alias("high")).first()
+    low, high = ends["low"] or 0, ends["high"] or 0
+    order = ["category", "at", "id", "w"]
+    runs = (rows.repartitionByRange(*order).sortWithinPartitions(*order)
+            .select("category", F.spark_partition_id().alias("part"), "e")
+            .mapInArrow(_ema_chunks(alpha_tenths, low, high),
+                        "category string, part int, samples long, started long, head array<long>, base long, outs array<long>"))
+
+    def compose(maps):
+        maps = maps.sort_values("part")
+        bias = None
+        for started, head, base, outs in zip(maps["started"], maps["head"], maps["base"], maps["outs"]):
+            if bias is None:
+                bias = int(started)
+                continue
+            for x in head:
+                bias = _ema_step(bias, int(x), alpha_tenths)
+            if outs is not None:
+                bias = int(outs[bias - int(base)])
+        return maps[["category"]].head(1).assign(bias=bias / 100.0, samples=int(maps["samples"].sum()))
+
+    return runs.groupBy("category").applyInPandas(compose, "category string, bias double, samples long")
 
 
 def mae_by_version(assess: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -6,13 +6,15 @@ shuffle. Larger ones go through a join on short character anchors instead.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import entities as E
 from ..functions.lexicon import Found, Lexicon
 from ..functions.text import string_array, word_set
 from ..functions.vocabulary import entity_lists, lowered
-from ..runtime import small_rows
+from ..runtime import checkpoint, small_rows
 from .ranking import merge_tags
 from .windows import top_per_key
 
@@ -94,8 +96,8 @@ def contains_join(docs: DataFrame, dictionary: DataFrame, id_col: str = "news_id
                 id_col, *[F.lit(None).cast(f.dataType).alias(f.name) for f in dictionary.schema.fields])
         kinds = {f.name: f.dataType for f in dictionary.schema.fields}
         table = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in cols]) for r in rows])
-        hits = F.filter(table, lambda k: F.contains(low, F.lower(k["keyword"])))
-        return docs.select(id_col, F.explode(hits).alias("k")).select(id_col, "k.*")
+        places = Lexicon({"keyword": [r["keyword"].lower() for r in rows]}).found(low).places("keyword")
+        return docs.select(id_col, F.explode(F.transform(places, lambda p: F.get(table, p))).alias("k")).select(id_col, "k.*")
     head = F.lower("keyword")
     keyed = dictionary.withColumn("_anchor", F.substr(head, F.lit(1), F.least(F.length(head), F.lit(3))))
     runs = [F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]
@@ -133,35 +135,66 @@ def ticker_to_etf(tickers: Column, tag_text: Column, category: Column, ticker_et
 def match_history(news: DataFrame, history: DataFrame, k: int = 3, id_col: str = "news_id",
                   text: str = "text", category: str | None = "category", floor: float = 10.0,
                   history_id: str = "event_no", inline_limit: int = INLINE_LIMIT) -> DataFrame:
-    """Top k labelled past events per text.
+    """Top k labelled past events per text: 30 for the category, 8 a contained tag, 0.5 a shared word, 5 if critical.
 
-    Candidates meet on what can give points: a shared word, a contained tag or the category.
-    The score is checked on these pairs only; nothing is cross joined.
+    A threshold algorithm. Each event's words are ordered rare first; its ``last`` most common words are no
+    join keys. An event that shares none of its other words with a text shares at most ``last`` words, too
+    few to reach the floor by words alone, so it can only enter through a tag or its category. Of a
+    category, each text meets the best k events by what needs no text. Only texts whose k-th best score
+    could still be passed by an unseen event of the category meet the common words, within the category.
     """
+    critical = F.when(F.col("level") == "CRITICAL", 5).otherwise(0)
+    last = max(0, math.ceil((floor - 5) / 0.5) - 1)
     n = news.filter(F.length(F.trim(F.lower(text))) >= 10).select(
         F.col(id_col).alias("nid"), F.lower(text).alias("_low"), word_set(F.col(text)).alias("nw"),
-        (F.col(category) if category else F.lit("")).alias("ncat"))
+        F.coalesce(F.col(category) if category else F.lit(None).cast("string"), F.lit("")).alias("ncat"))
     h = history.select(F.col(history_id).alias("hid"), word_set(F.col("text")).alias("hw"),
-                       F.array_distinct("tags").alias("tags"), F.col("category").alias("hcat"), "level")
-    words = (n.select("nid", F.explode("nw").alias("w"))
-             .join(h.select("hid", F.explode("hw").alias("w")), "w")
-             .groupBy("nid", "hid").agg(F.count("*").alias("shared")))
-    tag_rows = h.select("hid", F.explode("tags").alias("keyword"))
-    tags = (contains_join(n.withColumn("_t", F.col("_low")), tag_rows, "nid", "_t", inline_limit)
-            .groupBy("nid", "hid").agg(F.count("*").alias("tagged")))
-    cats = n.filter("ncat <> ''").select("nid", F.col("ncat").alias("hcat")).join(
-        h.select("hid", "hcat"), "hcat").select("nid", "hid", F.lit(30).alias("cat"))
-    keys = ["nid", "hid"]
-    zero = F.lit(0)
-    scored = (words.select(*keys, "shared", zero.alias("tagged"), zero.alias("cat"))
-              .unionByName(tags.select(*keys, zero.alias("shared"), "tagged", zero.alias("cat")))
-              .unionByName(cats.select(*keys, zero.alias("shared"), zero.alias("tagged"), "cat"))
-              .groupBy(*keys).agg((F.sum("cat") + F.sum("tagged") * 8 + F.sum("shared") * 0.5).alias("s"))
-              .join(h.select("hid", "level"), "hid")
-              .withColumn("score", F.col("s") + F.when(F.col("level") == "CRITICAL", 5).otherwise(0))
-              .filter(F.col("score") >= floor))
-    best = top_per_key(scored, ["nid"], [F.desc("score"), "hid"], k, rank="rank")
-    return best.select(F.col("nid").alias(id_col), F.col("hid").alias(history_id), "score", "rank")
+                       F.array_distinct("tags").alias("tags"), F.col("category").alias("hcat"), critical.alias("crit"))
+    posted = h.select("hid", F.explode("hw").alias("w"))
+    common = posted.groupBy("w").agg(F.count("*").alias("df"))
+    by_event = (posted.join(common, "w").groupBy("hid")
+                .agg(F.array_sort(F.collect_list(F.struct(F.col("df"), F.col("w")))).alias("ws"))
+                .select("hid", F.transform("ws", lambda x: x["w"]).alias("ws"), F.greatest(F.size("ws") - last, F.lit(0)).alias("cut"))
+                .select("hid", F.slice("ws", F.lit(1), F.col("cut")).alias("rare"), F.slice("ws", F.col("cut") + 1, F.lit(max(last, 1))).alias("often")))
+    rare = by_event.select("hid", F.explode("rare").alias("w"))
+    often = by_event.select("hid", F.explode("often").alias("w"))
+    said = checkpoint(n.select("nid", F.explode("nw").alias("w")).join(common.select("w"), "w", "left_semi"))
+    frequent = (said.join(often.select("w").distinct(), "w").groupBy("nid").agg(F.collect_list("w").alias("ws")))
+    keys, zero = ["nid", "hid"], F.lit(0)
+    words = said.join(rare, "w").groupBy(*keys).agg(F.count("*").alias("shared"))
+    tags = (contains_join(n.withColumn("_t", F.col("_low")), h.select("hid", F.explode("tags").alias("keyword")), "nid", "_t", inline_limit)
+            .groupBy(*keys).agg(F.count("*").alias("tagged")))
+    per_category = top_per_key(h.select("hid", "hcat", "crit"), ["hcat"], [F.desc("crit"), "hid"], k).select("hid", "hcat")
+    placed = checkpoint(n.filter("ncat <> ''").select("nid", "ncat"))
+    best = placed.join(per_category, F.col("ncat") == F.col("hcat")).select(*keys)
+    seen = (words.select(*keys, "shared", zero.alias("tagged"))
+            .unionByName(tags.select(*keys, zero.alias("shared"), "tagged"))
+            .unionByName(best.select(*keys, zero.alias("shared"), zero.alias("tagged")))
+            .groupBy(*keys).agg(F.sum("shared").alias("shared"), F.sum("tagged").alias("tagged")))
+    seen = checkpoint(seen)
+    facts = by_event.select("hid", "often").join(h.select("hid", "hcat", "crit"), "hid")
+    frequent = checkpoint(frequent)
+    texts = frequent.join(placed, "nid", "full").select("nid", F.coalesce("ncat", F.lit("")).alias("ncat"), "ws")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(facts, "hid").join(texts, "nid", "left").fillna({"ncat": ""})
+        shared = F.col("shared") + F.coalesce(F.size(F.array_intersect("often", "ws")), zero)
+        points = (F.when((F.col("ncat") != "") & (F.col("ncat") == F.col("hcat")), 30).otherwise(0)
+                  + F.col("tagged") * 8 + shared * 0.5 + F.col("crit"))
+        return both.select(*keys, points.alias("score")).filter(F.col("score") >= floor)
+
+    def top(pairs: DataFrame) -> DataFrame:
+        return top_per_key(pairs, ["nid"], [F.desc("score"), "hid"], k, rank="rank")
+
+    first = checkpoint(top(scored(seen)))
+    unseen = 30 + 5 + 0.5 * last  # the most that an event of the category not met so far can have
+    sure = first.groupBy("nid").agg(F.count("*").alias("held"), F.min("score").alias("least")).filter((F.col("held") >= k) & (F.col("least") > unseen))
+    open_texts = placed.join(sure.select("nid"), "nid", "left_anti")
+    more = (open_texts.join(frequent, "nid").select("nid", "ncat", F.explode("ws").alias("w"))
+            .join(often.join(h.select("hid", F.col("hcat").alias("ncat")), "hid"), ["ncat", "w"]).select(*keys).distinct()
+            .join(seen.select(*keys), keys, "left_anti").select(*keys, zero.alias("shared"), zero.alias("tagged")))
+    out = top(first.drop("rank").unionByName(top(scored(more)).drop("rank")))
+    return out.select(F.col("nid").alias(id_col), F.col("hid").alias(history_id), "score", "rank")
 
 
 def resonance(news: DataFrame, minutes: float = 5, share: float = 0.30, id_col: str = "news_id",

@@ -200,7 +200,7 @@ def category_bias(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("""WITH j AS (SELECT a.category, o.collected_at, a.id, o."window" AS w, CAST(round((a.impact_score - o.actual_score) * 100) AS BIGINT) AS e FROM v_assess a JOIN v_outcomes o ON o.assessment_id = a.id WHERE o.actual_score >= 0)
  SELECT category, list_reduce(list(e ORDER BY collected_at, id, w), lambda b, x: CAST(sign(b * 7 + x * 3) * ((abs(b * 7 + x * 3) + 5) // 10) AS BIGINT)) / 100.0 AS bias, count(*) AS samples FROM j GROUP BY category""", "v_assess", "v_outcomes"))
 def ema_bias(spark: SparkSession, d: str) -> DataFrame:
-    return A.ema_bias(V.assessments(spark, d), V.outcomes(spark, d), tail=200)
+    return A.ema_bias(V.assessments(spark, d), V.outcomes(spark, d))
 
 
 @query(sql("SELECT version, round(avg(abs(impact_score - actual_score)), 2) AS mae, count(*) AS samples FROM v_assess JOIN v_outcomes ON assessment_id = id WHERE actual_score >= 0 GROUP BY version", "v_assess", "v_outcomes"))

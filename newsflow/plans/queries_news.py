@@ -403,7 +403,7 @@ def append_new_rows(spark: SparkSession, d: str) -> DataFrame:
     path = _fresh_path(spark, "append-new")
     for part in (0, 1):
         K.append_new(n.filter(F.col("news_id") % 2 == part), path, "url", ["news_id"])
-    return spark.read.parquet(path).select("news_id", "url")
+    return K.read_table(spark, path).select("news_id", "url")
 
 
 @query(sql("""SELECT ticker, date, CASE WHEN CAST(ticker AS INT) % 3 = 0 THEN main_net * 2 ELSE main_net END AS main_net FROM v_flow""", "v_flow"))
@@ -423,7 +423,7 @@ def append_log_rows(spark: SparkSession, d: str) -> DataFrame:
     path = _fresh_path(spark, "log")
     for _ in range(2):
         K.append_log(n, path, ["source"])
-    return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("rows"))
+    return K.read_table(spark, path).groupBy("source").agg(F.count("*").alias("rows"))
 
 
 @query()
