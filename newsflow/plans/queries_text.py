@@ -310,7 +310,7 @@ RAW_SCORE = f"""CASE WHEN {rx_sql('title', D.BREAKING_MARKERS)} THEN {PW['breaki
 
 
 # the body is title, a blank and the empty snippet; scores read the title alone
-@query(sql(f"""WITH RECURSIVE b AS (SELECT news_id, title || ' ' AS title, title AS headline, source FROM v_headlines),
+SCREENED_SQL = sql(f"""WITH RECURSIVE b AS (SELECT news_id, title || ' ' AS title, title AS headline, source FROM v_headlines),
  {strategic_ctes('SELECT news_id AS id, title FROM b')},
  best AS (SELECT id, arg_min(category, seq - 10 * conf) AS best FROM strategic GROUP BY id),
  n AS (SELECT b.*, {TICKERS} AS tk, {MACRO_FOUND} AS mt, {WATCHED} AS watched, best,
@@ -322,7 +322,10 @@ RAW_SCORE = f"""CASE WHEN {rx_sql('title', D.BREAKING_MARKERS)} THEN {PW['breaki
  SELECT news_id, p AS priority_score, CASE WHEN best IS NOT NULL AND geo > 0.2 THEN greatest(mult, 0.8) ELSE mult END AS filter_multiplier,
   array_to_string(list_concat(mt, CASE WHEN best IS NULL THEN [] ELSE ['STRATEGIC_' || upper(best)] END), ',') AS tags,
   array_to_string(list_sort(list_distinct(list_concat(tk, CASE WHEN best IS NULL THEN [] ELSE watched END))), ',') AS tickers
- FROM (SELECT *, CASE WHEN best IS NOT NULL AND geo > 0.2 THEN greatest(round(raw * mult, 4), 1.0) ELSE round(raw * mult, 4) END AS p FROM s) WHERE p >= 0.30""", "v_headlines"))
+ FROM (SELECT *, CASE WHEN best IS NOT NULL AND geo > 0.2 THEN greatest(round(raw * mult, 4), 1.0) ELSE round(raw * mult, 4) END AS p FROM s) WHERE p >= 0.30""", "v_headlines")
+
+
+@query(SCREENED_SQL)
 def screened_headlines(spark: SparkSession, d: str) -> DataFrame:
     s = C.screen(V.headlines(spark, d))
     return s.select("news_id", "priority_score", "filter_multiplier", F.array_join("macro_tags", ",").alias("tags"), F.array_join("tickers", ",").alias("tickers"))

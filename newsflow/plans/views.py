@@ -72,8 +72,11 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finance headlines written from the lines of the order table."""
-    li = dealt(spark, read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"),
-               "l_orderkey", "l_linenumber")
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    return headlines_of(dealt(spark, li, "l_orderkey", "l_linenumber"))
+
+
+def headlines_of(li: DataFrame) -> DataFrame:
     t = F.element_at(F.array(*[F.lit(x) for x in TEMPLATES]), (F.col("l_partkey") % len(TEMPLATES) + 1).cast("int"))
     title = F.replace(F.replace(t, F.lit("{q}"), F.col("l_quantity").cast("int").cast("string")), F.lit("{s}"),
                       F.col("l_suppkey").cast("string"))

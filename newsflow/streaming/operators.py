@@ -201,17 +201,18 @@ ESCALATION_ALERTS = {"ALERTED": "important", "CONFIRMED": "critical", "CLOSED":
 
 
 def stream_escalation(sweeps: DataFrame, ts: str = "swept_at", cfg: dict = ESCALATION, lateness: str = LATENESS,
-                      quiet_seconds: float | None = None) -> DataFrame:
+                      quiet_seconds: float | None = None, tie: str | None = None) -> DataFrame:
     """State changes and alerts of events over their sweep rows (one per event and sweep); an event's
-    state is kept unless ``quiet_seconds`` ends it."""
-    out = T.StructType([T.StructField("event_id", T.LongType()), T.StructField(ts, T.TimestampType()),
+    state is kept unless ``quiet_seconds`` ends it. ``tie`` orders sweeps of one time and is put out too."""
+    out = T.StructType([T.StructField("event_id", T.LongType()), T.StructField(ts, T.TimestampType()), *([sweeps.schema[tie]] if tie else []),
                         T.StructField("state", T.StringType()), T.StructField("alert_level", T.StringType())])
 
     def step(state, row):
         new = escalation_step(state, row, cfg)
-        return [] if new is None else [{"event_id": row["event_id"], ts: row[ts], "state": new, "alert_level": ESCALATION_ALERTS[new]}]
+        known = {c: row[c] for c in ("event_id", ts, *([tie] if tie else []))}
+        return [] if new is None else [{**known, "state": new, "alert_level": ESCALATION_ALERTS[new]}]
 
-    return keyed_fold(sweeps, ["event_id"], [ts], ts, step, out, quiet_seconds, lateness)
+    return keyed_fold(sweeps, ["event_id"], [ts] + ([tie] if tie else []), ts, step, out, quiet_seconds, lateness)
 
 
 # --- suppression -------------------------------------------------------------------------------
@@ -285,18 +286,23 @@ def stream_health_alerts(verdicts: DataFrame, n: int = 2, cooldown_seconds: int
 
 # --- joins and enrichment ------------------------------------------------------------------------
 def stream_outcome_windows(assess: DataFrame, prices: DataFrame, tolerance: str = "10 minutes",
-                           symbol: str = "symbol") -> DataFrame:
-    """Price bars in the tolerance after +15 min, +1 h and +4 h of each assessment (interval join;
-    both sides carry watermarks, so state is bounded by four hours plus the tolerance)."""
-    due = assess.withWatermark("created_at", LATENESS).select(
-        "id", symbol, "created_at", F.explode(F.array(*[
-            F.struct(F.lit(n).alias("window"), (F.col("created_at") + F.expr(f"INTERVAL {m} MINUTES")).alias("due"))
-            for n, m in (("15m", 15), ("1h", 60), ("4h", 240))])).alias("w")).select("id", symbol, "created_at", "w.*")
-    bars = prices.withWatermark("ts", LATENESS).select(F.col(symbol).alias("bar_symbol"), F.col("ts").alias("bar_ts"), "close")
+                           symbol: str = "symbol", tie: str | None = None, lateness: str = LATENESS) -> DataFrame:
+    """One row per assessment and window (15 min, 1 h, 4 h): the first bar from the due time on within the
+    tolerance, or nulls when the watermark has passed it without one.
+
+    A left outer interval join, then the earliest bar per due row (``tie`` orders bars of one time). Due times
+    carry the assessments' watermark, which allows for the longest window; state is bounded by it.
+    """
+    due = assess.select("id", symbol, F.explode(F.array(*[
+        F.struct(F.lit(n).alias("window"), (F.col("created_at") + F.expr(f"INTERVAL {m} MINUTES")).alias("due"))
+        for n, m in (("15m", 15), ("1h", 60), ("4h", 240))])).alias("w")).select("id", symbol, "w.*")
+    due = due.withWatermark("due", f"{lateness} 4 hours")  # due times of one arrival spread over four hours
+    order = F.struct("ts", *([tie] if tie else []))
+    bars = prices.withWatermark("ts", lateness).select(F.col(symbol).alias("bar_symbol"), F.col("ts").alias("bar_ts"), "close", order.alias("place"))
     hit = ((F.col(symbol) == F.col("bar_symbol")) & (F.col("bar_ts") >= F.col("due"))
-           & (F.col("bar_ts") <= F.col("due") + F.expr(f"INTERVAL {tolerance}"))
-           & (F.col("bar_ts") <= F.col("created_at") + F.expr("INTERVAL 5 HOURS")) & (F.col("bar_ts") >= F.col("created_at")))
-    return due.join(bars, hit).select("id", "window", symbol, "due", "bar_ts", "close")
+           & (F.col("bar_ts") <= F.col("due") + F.expr(f"INTERVAL {tolerance}")))
+    return (due.join(bars, hit, "left_outer").groupBy("id", "window", symbol, "due")
+            .agg(F.min("bar_ts").alias("bar_ts"), F.min_by("close", "place").alias("close")))
 
 
 def stream_enrich(news: DataFrame, **kw) -> DataFrame:
