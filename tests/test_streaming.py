@@ -61,9 +61,10 @@ def test_cluster_stream(spark, tmp_path):
 
 def test_outcome_windows_and_snapshots(spark, tmp_path):
     a = spark.createDataFrame([(1, "SPX", T0)], "id long, symbol string, created_at timestamp")
-    p = spark.createDataFrame([("SPX", T0 + timedelta(minutes=m), float(m)) for m in (5, 16, 61, 242)], "symbol string, ts timestamp, close double")
-    got = sorted((r["window"], r["close"]) for r in drain(spark, tmp_path, S.stream_outcome_windows(source(spark, tmp_path, a), source(spark, tmp_path, p))))
-    assert got == [("15m", 16.0), ("1h", 61.0), ("4h", 242.0)]
+    p = spark.createDataFrame([("SPX", T0 + timedelta(minutes=m), float(m)) for m in (5, 20, 16, 61, 69, 251)], "symbol string, ts timestamp, close double")
+    far = T0 + timedelta(days=9)
+    rows = drain(spark, tmp_path, S.stream_outcome_windows(source(spark, tmp_path, a, "created_at", far), source(spark, tmp_path, p, "ts", far, 3), lateness="5 hours"))
+    assert sorted((r["window"], r["close"]) for r in rows) == [("15m", 16.0), ("1h", 61.0), ("4h", None)]  # the first bar, or a row without one
     et = datetime(2024, 1, 2, 14, 26)  # 09:26 in New York
     q = spark.createDataFrame([("A", et, 1.0), ("A", et + timedelta(minutes=3), 2.0), ("A", et + timedelta(hours=1), 3.0), ("B", et, 4.0)], "ticker string, ts timestamp, last double")
     rows = drain(spark, tmp_path, S.stream_snapshot_windows(source(spark, tmp_path, q, 'ts', datetime(2024, 1, 12, 20), 3), lateness='2 hours'))
