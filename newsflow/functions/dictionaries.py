@@ -3,9 +3,11 @@
 Every operator takes its dictionary as an argument; these are the defaults.
 """
 
-URGENCY_MARKERS = ["BREAKING", "URGENT", "JUST IN", "FLASH", "ALERT", "DEVELOPING",
-                   "突发", "快讯", "重磅"]
-URGENCY_ENDINGS = [":", "—", " -"]
+URGENCY_PREFIXES = [
+    "BREAKING:", "BREAKING—", "BREAKING -", "URGENT:", "URGENT—", "URGENT -", "JUST IN:", "JUST IN—", "JUST IN -",
+    "FLASH:", "FLASH—", "FLASH -", "ALERT:", "ALERT—", "ALERT -", "DEVELOPING:", "DEVELOPING—", "DEVELOPING -",
+    "突发:", "突发—", "突发 -", "快讯:", "快讯—", "快讯 -", "重磅:", "重磅—", "重磅 -",
+]
 EVENT_TITLE_MARKERS = ["BREAKING", "URGENT", "ALERT", "JUST IN", "FLASH", "DEVELOPING",
                        "EXCLUSIVE"]
 BREAKING_MARKERS = ["BREAKING", "URGENT", "ALERT", "JUST IN", "FLASH", "DEVELOPING",
@@ -333,3 +335,20 @@ NOISE_TITLE_WORDS = [
     "连续涨停", "一字板", "地天板", "天地板", "封板", "炸板", "尾盘拉升", "尾盘跳水", "油价调整",
     "成品油价格", "限行通知", "天气预报", "交通管制", "停水停电", "文体活动", "文艺汇演",
 ]
+
+# --- labelled cases: fixed values of the additive headline heuristic --------------------
+CASE_BASE, CASE_CAP = 0.30, 1.0
+# group, words, weight, groups that rule it out
+CASE_TERMS = [
+    ("comment", ["admits", "no-win", "despite record", "complains", "lament"], 0.05, []),
+    ("tone", ["crash", "plunge", "surge", "emergency", "circuit breaker", "evaporates", "bailout"], 0.15, ["comment"]),
+    ("scale", ["49.5 billion", "52 billion", "500 billion", "80 billion"], 0.15, ["comment"]),
+    ("state", ["government", "pentagon", "defense department", "commerce dept", "energy department", "chips act",
+               "treasury", "congress", "washington", "us invests", "us commerce"], 0.10, []),
+    ("person", ["jensen huang"], 0.10, []),
+    ("company", ["nvidia"], 0.08, []),
+]
+CASE_AMOUNT = r"(\d+)\s*(?:billion|B)"  # each amount adds the weight of the first bound it reaches
+CASE_AMOUNT_BOUNDS = [(100, 0.12), (10, 0.08), (1, 0.04)]
+CASE_COMPANIES = ["intel", "amd", "qualcomm", "nvidia", "tsmc", "samsung", "ibm", "microsoft", "apple", "tesla", "google", "meta", "amazon"]
+CASE_COMPANY_BOUNDS = [(3, 0.08), (1, 0.04)]  # by the number of mentions

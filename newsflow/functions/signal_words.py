@@ -164,6 +164,21 @@ SENTIMENT_VALENCE = {
     "volatile": -0.5, "volatility": -0.5, "swing": 0.0, "swings": 0.0,
 }
 
+# Fixed values of the published valence rule: words before a listed word that turn or strengthen it.
+NEGATIONS = ["not", "no", "never", "none", "neither", "nor", "nothing", "nowhere", "without", "cannot", "hardly", "rarely", "scarcely",
+             "barely", "seldom", "despite"]  # and every word that ends in n't
+NEGATION_FACTOR = -0.74
+BOOSTERS = {
+    "absolutely": 0.293, "completely": 0.293, "considerably": 0.293, "deeply": 0.293, "enormously": 0.293, "entirely": 0.293,
+    "especially": 0.293, "exceptionally": 0.293, "extremely": 0.293, "greatly": 0.293, "highly": 0.293, "hugely": 0.293,
+    "incredibly": 0.293, "intensely": 0.293, "majorly": 0.293, "more": 0.293, "most": 0.293, "particularly": 0.293, "purely": 0.293,
+    "quite": 0.293, "really": 0.293, "remarkably": 0.293, "sharply": 0.293, "so": 0.293, "substantially": 0.293, "thoroughly": 0.293,
+    "totally": 0.293, "tremendously": 0.293, "unbelievably": 0.293, "unusually": 0.293, "utterly": 0.293, "very": 0.293,
+    "almost": -0.293, "kinda": -0.293, "less": -0.293, "little": -0.293, "marginally": -0.293, "occasionally": -0.293, "partly": -0.293,
+    "slightly": -0.293, "somewhat": -0.293,
+}
+BOOSTER_SHARES = [1.0, 0.95, 0.9]  # one, two and three words before
+
 TOPIC_WORDS = {
     "semiconductor": ["芯片", "半导体", "wafer", "foundry", "fab", "台积电", "TSMC", "NVIDIA", "GPU", "CPU"],
     "AI": ["artificial intelligence", "AI", "machine learning", "deep learning", "LLM", "transformer", "GPT"],

@@ -109,7 +109,7 @@ def normalize_url(c: Column) -> Column:
 
 
 def _prefix_pattern() -> str:
-    heads = [re.escape(m + e) for m in D.URGENCY_MARKERS for e in D.URGENCY_ENDINGS]
+    heads = [re.escape(p) for p in D.URGENCY_PREFIXES]
     return "^(?:" + "|".join(heads) + ")"
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import signal_words as S
+from ..functions.text import once
 from ..runtime import checkpoint
 from .windows import top_per_key
 
@@ -452,10 +454,29 @@ def budgeted_concat(docs: DataFrame, group: str, order: list, max_chars: int = 3
 
 
 def lexicon_sentiment(docs: DataFrame, lexicon: dict[str, float] = S.SENTIMENT_VALENCE,
-                      id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Sum of word valences scaled to (-1, 1), computed per row without leaving the JVM."""
-    table = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in (kv[0], float(kv[1]))])
-    words = F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z\-\s]", " "), r"\s+")
-    total = F.aggregate(words, F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(table, w), F.lit(0.0)))
-    out = docs.withColumn("_v", total)
-    return out.withColumn("sentiment_score", F.round(F.col("_v") / F.sqrt(F.col("_v") * F.col("_v") + 15), 4)).drop("_v")
+                      id_col: str = "doc_id", text: str = "text", negations=S.NEGATIONS, boosters: dict[str, float] = S.BOOSTERS) -> DataFrame:
+    """Sum of word valences scaled to (-1, 1), computed per row without leaving the JVM.
+
+    Each of the three words before a listed word counts unless it is listed itself: a booster moves the valence
+    away from zero (or towards it), less the farther away it is, and a negation turns and weakens it, nearest
+    word first. The words' lists are arguments, the valence table too.
+    """
+    def table(entries: dict[str, float]) -> Column:
+        return F.from_json(F.lit(json.dumps({k: float(v) for k, v in entries.items()})), "map<string,double>")
+
+    words = F.transform(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z'\-\s]", " "), r"\s+"), lambda w: F.btrim(w, F.lit("'")))
+    df = once(docs, _words=words)
+    df = once(df, _values=F.transform("_words", lambda w: F.try_element_at(table(lexicon), w)))
+
+    def valence(i: Column) -> Column:
+        v = F.get("_values", i)
+        for k, share in enumerate(S.BOOSTER_SHARES, start=1):
+            word = F.get("_words", i - k)
+            moved = v + F.signum(v) * F.coalesce(F.try_element_at(table(boosters), word), F.lit(0.0)) * share
+            turned = word.isin(list(negations)) | word.endswith("n't")
+            v = F.when((i >= k) & F.get("_values", i - k).isNull(), moved * F.when(turned, S.NEGATION_FACTOR).otherwise(F.lit(1.0))).otherwise(v)
+        return v
+
+    listed = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.get("_values", i).isNotNull())
+    out = df.withColumn("_v", F.aggregate(F.transform(listed, valence), F.lit(0.0), lambda s, v: s + v))
+    return out.withColumn("sentiment_score", F.round(F.col("_v") / F.sqrt(F.col("_v") * F.col("_v") + 15), 4)).drop("_v", "_words", "_values")

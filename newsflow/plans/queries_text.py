@@ -396,22 +396,51 @@ def personal_relevance(spark: SparkSession, d: str) -> DataFrame:
     return V.news(spark, d).select("news_id", p["score"].alias("relevance"))
 
 
-VAL = "CASE w " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in S.SENTIMENT_VALENCE.items()) + " ELSE 0 END"
-
-
-@query(sql(f"""WITH w AS (SELECT news_id, unnest(string_split_regex(regexp_replace(lower(title), '[^a-z\\-\\s]', ' ', 'g'), '\\s+')) AS w FROM v_headlines), s AS (SELECT news_id, sum({VAL})::DOUBLE AS v FROM w GROUP BY news_id)
- SELECT news_id, round(v / sqrt(v * v + 15), 4) AS sentiment_score, CASE WHEN v / sqrt(v * v + 15) >= 0.15 THEN 'bullish' WHEN v / sqrt(v * v + 15) >= 0.05 THEN 'cautiously_bullish' WHEN v / sqrt(v * v + 15) > -0.05 THEN 'neutral'
- WHEN v / sqrt(v * v + 15) > -0.15 THEN 'cautiously_bearish' ELSE 'bearish' END AS sentiment FROM s""", "v_headlines"))
+def mood_sql(source: str) -> str:
+    """CTEs that end in ``mood`` (id, v): the sum of valences with negations and boosters in the three words before; ``source`` gives id and text."""
+    boost = "CASE {w} " + " ".join(f"WHEN {q(w)} THEN {v}" for w, v in S.BOOSTERS.items()) + " ELSE 0 END"
+    listed = "CASE {w} " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in S.SENTIMENT_VALENCE.items()) + " END"
+    negated = "(list_contains([" + ", ".join(q(w) for w in S.NEGATIONS) + "], {w}) OR {w} LIKE '%n''t')"
+    steps, last = [], "h0"
+    for k, share in enumerate(S.BOOSTER_SHARES, start=1):
+        w = f"w[i - {k}]"
+        open_ = f"i > {k} AND {listed.format(w=w)} IS NULL"
+        steps.append(f"""h{k} AS (SELECT id, i, w, CASE WHEN {open_} THEN (v + sign(v) * ({boost.format(w=w)}) * {share}) * CASE WHEN {negated.format(w=w)} THEN {S.NEGATION_FACTOR} ELSE 1 END ELSE v END AS v FROM {last})""")
+        last = f"h{k}"
+    return f"""tokens AS (SELECT id, list_transform(string_split_regex(regexp_replace(lower(text), '[^a-z''\\-\\s]', ' ', 'g'), '\\s+'), lambda x: trim(x, chr(39))) AS w FROM ({source})),
+ h0 AS (SELECT id, i, w, ({listed.format(w='w[i]')})::DOUBLE AS v FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM tokens) WHERE {listed.format(w='w[i]')} IS NOT NULL),
+ {', '.join(steps)},
+ mood AS (SELECT t.id, coalesce(sum(v), 0)::DOUBLE AS v FROM tokens t LEFT JOIN {last} h ON h.id = t.id GROUP BY t.id)"""
+
+
+CLASS_SQL = """CASE WHEN {m} >= 0.15 THEN 'bullish' WHEN {m} >= 0.05 THEN 'cautiously_bullish' WHEN {m} > -0.05 THEN 'neutral' WHEN {m} > -0.15 THEN 'cautiously_bearish' ELSE 'bearish' END"""
+
+
+@query(sql(f"""WITH {mood_sql('SELECT news_id AS id, title AS text FROM v_headlines')}
+ SELECT id AS news_id, round(v / sqrt(v * v + 15), 4) AS sentiment_score, {CLASS_SQL.format(m='v / sqrt(v * v + 15)')} AS sentiment FROM mood""", "v_headlines"))
 def lexicon_sentiment(spark: SparkSession, d: str) -> DataFrame:
     s = A.lexicon_sentiment(V.headlines(spark, d), id_col="news_id", text="title")
     return s.select("news_id", "sentiment_score", T.sentiment_class(F.col("sentiment_score")).alias("sentiment"))
 
 
+SPOKEN = ["surge", "not surge", "do not ever surge", "very sharply surge", "isn't slightly a surge", "hardly, really, 'surge'", "never so badly crash", "crash surge"]
+SPOKEN_SQL = "SELECT news_id AS id, replace(title, 'surge', ([" + ", ".join(q(w) for w in SPOKEN) + f"])[news_id % {len(SPOKEN)} + 1]) AS text FROM v_headlines"
+
+
+@query(sql(f"""WITH {mood_sql(SPOKEN_SQL)}
+ SELECT id AS news_id, round(v / sqrt(v * v + 15), 4) AS sentiment_score FROM mood""", "v_headlines"))
+def contextual_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    """Headlines whose strongest word is negated, boosted or both."""
+    said = F.element_at(F.array(*[F.lit(w) for w in SPOKEN]), (F.col("news_id") % len(SPOKEN) + 1).cast("int"))
+    h = V.headlines(spark, d).withColumn("text", F.replace("title", F.lit("surge"), said))
+    return A.lexicon_sentiment(h, id_col="news_id").select("news_id", "sentiment_score")
+
+
 @query(sql(f"""WITH b AS (SELECT news_id, title || ' ' AS title, title AS headline, source FROM v_headlines),
- w AS (SELECT news_id, unnest(string_split_regex(regexp_replace(lower(title), '[^a-z\\-\\s]', ' ', 'g'), '\\s+')) AS w FROM b), v AS (SELECT news_id, sum({VAL})::DOUBLE AS v FROM w GROUP BY news_id),
+ {mood_sql('SELECT news_id AS id, title AS text FROM b')},
  n AS (SELECT b.*, v / sqrt(v * v + 15) AS mood, len({TICKERS}) AS nt, len({MACRO_FOUND}) AS nm,
   CASE WHEN headline LIKE 'CPI rose%' THEN abs(CAST(regexp_extract(headline, 'rose (\\d+)%', 1) AS DOUBLE) - 20) / 20
-  WHEN headline LIKE 'BREAKING: factory%' THEN abs(CAST(regexp_extract(headline, 'orders (\\d+)K', 1) AS DOUBLE) - 25) / 25 END AS x FROM b JOIN v USING (news_id)),
+  WHEN headline LIKE 'BREAKING: factory%' THEN abs(CAST(regexp_extract(headline, 'orders (\\d+)K', 1) AS DOUBLE) - 25) / 25 END AS x FROM b JOIN mood ON mood.id = b.news_id),
  s AS (SELECT *, round({RAW_SCORE.replace('N_TAGS', 'nm').replace('N_TICKERS', 'nt')}, 4)::DOUBLE AS p FROM n)
  SELECT news_id, CASE WHEN mood >= 0.15 THEN 'bullish' WHEN mood >= 0.05 THEN 'cautiously_bullish' WHEN mood > -0.05 THEN 'neutral' WHEN mood > -0.15 THEN 'cautiously_bearish' ELSE 'bearish' END AS sentiment,
   p AS priority_score, CASE WHEN p >= 0.7 OR nt >= 3 THEN 'high' WHEN p >= 0.4 OR nt >= 1 THEN 'medium' ELSE 'low' END AS market_impact,
@@ -421,18 +450,19 @@ def deep_enrichment(spark: SparkSession, d: str) -> DataFrame:
     return e.select("news_id", "sentiment", "priority_score", "market_impact", "status")
 
 
-_COMMENT = any_sql(LOW, ["admits", "no-win", "despite record", "complains", "lament"])
-_TONE = any_sql(LOW, ["crash", "plunge", "surge", "emergency", "circuit breaker", "evaporates", "bailout"])
-_SCALE = any_sql(LOW, ["49.5 billion", "52 billion", "500 billion", "80 billion"])
-_STATE = any_sql(LOW, ["government", "pentagon", "defense department", "commerce dept", "energy department", "chips act", "treasury",
-                       "congress", "washington", "us invests", "us commerce"])
-_MAJORS = "len(regexp_extract_all(title, '(?i)intel|amd|qualcomm|nvidia|tsmc|samsung|ibm|microsoft|apple|tesla|google|meta|amazon'))"
+def bound_sql(value: str, bounds) -> str:
+    return "CASE " + " ".join(f"WHEN {value} >= {bound} THEN {weight}" for bound, weight in bounds) + " ELSE 0 END"
+
+
+CASE_WORDS = {name: words for name, words, _, _ in D.CASE_TERMS}
+CASE_SUM = " + ".join(f"CASE WHEN {any_sql(LOW, words)}" + "".join(f" AND NOT {any_sql(LOW, CASE_WORDS[other])}" for other in unless) + f" THEN {weight} ELSE 0 END"
+                      for _, words, weight, unless in D.CASE_TERMS)
+CASE_MENTIONS = f"len(regexp_extract_all(title, '(?i){'|'.join(D.CASE_COMPANIES)}'))"
 
 
-@query(sql(f"""SELECT news_id, least(1.0, round(0.30 + CASE WHEN {_COMMENT} THEN 0.05 WHEN {_TONE} THEN 0.15 ELSE 0 END + CASE WHEN NOT {_COMMENT} AND {_SCALE} THEN 0.15 ELSE 0 END
- + CASE WHEN {_STATE} THEN 0.10 ELSE 0 END + coalesce(list_sum(list_transform(regexp_extract_all(title, '(\\d+)\\s*(?:billion|B)', 1), lambda x: CASE WHEN CAST(x AS INT) >= 100 THEN 0.12 WHEN CAST(x AS INT) >= 10 THEN 0.08 WHEN CAST(x AS INT) >= 1 THEN 0.04 ELSE 0 END)), 0)
- + CASE WHEN contains({LOW}, 'jensen huang') THEN 0.10 ELSE 0 END + CASE WHEN contains({LOW}, 'nvidia') THEN 0.08 ELSE 0 END
- + CASE WHEN {_MAJORS} >= 3 THEN 0.08 WHEN {_MAJORS} >= 1 THEN 0.04 ELSE 0 END, 2))::DOUBLE AS priority FROM v_headlines""", "v_headlines"))
+@query(sql(f"""SELECT news_id, least({D.CASE_CAP}, round({D.CASE_BASE} + {CASE_SUM}
+ + coalesce(list_sum(list_transform(regexp_extract_all(title, {q(D.CASE_AMOUNT)}, 1), lambda x: {bound_sql('CAST(x AS INT)', D.CASE_AMOUNT_BOUNDS)})), 0)
+ + {bound_sql(CASE_MENTIONS, D.CASE_COMPANY_BOUNDS)}, 2))::DOUBLE AS priority FROM v_headlines""", "v_headlines"))
 def case_priorities(spark: SparkSession, d: str) -> DataFrame:
     h, t = title(spark, d)
     return h.select("news_id", C.case_priority(t).alias("priority"))

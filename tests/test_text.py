@@ -122,3 +122,12 @@ def test_long_sections_are_whole(spark):
     assert got["found"] and got["text"] == body.strip()
     assert not value(spark, doc, lambda c: T.extract_section(c, "Advice", 800, 500, 300))["found"]
     assert value(spark, line, lambda c: T.extract_section(c, "Advice"))["text"] == line
+
+
+def test_sentiment_reads_the_three_words_before(spark):
+    from newsflow.operators.aggregates import lexicon_sentiment
+    cases = {"surge": 2.5, "not surge": 2.5 * -0.74, "very surge": 2.5 + 0.293, "very big surge": 2.5 + 0.293 * 0.95, "slightly a b surge": 2.5 - 0.293 * 0.9,
+             "very a b c surge": 2.5, "not very crash": (-3.0 - 0.293) * -0.74, "isn't 'crash'": -3.0 * -0.74, "not crash surge": -3.0 * -0.74 + 2.5 * -0.74, "no words": 0.0}
+    df = spark.createDataFrame([(t, v) for t, v in cases.items()], "text string, v double")
+    for r in lexicon_sentiment(df, id_col="text").collect():
+        assert r["sentiment_score"] == round(r["v"] / (r["v"] ** 2 + 15) ** 0.5, 4), r["text"]
