@@ -29,7 +29,6 @@ BLOCK_TOKENS = 1 << 20
 END_ID = 1
 VOCABULARY = 49_408
 SYMBOLS = 1 << 16
-ROUNDS = 5
 RULES_A_ROUND = 3_000
 LEAST_COUNT = 16
 MAGIC = b"RPG1"
@@ -40,39 +39,51 @@ def _slot(codes: np.ndarray) -> np.ndarray:
     return (codes * np.uint32(2654435761)) >> np.uint32(12)
 
 
-def repair(ids: np.ndarray, first_rule: int = VOCABULARY, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND,
-           least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
+def frequent_pairs(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that occur ``least`` times or more, and how often."""
+    pairs, counts = np.unique(codes, return_counts=True)
+    often = counts >= least
+    return pairs[often], counts[often]
+
+
+def repair(ids: np.ndarray, first_rule: int = VOCABULARY, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """(rules, sequence): rule k writes symbol ``first_rule + k`` for two earlier symbols.
 
-    Each round replaces the most frequent pairs together, from left to right where they overlap.
+    Each round replaces the most frequent pairs together, from left to right where they overlap, until no pair
+    occurs ``least`` times or the symbols run out. A replaced pair is gone, and other old pairs only become
+    rarer; so after a round that took every frequent pair only pairs with a new symbol are counted. Of two
+    pairs in one slot the rarer waits for the next round.
     """
-    seq, rules, n_rules = ids.astype(np.uint16), [], 0
-    for _ in range(rounds):
-        room = min(rules_a_round, SYMBOLS - first_rule - n_rules)
-        if len(seq) < 2 or room <= 0:
+    seq, rules, n_rules, fresh = ids.astype(np.uint16), [], 0, 0
+    while len(seq) > 1 and (room := min(rules_a_round, SYMBOLS - first_rule - n_rules)) > 0:
+        where = None
+        if fresh:
+            new = seq >= fresh
+            where = np.flatnonzero(new[:-1] | new[1:])
+        left, right = (seq[:-1], seq[1:]) if where is None else (seq[where], seq[where + 1])
+        codes = left.astype(np.uint32) << np.uint32(16) | right
+        pairs, counts = frequent_pairs(codes, least)
+        if not len(pairs):
             break
-        codes = seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
-        pairs, counts = np.unique(codes, return_counts=True)
-        often = np.flatnonzero(counts >= least)
-        often = often[np.argsort(-counts[often], kind="stable")][:room]
-        chosen = pairs[often]
+        chosen = pairs[np.argsort(-counts, kind="stable")][:room]
         _, one = np.unique(_slot(chosen), return_index=True)  # the more frequent of two pairs in a slot
         chosen = chosen[np.sort(one)]
-        if not len(chosen):
-            break
         table = np.full(_SLOTS, -1, np.int32)
         table[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
         rule = table[_slot(codes)]
-        at = np.flatnonzero(rule >= 0)
-        at = at[chosen[rule[at]] == codes[at]]
+        hit = np.flatnonzero(rule >= 0)
+        hit = hit[chosen[rule[hit]] == codes[hit]]
+        at, rule = hit if where is None else where[hit], rule[hit]
         starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         run_start = np.repeat(starts, np.diff(np.append(starts, len(at))))
-        at = at[(np.arange(len(at)) - run_start) % 2 == 0]
-        seq[at] = first_rule + n_rules + rule[at]
+        first = (np.arange(len(at)) - run_start) % 2 == 0
+        at = at[first]
+        seq[at] = first_rule + n_rules + rule[first]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
         rules.append(chosen)
+        fresh = first_rule + n_rules if len(chosen) == len(pairs) else 0
         n_rules += len(chosen)
     flat = np.concatenate(rules) if rules else np.empty(0, np.uint32)
     return np.stack([flat >> np.uint32(16), flat & np.uint32(0xFFFF)], axis=1).astype(np.uint16), seq

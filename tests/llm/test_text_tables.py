@@ -198,3 +198,16 @@ def test_agendas_side_by_side_and_on_a_heap():
     words = ["".join(rng.choice("theanrdiolnsEé▁\n日") for _ in range(rng.randrange(1, 25))) for _ in range(500)] + ["▁▁▁▁▁▁▁", "aaaaaaaaa", "e"]
     assert agenda.merge_rows(words) == [agenda.merge(w) for w in words]
     assert agenda.library.encode(["x" * 200, "é日x" * 30]) == [list(map(int, s[:-1].split(","))) for s in agenda.encode(["x" * 200, "é日x" * 30])]
+
+
+def test_grammar_runs_until_no_pair_is_frequent():
+    rng = np.random.default_rng(1)
+    phrase = np.tile(rng.integers(0, 49_000, 64), 4000).astype("<u2")
+    rules, seq = G.repair(phrase)
+    assert len(seq) < 20 and len(rules) < 140
+    for ids in (phrase, np.zeros(1000, "<u2"), rng.integers(0, 30, 50_000).astype("<u2"), (rng.zipf(1.3, 30_000) % 5000).astype("<u2")):
+        rules, seq = G.repair(ids)
+        assert (G.Block(G.pack_block(ids, np.array([len(ids)]))).decode() == ids).all()
+        pairs = Counter(zip(seq[:-1].tolist(), seq[1:].tolist()))
+        overlapping = max((n for (a, b), n in pairs.items() if a != b), default=0)
+        assert len(rules) == G.SYMBOLS - G.VOCABULARY or overlapping < G.LEAST_COUNT
