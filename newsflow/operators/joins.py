@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..runtime import checkpoint
 from .aggregates import _hours
 
 WINDOW_HOURS = {"15m": 0.25, "1h": 1.0, "4h": 4.0}
@@ -20,35 +21,34 @@ def price_change_since(prices: DataFrame, anchors: DataFrame, symbol: str = "sym
                        digits: int = 3) -> DataFrame:
     """Percent change from the first bar at or after each anchor to the latest bar.
 
-    Bars and anchors meet in day buckets. The next bar of a later bucket and the symbol's first
-    and last bar come from one-row-per-bucket summaries, so a symbol with very many bars is
-    spread over its days. An anchor after the last bar falls back to the first bar.
+    Bars and anchors are dealt together by ranges of (symbol, time), so a symbol with very many bars on one day
+    lies in several chunks. The next bar of a later chunk and the symbol's first and last bar come from
+    one-row-per-chunk summaries. An anchor after the last bar falls back to the first bar.
     """
-    day = F.to_date(ts)
-    bars = prices.select(symbol, F.col(ts).alias("_ts"), F.col(close).alias("_close"), day.alias("_day"))
+    bars = prices.select(symbol, F.col(ts).alias("_ts"), F.col(close).cast("double").alias("_close"),
+                         F.lit(None).cast(dict(anchors.dtypes)[anchor_id]).alias(anchor_id), F.lit(1).alias("_is_bar"))
+    marks = anchors.select(symbol, F.col(anchor_ts).alias("_ts"), F.lit(None).cast("double").alias("_close"), anchor_id, F.lit(0).alias("_is_bar"))
+    # chunks are numbered by time within a symbol; the checkpoint fixes them
+    mixed = checkpoint(bars.unionByName(marks).repartitionByRange(symbol, "_ts").withColumn("_chunk", F.spark_partition_id()))
+    bars, marks = mixed.filter("_is_bar = 1"), mixed.filter("_is_bar = 0")
     point = F.struct("_ts", "_close")
-    days = bars.groupBy(symbol, "_day").agg(F.min(point).alias("_first"), F.max(point).alias("_last"))
-    ends = days.groupBy(symbol).agg(F.min("_first").alias("_open"), F.max("_last").alias("_end"))
-    marks = anchors.select(anchor_id, symbol, F.col(anchor_ts).alias("_ts"), F.to_date(anchor_ts).alias("_day"))
-    # first bar at or after the anchor inside its own day
-    mixed = (bars.select(symbol, "_day", "_ts", "_close", F.lit(None).cast(dict(anchors.dtypes)[anchor_id]).alias(anchor_id),
-                         F.lit(1).alias("_is_bar"))
-             .unionByName(marks.select(symbol, "_day", "_ts", F.lit(None).cast("double").alias("_close"),
-                                       anchor_id, F.lit(0).alias("_is_bar"))))
-    ahead = Window.partitionBy(symbol, "_day").orderBy(F.desc("_ts"), F.desc("_is_bar"), F.desc("_close"))
-    same_day = (mixed.withColumn("_base", F.last("_close", ignorenulls=True).over(
+    chunks = bars.groupBy(symbol, "_chunk").agg(F.min(point).alias("_first"), F.max(point).alias("_last"))
+    ends = chunks.groupBy(symbol).agg(F.min("_first").alias("_open"), F.max("_last").alias("_end"))
+    # first bar at or after the anchor inside its own chunk
+    ahead = Window.partitionBy(symbol, "_chunk").orderBy(F.desc("_ts"), F.desc("_is_bar"), F.desc("_close"))
+    same_chunk = (mixed.withColumn("_base", F.last("_close", ignorenulls=True).over(
         ahead.rowsBetween(Window.unboundedPreceding, 0))).filter("_is_bar = 0")
-        .select(anchor_id, symbol, "_day", "_base"))
-    # first bar of the next day that has any
-    want = marks.select(symbol, "_day").distinct().withColumn("_n", F.lit(None).cast("double"))
-    line = days.select(symbol, "_day", F.col("_first._close").alias("_n")).unionByName(want)
-    later = Window.partitionBy(symbol).orderBy(F.desc("_day"))
-    nxt = (line.groupBy(symbol, "_day").agg(F.max("_n").alias("_n"))
+        .select(anchor_id, symbol, "_chunk", "_base"))
+    # first bar of the next chunk that has any
+    want = marks.select(symbol, "_chunk").distinct().withColumn("_n", F.lit(None).cast("double"))
+    line = chunks.select(symbol, "_chunk", F.col("_first._close").alias("_n")).unionByName(want)
+    later = Window.partitionBy(symbol).orderBy(F.desc("_chunk"))
+    nxt = (line.groupBy(symbol, "_chunk").agg(F.max("_n").alias("_n"))
            .withColumn("_next", F.last("_n", ignorenulls=True).over(
-               later.rowsBetween(Window.unboundedPreceding, -1))).select(symbol, "_day", "_next"))
+               later.rowsBetween(Window.unboundedPreceding, -1))).select(symbol, "_chunk", "_next"))
     base = F.coalesce("_base", "_next", "_open._close")
     change = F.try_divide(F.col("_end._close") - base, base) * 100
-    return (same_day.join(nxt, [symbol, "_day"], "left").join(ends, symbol)
+    return (same_chunk.join(nxt, [symbol, "_chunk"], "left").join(ends, symbol)
             .select(anchor_id, symbol, base.alias("base"), F.col("_end._close").alias("last"),
                     F.round(change, digits).alias("change_pct")))
 

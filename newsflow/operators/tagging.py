@@ -81,10 +81,10 @@ def contains_join(docs: DataFrame, dictionary: DataFrame, id_col: str = "news_id
     """(id, <dictionary columns>) for every dictionary ``keyword`` contained in the text.
 
     Null and empty keywords match nothing. A dictionary of at most ``inline_limit`` rows is checked in
-    size and inlined. A larger one is joined on anchors: the first three characters (fewer for shorter
-    keywords) of each keyword against the distinct character runs of the text. Only ids and anchors
-    that the dictionary has are shuffled; the text is joined back once per candidate document, so ids
-    must be unique. Both ways give the same rows.
+    size and inlined. A larger one is joined on anchors: the run of three characters of each keyword (the whole
+    keyword if shorter) that the fewest texts have, by a count over the texts, so keywords that all begin with
+    a common word do not meet every text. Only ids and runs that the dictionary has are shuffled; the text is
+    joined back once per candidate document, so ids must be unique. Both ways give the same rows.
     """
     dictionary = dictionary.filter(F.coalesce(F.col("keyword"), F.lit("")) != "")
     cols = dictionary.columns
@@ -98,10 +98,21 @@ def contains_join(docs: DataFrame, dictionary: DataFrame, id_col: str = "news_id
         table = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in cols]) for r in rows])
         places = Lexicon({"keyword": [r["keyword"].lower() for r in rows]}).found(low).places("keyword")
         return docs.select(id_col, F.explode(F.transform(places, lambda p: F.get(table, p))).alias("k")).select(id_col, "k.*")
+    def runs_of(c: Column, n: int) -> Column:
+        return F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
     head = F.lower("keyword")
-    keyed = dictionary.withColumn("_anchor", F.substr(head, F.lit(1), F.least(F.length(head), F.lit(3))))
-    runs = [F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]
-    pairs = docs.select(id_col, F.explode(F.array_distinct(F.concat(*runs))).alias("_anchor"))
+    grams = dictionary.withColumn("_low", head).withColumn("_anchor", F.explode(F.array_distinct(
+        F.when(F.length(head) < 3, F.array(head)).otherwise(runs_of(head, 3)))))
+    listed = grams.select("_anchor").distinct()
+    pairs = (docs.select(id_col, F.explode(F.array_distinct(F.concat(*(runs_of(low, n) for n in (1, 2, 3))))).alias("_anchor"))
+             .join(listed, "_anchor", "left_semi"))
+    texts = pairs.groupBy("_anchor").agg(F.count("*").alias("_texts"))
+    # a keyword with a run that no text has is in no text
+    rarest = (grams.select("_low", "_anchor").distinct().join(texts, "_anchor", "left")
+              .groupBy("_low").agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), F.col("_anchor").alias("a"))).alias("_r"))
+              .filter("_r.n > 0").select("_low", F.col("_r.a").alias("_anchor")))
+    keyed = dictionary.withColumn("_low", head).join(rarest, "_low").drop("_low")
     candidates = pairs.join(keyed, "_anchor").groupBy(id_col).agg(F.collect_list(F.struct(*cols)).alias("_words"))
     hits = F.filter("_words", lambda k: F.contains(low, F.lower(k["keyword"])))
     return (docs.select(id_col, text).join(candidates, id_col).select(id_col, F.explode(hits).alias("k"))

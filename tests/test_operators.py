@@ -326,3 +326,36 @@ def test_greedy_events_equal_the_live_rule(spark):
     df = spark.createDataFrame(rows, "news_id long, title string, captured_at timestamp")
     assert {r["news_id"]: r["event_id"] for r in cluster_events_greedy(df).collect()} == want
     assert len(set(want.values())) > 5 and None in want.values()
+
+
+def test_debounce_in_chunks_equals_the_plain_fold(spark):
+    rng = random.Random(11)
+    rows = [("hot", T0 + timedelta(seconds=rng.randrange(40_000)), i, rng.random() < 0.7) for i in range(1500)]
+    rows += [(f"p{i % 3}", T0 + timedelta(minutes=i), 2000 + i, i % 4 != 0) for i in range(60)] + [("all", T0 + timedelta(minutes=i), 3000 + i, True) for i in range(200)]
+    rows += [(None, T0 + timedelta(minutes=i), 4000 + i, True) for i in range(5)] + [("same", T0, 5000 + i, None if i == 2 else True) for i in range(6)]
+    df = spark.createDataFrame(rows, "pipeline string, ts timestamp, tie long, should_alert boolean").repartition(4)
+    for n, cooldown in [(2, 3600), (1, 0), (3, 100), (5, 10_000)]:
+        want, states = set(), {}
+        for key, at, tie, bad in sorted(rows, key=lambda r: (r[1], r[2])):
+            if O.debounce_step(states.setdefault(key, {}), bool(bad), at.timestamp(), n, cooldown):
+                want.add(tie)
+        for size in (7, 50_000):
+            got = O.debounce_alerts(df, n=n, cooldown_seconds=cooldown, tie="tie", chunk_rows=size).collect()
+            assert len(got) == len(rows) and {r["tie"] for r in got if r["alerted"]} == want, (n, cooldown, size)
+
+
+def test_keywords_that_begin_alike_meet_few_texts(spark):
+    from newsflow.operators.tagging import contains_join
+    docs = spark.createDataFrame([(i, f"the common text of the day with theword{i:04d}x") for i in range(300)] + [(999, None)], "news_id int, text string")
+    words = spark.createDataFrame([(f"theword{i:04d}x", i) for i in range(5000)] + [("THE", -1), ("th", -2), ("zq", -3)], "keyword string, tag int")
+    got = sorted((r["news_id"], r["tag"]) for r in contains_join(docs, words, inline_limit=2000).collect())
+    assert got == sorted([(i, t) for i in range(300) for t in (i, -1, -2)])
+
+
+def test_asof_change_with_all_bars_on_one_day(spark):
+    from newsflow.operators.joins import price_change_since
+    bars = [("S", T0 + timedelta(seconds=10 * i), float(100 + i)) for i in range(500)] + [("Q", T0, 5.0)]
+    marks = [(i, "S", T0 + timedelta(seconds=10 * i - 5)) for i in range(0, 500, 7)] + [(9000, "S", T0 + timedelta(days=1)), (9001, "Q", T0 - timedelta(days=2)), (9002, "none", T0)]
+    got = {r["anchor_id"]: (r["base"], r["last"]) for r in price_change_since(
+        spark.createDataFrame(bars, "symbol string, ts timestamp, close double"), spark.createDataFrame(marks, "anchor_id long, symbol string, anchor_ts timestamp")).collect()}
+    assert got == {**{i: (100.0 + i, 599.0) for i in range(0, 500, 7)}, 9000: (100.0, 599.0), 9001: (5.0, 5.0)}
