@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,12 +166,20 @@ def top_eigenpairs(v: np.ndarray, wanted: int = COMPONENTS, seed: int = 7) -> tu
 # ---------------------------------------------------------------- moments
 
 def whole_rows(vectors: DataFrame) -> DataFrame:
-    """vec_id and the scaled vector of every row whose vector has only finite entries and the common length."""
-    entries = F.col("embedding").cast("array<double>")
-    fine = (F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-            & F.forall(entries, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
-    return (vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(fine)
-            .select("vec_id", F.transform(entries, lambda c: F.greatest(F.least(F.floor(c * SCALE), F.lit(LARGEST)), F.lit(-LARGEST)) + SHIFT).alias("x")))
+    """vec_id and the scaled vector of every row whose vector is not empty and has only finite entries."""
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("embedding")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(float)  # null entries become NaN
+            owner = np.repeat(np.arange(len(size)), size)
+            kept = (size > 0) & (np.bincount(owner[~np.isfinite(values)], minlength=len(size)) == 0)
+            x = np.clip(np.floor(values[kept[owner]] * SCALE), -LARGEST, LARGEST).astype(np.int64) + SHIFT
+            ends = np.append(0, np.cumsum(size[kept])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").filter(pa.array(kept)), pa.ListArray.from_arrays(pa.array(ends), pa.array(x))], ["vec_id", "x"])
+
+    return (vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+            .mapInArrow(scale, "vec_id long, x array<long>"))
 
 
 def matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -263,12 +272,12 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
     """
     spark = vectors.sparkSession
     schema = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
-    rows = whole_rows(vectors)
+    rows = written(whole_rows(vectors), "vectors")
     common = rows.groupBy(F.size("x").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dims")).first()
     if common is None:
         return spark.createDataFrame([], schema)
     dims = common["dims"]
-    rows = written(rows.filter(F.size("x") == dims), "vectors")
+    rows = rows.filter(F.size("x") == dims)
     n, total = sums(rows, "x", dims)
     v = covariance(rows, "x", n, total)
     trace = float(np.trace(v))
