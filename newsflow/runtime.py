@@ -42,9 +42,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, else the context's checkpoint folder, else one below the
-    warehouse, which a cluster shares."""
+    warehouse. On a cluster the last must not be a folder of the driver's machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/newsflow-scratch").rstrip("/")
+    if named:
+        return named.rstrip("/")
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/newsflow-scratch"
+    master = spark.sparkContext.master
+    on_one_machine = master.startswith("local") and not master.startswith("local-cluster")
+    if not on_one_machine and folder.startswith(("file:", "/")):
+        raise ValueError(f"{folder} is not shared with the executors: set spark.checkpoint.dir to a folder that is")
+    return folder
 
 
 def small_rows(df: DataFrame, limit: int) -> list | None:
