@@ -29,7 +29,7 @@ BLOCK_TOKENS = 1 << 20
 END_ID = 1
 VOCABULARY = 49_408
 SYMBOLS = 1 << 16
-RULES_A_ROUND = 3_000
+RULES_A_ROUND = 8_000
 LEAST_COUNT = 16
 MAGIC = b"RPG1"
 _SLOTS = 1 << 20
