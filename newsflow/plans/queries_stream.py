@@ -43,7 +43,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     itself stays in the state.
     """
     e = V.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    arrival = F.unix_seconds("ts") + F.pmod(F.col("event_id") * 7919, F.lit(1200))
+    arrival = F.rint(F.col("ts").cast("double")).cast("bigint") + F.pmod(F.col("event_id") * 7919, F.lit(1200))  # rounded like ARRIVAL
     lo, hi, newest = e.agg(F.min(arrival), F.max(arrival), F.max("ts")).first()
     part = F.least(F.floor((arrival - (lo or 0)) * SLICES / max(1, (hi or 0) - (lo or 0) + 1)), F.lit(SLICES - 1))
     path = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"

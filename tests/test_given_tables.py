@@ -22,3 +22,11 @@ def test_timeliness_of_ids_beyond_doubles(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp").write.parquet(
         f"{tmp_path}/lineitem.parquet")
     check(spark, tmp_path, "timeliness_factors", "lineitem")
+
+
+def test_capped_alerts_round_arrivals_like_the_sql(spark, tmp_path):
+    # slices of 100 seconds; the fifth click, at 99.7, opens the second slice
+    at = [("click", x) for x in (0, 1, 2, 3, 99.7)] + [("view", 100 * k + 20 + i) for k in (1, 2, 3) for i in range(5)] + [("view", 399)]
+    rows = [(1200 * i, T0 + timedelta(seconds=x), i, kind, 1.0) for i, (kind, x) in enumerate(at)]  # such ids arrive at once
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    check(spark, tmp_path, "stream_capped_alerts", "events")
