@@ -27,7 +27,8 @@ def _drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> Data
 
 def _source(spark: SparkSession, d: str, table: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(d)
+    # as a pattern the path may be a file or a folder of files; a plain path must be a folder
+    return spark.readStream.schema(schema).parquet(f"{d}/{table}.parque[t]")
 
 
 SLICES, FILES = 4, 4
@@ -106,7 +107,7 @@ def stream_ingest_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(DISTINCT split_part(text, chr(10), 1) || '|' || text) AS articles FROM documents")
 def stream_dedup_count(spark: SparkSession, d: str) -> DataFrame:
-    docs = _source(spark, d, "documents")
+    docs = _source(spark, d, "documents").filter(F.col("text").isNotNull())  # no text, no article
     n = docs.select(F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("snippet"),
                     F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 1440).alias("captured_at"))
     return _drain(spark, S.stream_dedup(n).select("fingerprint")).agg(F.count("*").alias("articles"))

@@ -30,3 +30,9 @@ def test_capped_alerts_round_arrivals_like_the_sql(spark, tmp_path):
     rows = [(1200 * i, T0 + timedelta(seconds=x), i, kind, 1.0) for i, (kind, x) in enumerate(at)]  # such ids arrive at once
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     check(spark, tmp_path, "stream_capped_alerts", "events")
+
+
+def test_dedup_count_without_text_and_in_several_files(spark, tmp_path):
+    rows = [(i, None if i % 5 == 0 else f"title {i % 13}\nbody") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    check(spark, tmp_path, "stream_dedup_count", "documents")
