@@ -139,8 +139,9 @@ def stream_capped_alerts(spark: SparkSession, d: str) -> DataFrame:
  SELECT d.id, d."window", min(b.ts) AS bar_ts, arg_min(b.value, (b.ts, b.event_id)) AS close FROM d LEFT JOIN b ON b.symbol = d.symbol AND b.ts >= d.due AND b.ts <= d.due + INTERVAL 10 MINUTE GROUP BY 1, 2""")
 def stream_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """First price in the ten minutes from each due time on, or none; every tenth event is an assessment, the others are prices."""
-    a = _events(spark, d).filter("event_id % 10 = 0 OR event_id = -1").select(F.col("event_id").alias("id"), F.col("event_type").alias("symbol"), F.col("ts").alias("created_at"))
-    p = _events(spark, d).filter("event_id % 10 <> 0").select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"), F.col("event_id").alias("tie"))
+    e = _events(spark, d)
+    a = e.filter("event_id % 10 = 0 OR event_id = -1").select(F.col("event_id").alias("id"), F.col("event_type").alias("symbol"), F.col("ts").alias("created_at"))
+    p = e.filter("event_id % 10 <> 0").select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"), F.col("event_id").alias("tie"))
     return _drain(spark, S.stream_outcome_windows(a, p, tie="tie")).filter("id <> -1").select("id", "window", "bar_ts", "close")
 
 

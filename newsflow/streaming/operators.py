@@ -290,19 +290,52 @@ def stream_outcome_windows(assess: DataFrame, prices: DataFrame, tolerance: str
     """One row per assessment and window (15 min, 1 h, 4 h): the first bar from the due time on within the
     tolerance, or nulls when the watermark has passed it without one.
 
-    A left outer interval join, then the earliest bar per due row (``tie`` orders bars of one time). Due times
-    carry the assessments' watermark, which allows for the longest window; state is bounded by it.
+    A due time lies in one slot of its symbol, six times as long as the tolerance; a bar goes to its own slot and,
+    near its start, to the one before. Each slot is folded in time order, so a bar meets only the due times that
+    still wait, not all of its symbol (``tie`` orders bars of one time). An assessment later than ``lateness`` loses the windows that the
+    watermark has passed.
     """
-    due = assess.select("id", symbol, F.explode(F.array(*[
+    seconds = pd.Timedelta(tolerance).total_seconds()
+    micros = int(seconds * 1_000_000)
+
+    def slot(at: Column, back: int = 0) -> Column:
+        t = F.unix_micros(at) - back
+        return t - F.pmod(t, F.lit(6 * micros))
+
+    fields = {"id": assess.schema["id"].dataType, "tie": prices.schema[tie].dataType if tie else T.IntegerType()}
+    filler = {n: F.lit(0).cast(t).alias(n) for n, t in fields.items()}  # no nulls: they would turn ids into doubles
+    bars = (prices.withWatermark("ts", lateness).filter(F.col("ts").isNotNull() & F.col(symbol).isNotNull())
+            .select(F.col("ts").alias("at"), symbol, F.lit(1).alias("kind"), filler["id"], F.lit("").alias("window"),
+                    F.col(tie).alias("tie") if tie else filler["tie"], F.col("close").cast("string").alias("close"),
+                    F.explode(F.array_distinct(F.array(slot(F.col("ts")), slot(F.col("ts"), micros)))).alias("slot")))
+    due = (assess.withWatermark("created_at", lateness).filter(F.col("created_at").isNotNull()).select("id", symbol, F.explode(F.array(*[
         F.struct(F.lit(n).alias("window"), (F.col("created_at") + F.expr(f"INTERVAL {m} MINUTES")).alias("due"))
-        for n, m in (("15m", 15), ("1h", 60), ("4h", 240))])).alias("w")).select("id", symbol, "w.*")
-    due = due.withWatermark("due", f"{lateness} 4 hours")  # due times of one arrival spread over four hours
-    order = F.struct("ts", *([tie] if tie else []))
-    bars = prices.withWatermark("ts", lateness).select(F.col(symbol).alias("bar_symbol"), F.col("ts").alias("bar_ts"), "close", order.alias("place"))
-    hit = ((F.col(symbol) == F.col("bar_symbol")) & (F.col("bar_ts") >= F.col("due"))
-           & (F.col("bar_ts") <= F.col("due") + F.expr(f"INTERVAL {tolerance}")))
-    return (due.join(bars, hit, "left_outer").groupBy("id", "window", symbol, "due")
-            .agg(F.min("bar_ts").alias("bar_ts"), F.min_by("close", "place").alias("close")))
+        for n, m in (("15m", 15), ("1h", 60), ("4h", 240))])).alias("w")).select("id", symbol, "w.*"))
+    # a due time begins to wait before the bars of its time and ends after those of its last
+    ends = F.explode(F.array(F.struct(F.col("due").alias("at"), F.lit(0).alias("kind")),
+                             F.struct((F.col("due") + F.expr(f"INTERVAL {tolerance}")).alias("at"), F.lit(2).alias("kind"))))
+    marks = (due.select("id", symbol, "window", slot(F.col("due")).alias("slot"), ends.alias("e"))
+             .select("e.at", symbol, "e.kind", "id", "window", filler["tie"], F.lit(None).cast("string").alias("close"), "slot"))
+    out = T.StructType([T.StructField("id", fields["id"]), T.StructField("window", T.StringType()), T.StructField(symbol, assess.schema[symbol].dataType),
+                        T.StructField("due", T.TimestampType()), T.StructField("bar_ts", T.TimestampType()), T.StructField("close", T.StringType())])
+
+    def step(state, row):
+        if row["kind"] == 0:
+            state.setdefault("open", []).append([_plain(row["id"]), row["window"], row["at"].value])
+            return []
+        met = state.get("open", [])
+        if row["kind"] == 1:
+            found = {"bar_ts": row["at"], "close": row["close"]}
+            state["open"] = []
+        else:
+            found = {"bar_ts": None, "close": None}
+            gone = row["at"].value - micros * 1000
+            met = [o for o in met if o[2] <= gone]
+            state["open"] = [o for o in state.get("open", []) if o[2] > gone]
+        return [{"id": i, "window": w, symbol: row[symbol], "due": pd.Timestamp(at), **found} for i, w, at in met]
+
+    made = keyed_fold(bars.unionByName(marks), [symbol, "slot"], ["at", "kind", "tie"], "at", step, out, 7 * seconds, None)
+    return made.withColumn("close", F.col("close").cast(prices.schema["close"].dataType))
 
 
 def stream_enrich(news: DataFrame, **kw) -> DataFrame:

@@ -71,6 +71,26 @@ def test_outcome_windows_and_snapshots(spark, tmp_path):
     assert sorted((r["ticker"], r["snapshot"], r["last"]) for r in rows) == [("A", "pre", 1.0), ("B", "pre", 4.0)]  # the earliest quote, whatever arrives first
 
 
+def test_outcome_windows_do_not_pair_a_symbol_with_all_its_bars(spark, tmp_path):
+    """Many bars at few times: the first by (time, tie) or none, without a join on the symbol."""
+    draw = random.Random(7)
+    marks = [(i, "AB"[i % 2], T0 + timedelta(seconds=draw.randrange(0, 7200, 60))) for i in range(40)]
+    bars = [("AB"[i % 2], T0 + timedelta(seconds=draw.randrange(900, 24000, 300)), float(i), i) for i in range(150)]
+    far = T0 + timedelta(days=9)
+    a = spark.createDataFrame(marks, "id long, symbol string, created_at timestamp")
+    p = spark.createDataFrame(bars, "symbol string, ts timestamp, close double, tie long")
+    stream = S.stream_outcome_windows(source(spark, tmp_path, a, "created_at", far, 3), source(spark, tmp_path, p, "ts", far, 3), tie="tie", lateness="8 hours")
+    assert " Join " not in stream._jdf.queryExecution().analyzed().toString()
+    got = sorted((r["id"], r["window"], r["close"]) for r in drain(spark, tmp_path, stream))
+    want = []
+    for i, symbol, at in marks:
+        for name, minutes in (("15m", 15), ("1h", 60), ("4h", 240)):
+            due = at + timedelta(minutes=minutes)
+            met = [(ts, tie, close) for s, ts, close, tie in bars if s == symbol and due <= ts <= due + timedelta(minutes=10)]
+            want.append((i, name, min(met)[2] if met else None))
+    assert got == sorted(want) and None in [w[2] for w in want]
+
+
 def test_batch_cap_and_late_split(spark, tmp_path):
     df = spark.createDataFrame([("tg", i, T0 + timedelta(minutes=i)) for i in range(9)], "channel string, id long, ts timestamp")
     out = str(tmp_path / "capped")
