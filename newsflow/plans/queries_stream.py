@@ -115,8 +115,13 @@ def stream_dedup_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SCREENED_SQL)
 def stream_screened_headlines(spark: SparkSession, d: str) -> DataFrame:
-    """Screening on a stream of headlines."""
-    s = _drain(spark, S.stream_enrich(V.headlines_of(_source(spark, d, "lineitem"))))
+    """Screening on a stream of headlines, batch by batch."""
+    base = f"{shared_dir(spark)}/screened-{uuid.uuid4().hex}"
+    q = (V.headlines_of(_source(spark, d, "lineitem")).writeStream.foreachBatch(S.enrich_batches(base + "/out"))
+         .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    delete_path(spark, base + "/checkpoint")
+    s = spark.read.parquet(base + "/out")
     return s.select("news_id", "priority_score", "filter_multiplier", F.array_join("macro_tags", ",").alias("tags"), F.array_join("tickers", ",").alias("tickers"))
 
 

@@ -343,6 +343,14 @@ def stream_enrich(news: DataFrame, **kw) -> DataFrame:
     return screen(news, **kw)
 
 
+def enrich_batches(path: str, **kw):
+    """foreachBatch writer of the screening stage: a headline that many rows of a micro-batch share is scored once.
+    A batch that is run again replaces its own folder ``batch_id=<n>``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        screen(batch, **kw).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    return write
+
+
 SNAPSHOTS = {"pre": (9 * 60 + 25, 9 * 60 + 35), "intraday": (14 * 60 + 30, 14 * 60 + 40), "sector": (16 * 60 + 30, 16 * 60 + 40)}
 
 

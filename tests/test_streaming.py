@@ -102,6 +102,17 @@ def test_batch_cap_and_late_split(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "late")).count() == 3
 
 
+def test_screened_batches_equal_the_rows(spark, tmp_path):
+    from newsflow.operators.scoring import screen
+    df = spark.createDataFrame([(i, ("BREAKING: CPI rose 30% vs 20% expected", "Nvidia beats estimates", "quiet day")[i % 3], "", "CNBC") for i in range(30)],
+                               "news_id long, title string, snippet string, source string")
+    for again in range(2):
+        S.enrich_batches(str(tmp_path / "screened"))(df, 0)
+    got = spark.read.parquet(str(tmp_path / "screened")).select("news_id", "priority_score").collect()
+    want = screen(df).select("news_id", "priority_score").collect()
+    assert sorted(got) == sorted(want) and len(got) >= 10
+
+
 def test_health_alert_step():
     state, fired = {}, []
     for minute, bad in [(0, True), (30, True), (60, True), (95, True), (120, False), (150, True), (180, True)]:
