@@ -359,3 +359,22 @@ def test_asof_change_with_all_bars_on_one_day(spark):
     got = {r["anchor_id"]: (r["base"], r["last"]) for r in price_change_since(
         spark.createDataFrame(bars, "symbol string, ts timestamp, close double"), spark.createDataFrame(marks, "anchor_id long, symbol string, anchor_ts timestamp")).collect()}
     assert got == {**{i: (100.0 + i, 599.0) for i in range(0, 500, 7)}, 9000: (100.0, 599.0), 9001: (5.0, 5.0)}
+
+
+def test_set_join_in_small_homes_equals_brute_force(spark, monkeypatch):
+    """Sets of frequent and of rare tokens in many homes, alone and within neighbouring blocks."""
+    monkeypatch.setattr(S, "BLOCK_SETS", (1, 9))
+    monkeypatch.setattr(S, "DENSE_SHARE", 0.05)
+    monkeypatch.setattr(S, "CHUNK_CELLS", 20)
+    rng = random.Random(5)
+    sets = {i: (rng.sample([f"w{n}" for n in range(12)], rng.randint(1, 8)) + [f"r{rng.randrange(40)}"], rng.randrange(4)) for i in range(120)}
+    df = spark.createDataFrame([(i, t, b) for i, (t, b) in sets.items()] + [(500, [], 0), (501, None, 1)], "k long, t array<string>, blk int")
+    for threshold, block in [(0.3, None), (0.45, "blk"), (0.65, None)]:
+        want = {}
+        for a, (x, i) in sets.items():
+            for b, (y, j) in sets.items():
+                sim = len(set(x) & set(y)) / len(set(x) | set(y))
+                if a < b and sim >= threshold and (block is None or abs(i - j) <= 1):
+                    want[a, b] = sim
+        got = S.token_set_pairs(df, "k", "t", threshold, block).collect()
+        assert want and len(got) == len(want) and {(r["a"], r["b"]): r["sim"] for r in got} == want
