@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import entities as E
@@ -16,6 +18,7 @@ from ..functions.text import string_array, word_set
 from ..functions.vocabulary import entity_lists, lowered
 from ..runtime import checkpoint, small_rows
 from .ranking import merge_tags
+from .similarity import overlap_chunks, token_codes
 from .windows import top_per_key
 
 INLINE_LIMIT = 2000
@@ -208,40 +211,58 @@ def match_history(news: DataFrame, history: DataFrame, k: int = 3, id_col: str =
     return out.select(F.col("nid").alias(id_col), F.col("hid").alias(history_id), "score", "rank")
 
 
+RESONANCE_ROWS = 4096
+
+
 def resonance(news: DataFrame, minutes: float = 5, share: float = 0.30, id_col: str = "news_id",
               ts: str = "captured_at", text: str = "text", title: str = "title",
               include_self: bool = False) -> DataFrame:
     """Number of articles of the last minutes whose title holds more than ``share`` of this
     article's words.
 
-    Titles with the same words in the same bucket are one row with a count per second (at most
-    one entry per second of the bucket), so copies are counted and not paired. Times are
-    compared to the second.
+    Titles with the same words in the same second are one row with a count. Articles and titles meet in buckets of
+    the length of the window, cut into blocks of bounded size; a group counts shared words by matrices
+    and adds up the titles in the window, so no pair ever becomes a row. Times are compared to the second.
     """
     width = int(minutes * 60)
     seconds = F.unix_seconds(F.col(ts))
-    own = news.select(F.col(id_col).alias("id"), seconds.alias("s"), word_set(F.col(text)).alias("w"),
-                      F.floor(seconds / width).alias("b"))
-    cells = (news.select(seconds.alias("s"), F.array_sort(word_set(F.col(title))).alias("tw"),
-                         F.floor(seconds / width).alias("b"))
-             .groupBy("b", "tw", "s").agg(F.count("*").alias("n")))
-    hot = cells.groupBy("b", "tw").agg(F.collect_list(F.struct("s", "n")).alias("times"))
-    tokens = hot.select(F.explode(F.array("b", F.col("b") + 1)).alias("b"), "tw", "times",
-                        F.xxhash64("b", "tw").alias("cell")).withColumn("t", F.explode("tw"))
-    probe = own.select("id", "s", "b", F.size("w").alias("nw"), F.explode("w").alias("t"))
-    shared = (probe.join(tokens.select("b", "t", "cell"), ["b", "t"])
-              .groupBy("id", "s", "nw", "cell").agg(F.count("*").alias("common"))
-              .filter(F.col("common") > F.col("nw") * share))
-    times = hot.select(F.xxhash64("b", "tw").alias("cell"), "times")
-    inside = F.aggregate("times", F.lit(0).cast("bigint"), lambda acc, x: acc + F.when(
-        (x["s"] <= F.col("s")) & (x["s"] >= F.col("s") - width), x["n"]).otherwise(F.lit(0).cast("bigint")))
-    counted = shared.join(times, "cell").groupBy("id").agg(F.sum(inside).alias("hits"))
+    bucket = F.floor(seconds / width)
+    own = news.select(F.col(id_col).alias("id"), seconds.alias("s"), word_set(F.col(text)).alias("w"), bucket.alias("b")).filter("size(w) > 0")
+    cells = (news.select(seconds.alias("s"), F.array_sort(word_set(F.col(title))).alias("tw"), bucket.alias("b"))
+             .filter("size(tw) > 0").groupBy("b", "tw", "s").agg(F.count("*").alias("n")))
+    cells = checkpoint(cells.select("s", "tw", "n", F.explode(F.array("b", F.col("b") + 1)).alias("b")))
+    sizes = (news.select(bucket.alias("b")).groupBy("b").agg(F.ceil(F.count("*") / RESONANCE_ROWS).alias("ps"))
+             .join(cells.groupBy("b").agg(F.ceil(F.count("*") / RESONANCE_ROWS).alias("qs")), "b"))
+    left = (own.join(sizes, "b").withColumn("p", F.pmod(F.xxhash64("id"), F.col("ps")))
+            .select("id", "s", "w", "b", "p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qs") - 1)).alias("q")))
+    right = (cells.join(sizes, "b").withColumn("q", F.pmod(F.xxhash64("tw", "s"), F.col("qs")))
+             .select("s", "tw", "n", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ps") - 1)).alias("p"), "q"))
+
+    def count(articles: pa.Table, titles: pa.Table) -> pa.Table:
+        articles, titles = articles.sort_by("s"), titles.sort_by("s")
+        (a_sizes, a_codes), (b_sizes, b_codes) = token_codes(articles["w"], titles["tw"])
+        at, times, n = (np.asarray(c).astype(np.int64) for c in (articles["s"], titles["s"], titles["n"]))
+        since, until = np.searchsorted(times, at - width, "left"), np.searchsorted(times, at, "right")
+        hits = np.zeros(len(at), dtype=np.int64)
+        for first, shared in overlap_chunks(a_sizes, a_codes, b_sizes, b_codes):
+            rows = slice(first, first + len(shared))
+            matches = shared > (a_sizes[rows] * share)[:, None]
+            edges = np.flatnonzero(np.diff(at[rows], prepend=at[first] - 1))
+            for i, j in zip(edges, [*edges[1:], len(shared)]):  # articles of one second see the same titles
+                seen = slice(since[first + i], until[first + i])
+                hits[first + i:first + j] = matches[i:j, seen] @ n[seen]
+        return pa.table({"id": articles["id"], "hits": pa.array(hits)})
+
+    groups = ["b", "p", "q"]
+    kind = news.schema[id_col].dataType.simpleString()
+    counted = (left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(count, f"id {kind}, hits bigint")
+               .groupBy("id").agg(F.sum("hits").alias("hits")))
     if include_self:
         return news.select(F.col(id_col).alias("id")).join(counted, "id", "left").select(
             F.col("id").alias(id_col), F.coalesce("hits", F.lit(0)).alias("similar_count"))
     # the article's own title is among the cells; it does not count as resonance
     self_hit = F.size(F.array_intersect(word_set(F.col(text)), word_set(F.col(title)))) > F.size(word_set(F.col(text))) * share
-    return (news.select(F.col(id_col).alias("id"), self_hit.cast("int").alias("me"))
+    return (news.select(F.col(id_col).alias("id"), F.coalesce(self_hit.cast("int"), F.lit(0)).alias("me"))
             .join(counted, "id", "left")
             .select(F.col("id").alias(id_col),
                     F.greatest(F.coalesce("hits", F.lit(0)) - F.col("me"), F.lit(0)).alias("similar_count")))

@@ -378,3 +378,17 @@ def test_set_join_in_small_homes_equals_brute_force(spark, monkeypatch):
                     want[a, b] = sim
         got = S.token_set_pairs(df, "k", "t", threshold, block).collect()
         assert want and len(got) == len(want) and {(r["a"], r["b"]): r["sim"] for r in got} == want
+
+
+def test_resonance_equals_brute_force(spark, monkeypatch):
+    from newsflow.operators import tagging
+    monkeypatch.setattr(tagging, "RESONANCE_ROWS", 7)
+    rng = random.Random(4)
+    words = ["fed", "cuts", "rates", "oil", "jumps", "apple", "opens", "store"]
+    rows = [(i, " ".join(rng.sample(words, rng.randint(1, 4))), " ".join(rng.sample(words, rng.randint(1, 8))), T0 + timedelta(seconds=rng.randrange(2000)))
+            for i in range(150)] + [(500 + i, "oil jumps", "oil jumps", T0 + timedelta(seconds=300)) for i in range(40)] + [(900, None, "oil", T0 + timedelta(seconds=400)), (901, "oil", None, T0)]
+    df = spark.createDataFrame(rows, "news_id long, title string, snippet string, captured_at timestamp")
+    got = {r["news_id"]: r["similar_count"] for r in tagging.resonance(df, 5, 0.3, text="snippet").collect()}
+    want = {i: sum(j != i and 0 <= (at - then).total_seconds() <= 300 and len(set((text or "").split()) & set((title or "").split())) > 0.3 * len(set((text or "").split()))
+                   for j, title, _, then in rows) for i, _, text, at in rows}
+    assert got == want and max(want.values()) > 40
