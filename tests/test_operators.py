@@ -392,3 +392,27 @@ def test_resonance_equals_brute_force(spark, monkeypatch):
     want = {i: sum(j != i and 0 <= (at - then).total_seconds() <= 300 and len(set((text or "").split()) & set((title or "").split())) > 0.3 * len(set((text or "").split()))
                    for j, title, _, then in rows) for i, _, text, at in rows}
     assert got == want and max(want.values()) > 40
+
+
+def test_semantic_keep_first_in_rounds(spark, monkeypatch):
+    """Many neighbours, copies and rows without a vector, settled a few rows at a time."""
+    import numpy as np
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(6, 8))
+    vecs = [(i, (base[i % 6] + 0.5 * rng.normal(size=8)).tolist()) for i in range(200)]
+    vecs += [(210 + i, vecs[i][1]) for i in range(20)] + [(240, None)]
+    units = {i: np.array(v) / (np.linalg.norm(v) or 1) for i, v in vecs if v is not None}
+    kept = []
+    for i, _ in sorted(vecs + [(300, None)]):
+        if i not in units or not any(j in units and (units[i] @ units[j] >= 0.3 or (units[i] == units[j]).all()) for j in kept):
+            kept.append(i)
+    df = spark.createDataFrame(vecs, "id long, embedding array<double>")
+    news = df.select("id").union(spark.createDataFrame([(300,)], "id long"))
+    sizes = []
+    plain = D.vector_pairs
+    monkeypatch.setattr(D, "ROUND_ROWS", 20)
+    monkeypatch.setattr(D, "vector_pairs", lambda v, *a: (sizes.append(v.count()), plain(v, *a))[1])
+    assert sorted(r["id"] for r in D.dedup_semantic(news, df, 0.3, order=(), id_col="id").collect()) == kept
+    assert len(sizes) > 1 and max(sizes) < 60  # never all vectors against each other
+    best = {(r["query_id"], r["match_id"]) for r in S.similar_topk(df.filter("id < 200"), df.filter("id < 200"), 0.3, 3).collect()}
+    assert best == {(i, j) for i in range(200) for j in sorted((j for j in range(200) if j != i and units[i] @ units[j] >= 0.3), key=lambda j: (-(units[i] @ units[j]), j))[:3]}
