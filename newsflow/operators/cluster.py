@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.text import event_title, title_tokens
+from ..runtime import checkpoint
 from .dedup import _token_key
 from .folds import ordered_fold
 from .similarity import connected_components, token_set_pairs
@@ -91,23 +92,24 @@ def cluster_events_greedy(news: DataFrame, window_seconds: int = CLUSTER_WINDOW_
     """(id, event_id) by the live rule: each article joins the event of its best recent match, else pairs
     with its best single match; the event is named by its first article.
 
-    Similar token sets are found once. Only articles whose token sets are linked, directly or over
-    others, depend on each other: each such component is folded in time order, with two entries of
-    state per token set of the window.
+    Similar token sets are found once, under numbers instead of their long keys. Only articles whose token sets
+    are linked, directly or over others, depend on each other: each such component is folded in time order, with
+    two entries of state per token set of the window.
     """
     items = (news.select(F.col(id_col).alias("_id"), F.col(ts).alias("_ts"), title_tokens(F.coalesce("title", F.lit(""))).alias("_t"))
-             .withColumn("_k", _token_key(F.col("_t"))).filter("_k is not null").withColumn("_s", F.unix_micros("_ts") / 1e6)
+             .withColumn("_h", _token_key(F.col("_t"))).filter("_h is not null").withColumn("_s", F.unix_micros("_ts") / 1e6)
              .withColumn("_b", F.floor(F.col("_s") / window_seconds)))
-    cells = items.groupBy("_k", "_b").agg(F.first("_t").alias("tokens"), F.concat("_k", F.lit("/"), F.col("_b").cast("string")).alias("cell"))
-    key = lambda c: F.substring_index(c, "/", 1)
-    pairs = (token_set_pairs(cells, "cell", "tokens", threshold, block="_b").select(key("a").alias("a"), key("b").alias("b"), "sim")
-             .filter("a <> b").distinct())
+    articles = checkpoint(items.select("_id", "_s", "_h"))
+    keys = checkpoint(articles.select("_h").distinct().withColumn("_k", F.monotonically_increasing_id()))
+    cells = items.groupBy("_h", "_b").agg(F.first("_t").alias("tokens")).join(keys, "_h").select("_k", "_b", "tokens")
+    # a token set is a row of each bucket it is in; it meets itself in the next one
+    pairs = checkpoint(token_set_pairs(cells, "_k", "tokens", threshold, block="_b").filter("a <> b").distinct())
     parts = connected_components(pairs.select("a", "b")).withColumnRenamed("node", "_k")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     near = both.groupBy(F.col("a").alias("_k")).agg(F.collect_list("b").alias("_o"), F.collect_list("sim").alias("_v"))
-    rows = (items.join(near, "_k", "left").join(parts, "_k", "left")
+    rows = (articles.join(keys, "_h").drop("_h").join(near, "_k", "left").join(parts, "_k", "left")
             .select("_id", "_s", "_k", F.coalesce("component", "_k").alias("_part"),
-                    F.concat(F.array("_k"), F.coalesce("_o", F.array().cast("array<string>"))).alias("_others"),
+                    F.concat(F.array("_k"), F.coalesce("_o", F.array().cast("array<bigint>"))).alias("_others"),
                     F.concat(F.array(F.lit(1.0)), F.coalesce("_v", F.array().cast("array<double>"))).alias("_sims")))
     kind = news.schema[id_col].dataType
     folded = ordered_fold(rows, ["_part"], ["_s", "_id"], dict, lambda cells, row: greedy_step(cells, row, window_seconds),

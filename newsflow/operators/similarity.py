@@ -95,7 +95,6 @@ def token_set_pairs(sets: DataFrame, key: str, tokens: str, threshold: float,
     homes = rows.join(counts.withColumn("before", before), ["blk", "size"]).withColumn(
         "no", F.floor((F.col("before") + F.pmod(F.xxhash64("k"), F.col("n"))) / per_home)).select(
         "k", "t", "size", F.struct("blk", "no").alias("home"))
-    homes = checkpoint(homes)
     spans = checkpoint(homes.groupBy("home").agg(F.min("size").alias("lo"), F.max("size").alias("hi")))
     one = spans.select(F.col("home").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"),
                        F.explode(F.array("home.blk", F.col("home.blk") + 1) if block else F.array("home.blk")).alias("blk"))

@@ -380,6 +380,17 @@ def test_set_join_in_small_homes_equals_brute_force(spark, monkeypatch):
         assert want and len(got) == len(want) and {(r["a"], r["b"]): r["sim"] for r in got} == want
 
 
+def test_greedy_events_find_their_pairs_once_and_by_number(spark, monkeypatch):
+    """The final plan reads the stored pairs; the similarity join is not run again for the neighbours."""
+    from newsflow.operators import cluster
+    kinds = []
+    found = cluster.token_set_pairs
+    monkeypatch.setattr(cluster, "token_set_pairs", lambda sets, key, *a, **kw: kinds.append(sets.schema[key].dataType.simpleString()) or found(sets, key, *a, **kw))
+    out = cluster.cluster_events_greedy(news(spark, [(1, "fed cuts rates today", None, None), (2, "fed cuts rates today now", None, None), (3, "apple opens store", None, None)]))
+    assert kinds == ["bigint"] and "FlatMapGroupsInArrow" not in out._jdf.queryExecution().toString()
+    assert {r["news_id"]: r["event_id"] for r in out.collect()} == {1: 1, 2: 1, 3: None}
+
+
 def test_resonance_equals_brute_force(spark, monkeypatch):
     from newsflow.operators import tagging
     monkeypatch.setattr(tagging, "RESONANCE_ROWS", 7)
