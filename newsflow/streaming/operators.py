@@ -2,8 +2,8 @@
 
 Rules that depend on order use one keyed fold: rows wait in the key's state until the watermark has
 passed them and are then folded in event order, so the result does not depend on how rows arrive
-within the lateness. Later rows are dropped (``split_late`` keeps them). State is a JSON document per
-key. The step functions are shared with the batch folds, so a stream over the same rows gives the
+within the lateness. Later rows are dropped (``split_late`` keeps them). State is a JSON document and the
+waiting rows per bucket of keys. The step functions are shared with the batch folds, so a stream over the same rows gives the
 same decisions for everything the watermark has passed.
 """
 
@@ -15,7 +15,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import content_fingerprint, market_session, normalize_url, title_tokens, to_eastern
@@ -37,49 +39,69 @@ def _plain(v):
     return {"day": v.isoformat()} if isinstance(v, date) else v
 
 
-def _value(v):
-    if isinstance(v, dict) and set(v) == {"ns"}:
-        return pd.Timestamp(v["ns"])
-    return date.fromisoformat(v["day"]) if isinstance(v, dict) and set(v) == {"day"} else v
+FOLD_ROWS = 4096
+FOLD_BUCKETS = 1024
 
 
 def keyed_fold(stream: DataFrame, keys: list[str], order: list[str], ts: str, step: Callable[[dict, dict], list[dict]],
                out: T.StructType, quiet_seconds: float | None = None, lateness: str | None = LATENESS) -> DataFrame:
     """Fold each key's rows in event order; ``step(state, row)`` returns output rows.
 
-    State holds the rule's memory and the rows that the watermark has not passed. A key's state is
-    dropped ``quiet_seconds`` after its last row; without it the state stays. ``lateness`` None: the
-    stream has its watermark already.
+    Keys are dealt to ``FOLD_BUCKETS`` buckets, since a call per key costs more than most keys' rows. The state of a
+    bucket is the rule's memory of each key and the rows that the watermark has not passed, as Arrow columns; only
+    ``FOLD_ROWS`` rows at a time become Python objects. A key's memory is dropped ``quiet_seconds`` after its last
+    row; without it the memory stays. ``lateness`` None: the stream has its watermark already.
     """
     names = out.fieldNames()
+    schema = pa.schema([(f.name, pa.timestamp("ns") if isinstance(f.dataType, T.TimestampType) else to_arrow_type(f.dataType))
+                        for f in stream.schema.fields])
+
+    def name_of(values: tuple) -> str:
+        return json.dumps([_plain(v) for v in values])
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else {"memory": {}, "waiting": [], "last": None}
+        text, held = state.get if state.exists else ("{}", None)
+        memories = json.loads(text)  # key: [memory, time of its last row]
         passed = state.getCurrentWatermarkMs()
-        rows = [{k: _value(v) for k, v in row.items()} for row in kept["waiting"]]
+        parts = [] if held is None else [pa.ipc.read_record_batch(pa.py_buffer(held), schema)]
         if not state.hasTimedOut:
             for batch in batches:
-                rows.extend(batch.to_dict("records"))
-        rows.sort(key=lambda r: tuple(r[c] for c in order))
-        millis = [r[ts].value // 1_000_000 for r in rows]
-        memory, made = kept["memory"], []
-        for row, at in zip(rows, millis):
-            if at < passed:
-                made.extend(step(memory, row))
-                kept["last"] = at
-        waiting = [r for r, at in zip(rows, millis) if at >= passed]
-        if waiting or quiet_seconds is None or kept["last"] is None or kept["last"] + quiet_seconds * 1000 >= passed:
-            kept["waiting"] = [{k: _plain(v) for k, v in r.items()} for r in waiting]
-            state.update((json.dumps(kept),))
-            due = min(at for at in millis if at >= passed) if waiting else None if quiet_seconds is None else int(kept["last"] + quiet_seconds * 1000)
-            if due is not None:
-                state.setTimeoutTimestamp(max(due, passed + 1))
+                parts.append(pa.RecordBatch.from_arrays([pa.array(batch[f.name], f.type, from_pandas=True) for f in schema], schema=schema))
+        rows = pa.Table.from_batches(parts, schema)
+        # a row without a time is before all others
+        millis = np.asarray(rows[ts].cast(pa.int64()).fill_null(np.iinfo(np.int64).min)) // 1_000_000
+        early = millis < passed
+        ready = rows.append_column("\0millis", pa.array(millis)).filter(pa.array(early)).sort_by([(c, "ascending") for c in [*keys, *order]])
+        current, entry = None, None
+        for first in range(0, len(ready), FOLD_ROWS):
+            made = []
+            for row in ready.slice(first, FOLD_ROWS).to_pylist():
+                at, values = row.pop("\0millis"), tuple(row[k] for k in keys)
+                if values != current:
+                    current, entry = values, memories.setdefault(name_of(values), [{}, None])
+                made.extend(step(entry[0], row))
+                entry[1] = at
+            if made:
+                yield pd.DataFrame(made, columns=names, dtype=object)
+        waiting, due = None, []
+        if not early.all():
+            rest = rows.filter(pa.array(~early)).combine_chunks()
+            waiting = rest.to_batches()[0].serialize().to_pybytes()
+            due.append(int(millis[~early].min()))
+        if quiet_seconds is not None:
+            open_ = set() if waiting is None else {name_of(tuple(r.values())) for r in rest.group_by(keys).aggregate([]).select(keys).to_pylist()}
+            memories = {k: m for k, m in memories.items() if k in open_ or m[1] + quiet_seconds * 1000 >= passed}
+            due.extend(int(m[1] + quiet_seconds * 1000) for k, m in memories.items() if k not in open_)
+        if memories or waiting is not None:
+            state.update((json.dumps(memories), waiting))
+            if due:
+                state.setTimeoutTimestamp(max(min(due), passed + 1))
         else:
             state.remove()
-        yield pd.DataFrame(made, columns=names).astype({n: "object" for n in names})
 
-    return ((stream.withWatermark(ts, lateness) if lateness else stream).groupBy(*keys)
-            .applyInPandasWithState(run, out, "memory string", "append", GroupStateTimeout.EventTimeTimeout))
+    return ((stream.withWatermark(ts, lateness) if lateness else stream)
+            .withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(FOLD_BUCKETS))).groupBy("_bucket")
+            .applyInPandasWithState(run, out, "memories string, waiting binary", "append", GroupStateTimeout.EventTimeTimeout))
 
 
 # --- duplicates --------------------------------------------------------------------------------

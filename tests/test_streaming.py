@@ -131,3 +131,23 @@ def test_stalls_do_not_depend_on_arrival(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
     got = sorted((r["event_id"], r["event_type"]) for r in drain(spark, tmp_path, S.stream_source_stall(stream)))
     assert got == [(5, "source_stall"), (6, "source_recovered")]
+
+
+def test_keys_of_a_fold_share_state_rows(spark, tmp_path, monkeypatch):
+    """Sixty keys in three buckets, folded a few rows at a time: the rule holds per key, the state is one row per bucket."""
+    monkeypatch.setattr(S, "FOLD_BUCKETS", 3)
+    monkeypatch.setattr(S, "FOLD_ROWS", 5)
+    rng = random.Random(8)
+    rows = [(None if i % 60 == 7 else f"t{i % 60}", i, T0 + timedelta(minutes=rng.randrange(3000))) for i in range(400)]
+    df = spark.createDataFrame(rows, "title string, news_id long, captured_at timestamp")
+    want, last = set(), {}
+    for title, i, at in sorted(rows, key=lambda r: (r[2], r[1])):
+        if title not in last or (at - last[title]).total_seconds() >= 4 * 3600:
+            last[title] = at
+            want.add(i)
+    stream = S.stream_ttl_dedup(source(spark, tmp_path, df, "captured_at", T0 + timedelta(days=9), 4), lateness="60 hours")
+    q = (stream.writeStream.outputMode("append").format("memory").queryName("shared_state")
+         .option("checkpointLocation", str(tmp_path / "shared")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert {r["news_id"] for r in spark.table("shared_state").collect()} == want
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 3
