@@ -84,9 +84,11 @@ def contains_join(docs: DataFrame, dictionary: DataFrame, id_col: str = "news_id
     """(id, <dictionary columns>) for every dictionary ``keyword`` contained in the text.
 
     Null and empty keywords match nothing. A dictionary of at most ``inline_limit`` rows is checked in
-    size and inlined. A larger one is joined on anchors: the run of three characters of each keyword (the whole
-    keyword if shorter) that the fewest texts have, by a count over the texts, so keywords that all begin with
-    a common word do not meet every text. Only ids and runs that the dictionary has are shuffled; the text is
+    size and inlined. A larger one is joined on anchors. A word of the keyword between two of its spaces is a
+    word of each text that contains the keyword, so such words are its anchors; a keyword without one has its
+    runs of three characters (or itself if shorter), and only then are texts cut into runs. Each keyword uses
+    the anchor that the fewest texts have, by a count over the texts, so keywords that all begin with
+    a common word do not meet every text. Only ids and anchors that the dictionary has are shuffled; the text is
     joined back once per candidate document, so ids must be unique. Both ways give the same rows.
     """
     dictionary = dictionary.filter(F.coalesce(F.col("keyword"), F.lit("")) != "")
@@ -105,18 +107,25 @@ def contains_join(docs: DataFrame, dictionary: DataFrame, id_col: str = "news_id
         return F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
     head = F.lower("keyword")
-    grams = dictionary.withColumn("_low", head).withColumn("_anchor", F.explode(F.array_distinct(
-        F.when(F.length(head) < 3, F.array(head)).otherwise(runs_of(head, 3)))))
-    listed = grams.select("_anchor").distinct()
-    pairs = (docs.select(id_col, F.explode(F.array_distinct(F.concat(*(runs_of(low, n) for n in (1, 2, 3))))).alias("_anchor"))
-             .join(listed, "_anchor", "left_semi"))
-    texts = pairs.groupBy("_anchor").agg(F.count("*").alias("_texts"))
+    inner = F.filter(F.split(head, " "), lambda w, i: (i > 0) & (i < F.size(F.split(head, " ")) - 1) & (w != ""))
+    runs = F.when(F.length(head) < 3, F.array(head)).otherwise(runs_of(head, 3))
+    grams = (dictionary.withColumn("_low", head).withColumn("_inner", inner).withColumn("_size", F.when(F.size("_inner") == 0, F.least(F.length("_low"), F.lit(3))).otherwise(0))
+             .withColumn("_anchor", F.explode(F.array_distinct(F.when(F.size("_inner") > 0, F.col("_inner")).otherwise(runs)))))
+    sizes = sorted(r[0] for r in grams.select("_size").distinct().collect())  # 0 for words, lengths of runs: at most four
+    listed = grams.select((F.col("_size") == 0).alias("_word"), "_anchor").distinct()
+    parts = [F.split(low, " ") if n == 0 else runs_of(low, n) for n in sizes] or [F.array().cast("array<string>")]
+    pairs = None
+    for n, part in zip(sizes or [0], parts):
+        found = (docs.select(id_col, F.explode(F.array_distinct(part)).alias("_anchor")).withColumn("_word", F.lit(n == 0))
+                 .join(listed, ["_word", "_anchor"], "left_semi"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    texts = pairs.groupBy("_word", "_anchor").agg(F.count("*").alias("_texts"))
     # a keyword with a run that no text has is in no text
-    rarest = (grams.select("_low", "_anchor").distinct().join(texts, "_anchor", "left")
-              .groupBy("_low").agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), F.col("_anchor").alias("a"))).alias("_r"))
-              .filter("_r.n > 0").select("_low", F.col("_r.a").alias("_anchor")))
+    rarest = (grams.select("_low", (F.col("_size") == 0).alias("_word"), "_anchor").distinct().join(texts, ["_word", "_anchor"], "left")
+              .groupBy("_low").agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), F.col("_anchor").alias("a"), F.col("_word").alias("w"))).alias("_r"))
+              .filter("_r.n > 0").select("_low", F.col("_r.w").alias("_word"), F.col("_r.a").alias("_anchor")))
     keyed = dictionary.withColumn("_low", head).join(rarest, "_low").drop("_low")
-    candidates = pairs.join(keyed, "_anchor").groupBy(id_col).agg(F.collect_list(F.struct(*cols)).alias("_words"))
+    candidates = pairs.join(keyed, ["_word", "_anchor"]).groupBy(id_col).agg(F.collect_list(F.struct(*cols)).alias("_words"))
     hits = F.filter("_words", lambda k: F.contains(low, F.lower(k["keyword"])))
     return (docs.select(id_col, text).join(candidates, id_col).select(id_col, F.explode(hits).alias("k"))
             .select(id_col, "k.*"))

@@ -293,6 +293,20 @@ def test_small_and_joined_dictionaries_agree(spark):
     assert ways[0] == ways[1] == [(1, 1), (1, 5), (3, 4)]
 
 
+def test_keywords_of_several_words_are_joined_on_words(spark):
+    """No text is cut into runs of characters for keywords that have a word between two spaces; rows are as inlined."""
+    from newsflow.operators.tagging import contains_join
+    docs = spark.createDataFrame([(1, "x the Cat sat down"), (2, "the  cat sat"), (3, "bathe cat satin"), (4, "the\ncat sat"), (5, None), (6, "ab  cd")], "news_id int, text string")
+    words = spark.createDataFrame([("the CAT sat", 1), ("he cat sat", 2), ("THE  cat sat", 3), (" cat ", 4), ("cat sat d", 5)], "keyword string, tag int")
+    other = spark.createDataFrame([("b  c", 6), ("at", 7), ("e c", 8), (" ", 9)], "keyword string, tag int")
+    rows = lambda df: sorted((r["news_id"], r["tag"]) for r in df.collect())
+    joined = contains_join(docs, words, inline_limit=0)
+    assert "regexp_extract_all(lower(coalesce(text" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(joined) == rows(contains_join(docs, words)) and len(rows(joined)) == 9
+    every = words.unionByName(other)
+    assert rows(contains_join(docs, every, inline_limit=0)) == rows(contains_join(docs, every))
+
+
 def test_regions_outside_the_us(spark):
     from newsflow.functions.predicates import geo_tier_weight
     titles = ["Thailand baht slides as Bangkok flood costs rise", "Malaysia ringgit drops", "Istanbul index falls as lira weakens", "Real estate prices rise",
