@@ -20,8 +20,8 @@ DENSE_TOKENS = 2048
 CHUNK_CELLS = 1 << 22
 
 
-def overlap_chunks(a_sizes: np.ndarray, a_codes: np.ndarray, b_sizes: np.ndarray, b_codes: np.ndarray):
-    """(first row, matrix of shared tokens) for the sets of ``a``, a few rows at a time, against all sets of ``b``.
+def overlap_chunks(a_sizes: np.ndarray, a_codes: np.ndarray, b_sizes: np.ndarray, b_codes: np.ndarray, step: int | None = None):
+    """(first row, matrix of shared tokens) for the sets of ``a``, ``step`` rows at a time, against all sets of ``b``.
 
     Sets are given by their sizes and the codes of their tokens one after the other. Tokens that many pairs
     share are columns of a matrix product; the others are looked up in a list of the sets that hold them.
@@ -47,7 +47,7 @@ def overlap_chunks(a_sizes: np.ndarray, a_codes: np.ndarray, b_sizes: np.ndarray
     right = dense(b_rows, b_codes, n_b).T
     listed, starts = b_rows[np.argsort(b_codes, kind="stable")], np.cumsum(held) - held
     ends = np.cumsum(a_sizes)
-    step = max(1, CHUNK_CELLS // n_b)
+    step = step or max(1, CHUNK_CELLS // n_b)
     for first in range(0, n_a, step):
         last = min(n_a, first + step)
         codes = a_codes[ends[first] - a_sizes[first]:ends[last - 1]]

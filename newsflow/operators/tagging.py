@@ -7,9 +7,11 @@ shuffle. Larger ones go through a join on short character anchors instead.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import entities as E
@@ -18,7 +20,7 @@ from ..functions.text import string_array, word_set
 from ..functions.vocabulary import entity_lists, lowered
 from ..runtime import checkpoint, small_rows
 from .ranking import merge_tags
-from .similarity import overlap_chunks, token_codes
+from .similarity import CHUNK_CELLS, overlap_chunks, token_codes
 from .windows import top_per_key
 
 INLINE_LIMIT = 2000
@@ -155,12 +157,69 @@ def ticker_to_etf(tickers: Column, tag_text: Column, category: Column, ticker_et
     return F.when(F.size(tickers) > 0, every).otherwise(nothing)
 
 
+def codes_of(lists: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and codes (places in ``known``) of token lists; other tokens are left out."""
+    sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+    codes = np.asarray(pc.index_in(lists.flatten(), value_set=known).fill_null(-1)).astype(np.int64)
+    rows = np.repeat(np.arange(len(sizes)), sizes)[codes >= 0]
+    return np.bincount(rows, minlength=len(sizes)), codes[codes >= 0]
+
+
+def match_listed(n: DataFrame, events: list, k: int, floor: float) -> DataFrame:
+    """(nid, event, score): the best k of the listed events for each text, ``event`` being the place in the list.
+
+    Each Arrow batch of texts counts shared words and tags with all events by matrices, so a text is read once, no pair
+    becomes a row and nothing but the best k leaves a task. Equal scores go to the event listed first.
+    """
+    words = [e["hw"] or [] for e in events]
+    tags = [[t.lower() for t in e["tags"] or [] if t] for e in events]
+    known, listed = sorted({w for ws in words for w in ws}), sorted({t for ts in tags for t in ts})
+    categories = sorted({e["hcat"] for e in events if e["hcat"]})
+    place, number = {t: i for i, t in enumerate(listed)}, {c: i for i, c in enumerate(categories)}
+    wanted = np.zeros((len(listed), len(events)), np.float32)
+    for j, ts in enumerate(tags):
+        for t in ts:
+            wanted[place[t], j] += 8
+    category = np.array([number.get(e["hcat"], -2) for e in events])
+    critical = np.array([e["crit"] for e in events], np.float32)
+    sizes, codes = codes_of(pa.array(words, pa.list_(pa.string())), pa.array(known, pa.string()))
+    lexicon = Lexicon({"tag": listed})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a_sizes, a_codes = codes_of(batch.column("nw"), pa.array(known, pa.string()))
+            t_sizes, t_codes = (np.asarray(x).astype(np.int64) for x in (batch.column("tagged").value_lengths(), batch.column("tagged").flatten()))
+            mine = np.asarray(pc.index_in(batch.column("ncat"), value_set=pa.array(categories, pa.string())).fill_null(-1))
+            t_ends, found = np.cumsum(t_sizes), []
+            step = max(1, CHUNK_CELLS // max(1, len(events), len(listed)))
+            shares = overlap_chunks(a_sizes, a_codes, sizes, codes, step) if len(a_codes) else ((i, 0) for i in range(0, len(batch), step))
+            for first, shared in shares:
+                last = min(len(batch), first + step)
+                there = np.zeros((last - first, len(listed)), np.float32)
+                there[np.repeat(np.arange(last - first), t_sizes[first:last]), t_codes[t_ends[first] - t_sizes[first]:t_ends[last - 1]]] = 1
+                score = there @ wanted + critical + np.float32(0.5) * shared + np.float32(30) * (mine[first:last, None] == category)
+                every = np.arange(len(score))
+                for _ in range(min(k, len(events))):
+                    best = score.argmax(axis=1)
+                    points = score[every, best].astype(np.float64)
+                    score[every, best] = -np.inf
+                    at = np.flatnonzero(points >= floor)
+                    found.append((first + at, best[at], points[at]))
+            if found:
+                at, best, points = (np.concatenate(c) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays([batch.column("nid").take(pa.array(at)), pa.array(best, pa.int32()), pa.array(points)], names=["nid", "event", "score"])
+
+    read = n.select("nid", "nw", "ncat", lexicon.found(F.col("_low")).places("tag").alias("tagged"))
+    return read.mapInArrow(run, f"nid {n.schema['nid'].dataType.simpleString()}, event int, score double")
+
+
 def match_history(news: DataFrame, history: DataFrame, k: int = 3, id_col: str = "news_id",
                   text: str = "text", category: str | None = "category", floor: float = 10.0,
                   history_id: str = "event_no", inline_limit: int = INLINE_LIMIT) -> DataFrame:
     """Top k labelled past events per text: 30 for the category, 8 a contained tag, 0.5 a shared word, 5 if critical.
 
-    A threshold algorithm. Each event's words are ordered rare first; its ``last`` most common words are no
+    A history of at most ``inline_limit`` events is checked in size and carried to the texts (``match_listed``). A larger
+    one meets them by a threshold algorithm. Each event's words are ordered rare first; its ``last`` most common words are no
     join keys. An event that shares none of its other words with a text shares at most ``last`` words, too
     few to reach the floor by words alone, so it can only enter through a tag or its category. Of a
     category, each text meets the best k events by what needs no text. Only texts whose k-th best score
@@ -172,7 +231,14 @@ def match_history(news: DataFrame, history: DataFrame, k: int = 3, id_col: str =
         F.col(id_col).alias("nid"), F.lower(text).alias("_low"), word_set(F.col(text)).alias("nw"),
         F.coalesce(F.col(category) if category else F.lit(None).cast("string"), F.lit("")).alias("ncat"))
     h = history.select(F.col(history_id).alias("hid"), word_set(F.col("text")).alias("hw"),
-                       F.array_distinct("tags").alias("tags"), F.col("category").alias("hcat"), critical.alias("crit"))
+                       F.array_distinct("tags").alias("tags"), F.col("category").alias("hcat"), critical.alias("crit")).filter("hw IS NOT NULL")
+    events = small_rows(h, inline_limit)
+    if events is not None:
+        events.sort(key=lambda e: (e["hid"] is not None, e["hid"]))
+        kind = h.schema["hid"].dataType
+        numbers = F.array(*[F.lit(e["hid"]).cast(kind) for e in events]) if events else F.array().cast(f"array<{kind.simpleString()}>")
+        best = top_per_key(match_listed(n, events, k, floor), ["nid"], [F.desc("score"), "event"], k, rank="rank")
+        return best.select(F.col("nid").alias(id_col), F.get(numbers, "event").alias(history_id), "score", "rank")
     posted = h.select("hid", F.explode("hw").alias("w"))
     common = posted.groupBy("w").agg(F.count("*").alias("df"))
     by_event = (posted.join(common, "w").groupBy("hid")
@@ -195,7 +261,7 @@ def match_history(news: DataFrame, history: DataFrame, k: int = 3, id_col: str =
             .unionByName(best.select(*keys, zero.alias("shared"), zero.alias("tagged")))
             .groupBy(*keys).agg(F.sum("shared").alias("shared"), F.sum("tagged").alias("tagged")))
     seen = checkpoint(seen)
-    facts = by_event.select("hid", "often").join(h.select("hid", "hcat", "crit"), "hid")
+    facts = h.select("hid", "hcat", "crit").join(by_event.select("hid", "often"), "hid", "left")  # an event of blanks has no words
     frequent = checkpoint(frequent)
     texts = frequent.join(placed, "nid", "full").select("nid", F.coalesce("ncat", F.lit("")).alias("ncat"), "ws")
 

@@ -441,3 +441,27 @@ def test_semantic_keep_first_in_rounds(spark, monkeypatch):
     assert len(sizes) > 1 and max(sizes) < 60  # never all vectors against each other
     best = {(r["query_id"], r["match_id"]) for r in S.similar_topk(df.filter("id < 200"), df.filter("id < 200"), 0.3, 3).collect()}
     assert best == {(i, j) for i in range(200) for j in sorted((j for j in range(200) if j != i and units[i] @ units[j] >= 0.3), key=lambda j: (-(units[i] @ units[j]), j))[:3]}
+
+
+def test_history_match_of_few_and_many_events(spark):
+    """Events carried to the texts give the rows of the joins and of brute force, events without words included."""
+    from newsflow.operators.tagging import match_history
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice(["oil", "rates", "Fed", "chips", "gold", "war", "tax", "bank"]) + rng.choice(["", "", "s", "1"]) for _ in range(n))
+    events = [(i, text(rng.randrange(1, 40)), [rng.choice(["oil", "fed", "zinc", ""]), rng.choice(["oil", "tax1", "nothing"])],
+               rng.choice(["monetary", "corporate", "", None]), rng.choice(["CRITICAL", "HIGH", None])) for i in range(30)]
+    events += [(30, "  ", ["oil"], "monetary", "CRITICAL"), (31, None, ["oil"], "monetary", "CRITICAL")]
+    texts = [(i, text(rng.randrange(1, 60)), rng.choice(["monetary", "corporate", "", None])) for i in range(60)]
+    texts += [(60, None, "monetary"), (61, "short", "monetary"), (62, "nothing of that kind", "monetary"), (63, "none of these words", "")]
+    news = spark.createDataFrame(texts, "news_id int, text string, category string").repartition(3)
+    history = spark.createDataFrame(events, "event_no long, text string, tags array<string>, category string, level string")
+    want = []
+    for i, t, c in texts:
+        low = (t or "").lower()
+        scores = [(-(30 * bool(c and c == hc) + 8 * sum(x in low for x in set(tags) if x) + 0.5 * len(set(low.split()) & set(e.lower().split()))
+                     + 5 * (level == "CRITICAL")), no) for no, e, tags, hc, level in events if e is not None] if len(low.strip()) >= 10 else []
+        want += [(i, no, -s, r + 1) for r, (s, no) in enumerate(sorted(x for x in scores if x[0] <= -10)[:3])]
+    for limit in (100, 1):
+        rows = match_history(news, history, inline_limit=limit).collect()
+        assert sorted((r["news_id"], r["event_no"], r["score"], r["rank"]) for r in rows) == sorted(want), limit
+    assert match_history(news, history.limit(0)).count() == 0
