@@ -11,6 +11,9 @@ A candidate pair belongs to the first tree in which its prefixes agree, so nothi
 Prefix groups are cut into blocks of ``BLOCK`` classes and pairs of blocks are the units of work:
 pairs exist only as cells of a unit's matrix, verified on whole shingle sets, and a unit hands on counts
 and the edges of a spanning forest. Components of those edges are the classes of near copies.
+
+All joins are merge joins: Spark sizes tables after ``explode`` by the rows before it and would send tables
+of the corpus' size through the driver.
 """
 
 from __future__ import annotations
@@ -79,7 +82,7 @@ def crowded(members: DataFrame) -> DataFrame:
     """One row per class and tree whose prefix is not alone: tree, bucket and the columns given."""
     rows = members.select("*", F.posexplode("prefix").alias("tree", "bucket"))
     many = rows.groupBy("bucket").count().filter("count > 1").withColumnRenamed("count", "n_members")
-    return rows.join(many, "bucket")
+    return rows.join(many.hint("merge"), "bucket")
 
 
 def recall(strength: float, depth: int) -> float:
@@ -108,7 +111,7 @@ def units(members: DataFrame, block: int = BLOCK) -> DataFrame:
              .filter(~same).select("bucket"))
     blocks = F.ceil(F.col("n_members") / block).cast("int")
     here = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int")
-    return (rows.join(alive, "bucket").withColumn("blocks", blocks).withColumn("here", here)
+    return (rows.join(alive.hint("merge"), "bucket").withColumn("blocks", blocks).withColumn("here", here)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("key", "size", "n", "prefix", "tree", "bucket", "here", F.least("here", "other").alias("lo"), F.greatest("here", "other").alias("hi")))
 
@@ -211,7 +214,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], schema=schema)
 
     d = id_and_text(docs).withColumn("rep_hash", F.xxhash64("text"))
-    hit = d.join(wanted, d["doc_id"].eqNullSafe(wanted["rep"]) & (d["rep_hash"] == wanted["rep_hash"]))
+    hit = d.join(wanted.hint("merge"), d["doc_id"].eqNullSafe(wanted["rep"]) & (d["rep_hash"] == wanted["rep_hash"]))
     return hit.select("key", "text").mapInArrow(run, "key binary, shingles binary").dropDuplicates(["key"])
 
 
@@ -228,19 +231,19 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, target: float =
                       .select("key", "size", "n", "sig", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash")), "classes")
     depth = choose_depth(classes, similarity, target)
     work = written(units(prefixes(classes, depth).select("key", "size", "n", "prefix"), block), "units")
-    wanted = classes.join(work.select("key").distinct(), "key", "left_semi").select("key", "rep", "rep_hash")
+    wanted = classes.join(work.select("key").distinct().hint("merge"), "key", "left_semi").select("key", "rep", "rep_hash")
     sets = written(candidate_sets(docs, wanted), "shingle-sets")
-    found = written(verify(work.join(sets, "key"), similarity), "links")
+    found = written(verify(work.join(sets.hint("merge"), "key"), similarity), "links")
     discard(work, sets)
     parts = connected_components(found.filter("other IS NOT NULL"), "key", "other")
     linked = found.filter("other IS NULL").groupBy("key").agg(F.sum("n").alias("linked"))
-    part = classes.join(parts.withColumnRenamed("node", "key"), "key").select("key", "component", "rep")
+    part = classes.join(parts.withColumnRenamed("node", "key").hint("merge"), "key").select("key", "component", "rep")
     lowest = part.groupBy("component").agg(F.min("rep").alias("lowest"), F.max(F.col("rep").isNull()).alias("has_null"))
-    info = (classes.select("key", "size", "rep").join(linked, "key", "left").join(part.select("key", "component"), "key", "left")
-            .join(lowest, "component", "left")
+    info = (classes.select("key", "size", "rep").join(linked.hint("merge"), "key", "left").join(part.select("key", "component").hint("merge"), "key", "left")
+            .join(lowest.hint("merge"), "component", "left")
             .select("key", "size", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("component", "key").alias("part"),
                     F.when(F.col("component").isNull(), F.col("rep")).when(~F.col("has_null"), F.col("lowest")).alias("class_id")))
-    rows = sigs.select("doc_id", "text_hash", "key").join(info, "key", "left")
+    rows = sigs.select("doc_id", "text_hash", "key").join(info.hint("merge"), "key", "left")
     alone = F.col("key").isNull()
     out = rows.select("doc_id", "text_hash", "part", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                       F.when(alone, F.lit(0)).otherwise(F.col("linked") + F.col("size") - 1).cast("long").alias("n_links"))
@@ -255,7 +258,7 @@ def keep_first_of_class(docs: DataFrame) -> DataFrame:
     """One row of each near-copy class, with all its columns; rows without words stay."""
     found = near_copies(docs).filter("is_first").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).dropDuplicates()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_hash")), "left_semi")
+    return docs.join(found.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_hash")), "left_semi")
 
 
 @query()

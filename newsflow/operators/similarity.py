@@ -260,7 +260,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) with the smallest node of each component, by star contraction.
 
     Each round joins every edge with the minimum of its neighbourhood, so the number of rounds
-    grows with the logarithm of the longest chain. Nodes without edges are not returned.
+    grows with the logarithm of the longest chain. Nodes without edges are not returned. Joins are
+    merge joins, so that no table of nodes goes through the driver.
     """
     links = checkpoint(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                        .filter("u <> v").distinct())
@@ -274,10 +275,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        big = (both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        big = (both.join(lowest.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                .filter("u <> v").distinct())
         small_low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = (big.join(small_low, "u").filter("v <> m")
+        small = (big.join(small_low.hint("merge"), "u").filter("v <> m")
                  .select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
                  .unionByName(small_low.select("u", F.col("m").alias("v"))).distinct())
         links = checkpoint(small)

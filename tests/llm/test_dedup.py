@@ -166,3 +166,25 @@ def test_depth_finds_the_weakest_link(spark, monkeypatch):
     monkeypatch.setattr(J, "prefixes", lambda classes, depth: used.append(depth) or prefixes(classes, depth))
     J.near_copies(corpus.frame(spark, [(2 * k + j, t + " end" * j) for k, t in enumerate(words) for j in (0, 1)]))
     assert 1 - (1 - J.SIMILARITY ** used[-1]) ** J.TREES >= J.TARGET
+
+
+def test_no_table_of_the_corpus_is_broadcast(spark, monkeypatch):
+    """Tables after an explode are larger than Spark sizes them; none may go through the driver."""
+    docs, plans = corpus.frame(spark, DATA), []
+
+    def noted(df, label):
+        out = written(df, label)
+        df.collect()
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    written = J.written
+    monkeypatch.setattr(J, "written", noted)
+    found = J.near_copies(docs)
+    found.collect()
+    plans.append(("result", found._jdf.queryExecution().executedPlan().toString()))
+    assert {"units", "links", "result"} <= {label for label, _ in plans}
+    assert not [label for label, plan in plans if "Broadcast" in plan]
+    kept = J.keep_first_of_class(docs)
+    kept.collect()
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
