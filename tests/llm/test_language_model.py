@@ -215,3 +215,15 @@ def test_word_counts_are_added_up(spark, monkeypatch):
     want = Counter(w.decode() for i, t in data if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1 for w in (t or "").encode().translate(LOWER).split())
     rows = A.word_counts(corpus.frame(spark, data)).collect()
     assert {r["word"]: r["c"] for r in rows} == want and len(rows) == len(want)
+
+
+def test_every_id_has_its_own_query():
+    """The id two before each place changes what is found there: no place goes without a query of its own."""
+    v, w, rng = vocabulary(), A.initial(), np.random.default_rng(12)
+    w["group"] += 0.3 * rng.standard_normal(w["group"].shape).astype(np.float32)
+    x = rng.integers(0, A.INPUTS, (1, A.WINDOW))
+    plain = A.attended(w, x)[0][0]
+    for at in range(A.CONTEXT, A.WINDOW):
+        y = x.copy()
+        y[0, at - 2] = (x[0, at - 2] + 1) % A.INPUTS
+        assert not np.allclose(A.attended(w, y)[0][0, at - A.CONTEXT], plain[at - A.CONTEXT], atol=1e-6), at
