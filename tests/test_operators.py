@@ -465,3 +465,37 @@ def test_history_match_of_few_and_many_events(spark):
         rows = match_history(news, history, inline_limit=limit).collect()
         assert sorted((r["news_id"], r["event_no"], r["score"], r["rank"]) for r in rows) == sorted(want), limit
     assert match_history(news, history.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.3, 0.65, 1.0])
+def test_similar_sets_by_rare_tokens(monkeypatch, threshold):
+    """All pairs of the threshold, none twice, also when every set comes in a step of its own and bits are shared."""
+    import numpy as np
+    from newsflow.operators import similarity as S
+    rng = np.random.default_rng(3)
+    common = 1 / np.arange(1, 301)
+
+    def sets(n):
+        return [set(rng.choice(300, rng.integers(1, 40), replace=False, p=common / common.sum()).tolist()) for _ in range(n)]
+
+    one, two = sets(120), sets(90)
+    one += [s | {1} for s in one[:30]] + [s - {max(s)} or {5} for s in one[:30]]
+    two += [set(s) for s in one[:20]]
+    flat = lambda x: (np.array([len(s) for s in x]), np.array([t for s in x for t in sorted(s, reverse=True)]))
+    for steps in (1 << 20, 16):
+        monkeypatch.setattr(S, "HITS", steps)
+        for a, b, alone in ((one, two, False), (one, one, True)):
+            want = {(i, j): len(x & y) for i, x in enumerate(a) for j, y in enumerate(b) if len(x & y) / len(x | y) >= threshold and (not alone or i < j)}
+            rows = [r for i, j, n in S.similar_sets(*flat(a), *flat(b), threshold, alone) for r in zip(i.tolist(), j.tolist(), n.tolist())]
+            assert len({r[:2] for r in rows}) == len(rows)
+            assert {(i, j): n for i, j, n in rows if n / (len(a[i]) + len(b[j]) - n) >= threshold} == want and want
+
+
+def test_title_pairs_are_found_once(spark):
+    """The links in both directions come from one run of the set join."""
+    from newsflow.operators import dedup as D
+    news = spark.createDataFrame([(i, f"alpha beta gamma {i % 3}") for i in range(6)], "news_id long, title string")
+    both = D._both_ways(D.title_pairs(news, 0.5).selectExpr("'t' as kind", "a", "b"))
+    assert both._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    rows = {(r["a"], r["b"]) for r in both.collect()}
+    assert len(rows) == 6 and all((b, a) in rows for a, b in rows)
