@@ -212,6 +212,7 @@ def token_set_pairs(sets: DataFrame, key: str, tokens: str, threshold: float,
 
 # --- cosine ------------------------------------------------------------------------------------
 BLOCK_ROWS = 4096
+BLOCK_CELLS = 1 << 21
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -236,15 +237,15 @@ def _pivots(vectors: DataFrame, key: str, vector: str, count: int) -> list[list[
 
 
 def _cells(pivots: list[list[float]], reach: float):
-    """Arrow function: vector -> (unit vector, nearest pivot, pivots a partner may belong to)."""
+    """Arrow function: vector -> (nearest pivot, pivots a partner may belong to)."""
     centres = _matrix(pd.Series(pivots))
 
-    @F.pandas_udf("struct<u: array<double>, home: int, cells: array<int>>")
+    @F.pandas_udf("struct<home: int, cells: array<int>>")
     def assign(v: pd.Series) -> pd.DataFrame:
         u = _matrix(v)
         d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (u @ centres.T)))
         near = d <= d.min(axis=1, keepdims=True) + 2 * reach + 1e-9
-        return pd.DataFrame({"u": list(u), "home": d.argmin(axis=1).astype("int32"),
+        return pd.DataFrame({"home": d.argmin(axis=1).astype("int32"),
                              "cells": [np.flatnonzero(r).astype("int32") for r in near]})
     return assign
 
@@ -259,7 +260,8 @@ def cosine_matches(queries: DataFrame, store: DataFrame, threshold: float, query
 
     Unit vectors are split into cells around pivots; the triangle inequality says which cells
     can hold a partner, so no pair is missed. A crowded cell is cut into blocks of about
-    ``BLOCK_ROWS`` rows a side that are multiplied in separate tasks.
+    ``BLOCK_CELLS`` numbers a side, ``BLOCK_ROWS`` rows at least, that are multiplied in separate tasks. Each
+    vector goes to every block of the other side as it was given: the shuffle grows with rows x rows / rows a block.
     """
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
@@ -268,13 +270,14 @@ def cosine_matches(queries: DataFrame, store: DataFrame, threshold: float, query
     if not centres:
         return s.select(F.col("match_id").alias("query_id"), "match_id", F.lit(0.0).alias("score")).limit(0)
     assign = _cells(centres, reach)
-    probe = q.withColumn("c", assign("v")).select("query_id", F.col("c.u").alias("qv"), F.col("c.home").alias("cell"))
-    build = s.withColumn("c", assign("v")).select("match_id", F.col("c.u").alias("sv"), F.explode("c.cells").alias("cell"))
+    per_block = max(BLOCK_ROWS, BLOCK_CELLS // max(1, len(centres[0])))
+    probe = q.withColumn("c", assign("v")).select("query_id", F.col("v").alias("qv"), F.col("c.home").alias("cell"))
+    build = s.withColumn("c", assign("v")).select("match_id", F.col("v").alias("sv"), F.explode("c.cells").alias("cell"))
     kinds = {f.name: f.dataType.simpleString() for f in [*probe.schema.fields, *build.schema.fields]}
 
     def blocks(side: DataFrame) -> Column:  # one count per cell; there are at most ``pivots``
         rows = side.groupBy("cell").count().collect()
-        table = F.create_map(*[F.lit(x) for r in rows for x in (r["cell"], math.ceil(r["count"] / BLOCK_ROWS))]) \
+        table = F.create_map(*[F.lit(x) for r in rows for x in (r["cell"], math.ceil(r["count"] / per_block))]) \
             if rows else F.create_map().cast("map<int,int>")
         return F.coalesce(F.try_element_at(table, F.col("cell")), F.lit(0))
 
@@ -285,15 +288,32 @@ def cosine_matches(queries: DataFrame, store: DataFrame, threshold: float, query
              .withColumn("p", F.explode(F.sequence(F.lit(0), np_ - 1))).filter("p >= 0")
              .withColumn("b", F.col("b").cast("int")).withColumn("p", F.col("p").cast("bigint")))
 
+    def best_of(u: np.ndarray, v: np.ndarray, queries: np.ndarray, stored: np.ndarray, step: int) -> pd.DataFrame:
+        """The best match of each query in its block, ties to the smaller match_id (the first)."""
+        lo, hi = np.searchsorted(stored, queries, "left"), np.searchsorted(stored, queries, "right")
+        best_at, value = np.empty(len(u), np.int64), np.empty(len(u))
+        for first in range(0, len(u), step):
+            scores = u[first:first + step] @ v
+            for i in first + np.flatnonzero(hi[first:first + step] > lo[first:first + step]):
+                scores[i - first, lo[i]:hi[i]] = -np.inf  # itself
+            j = scores.argmax(axis=1)
+            best_at[first:first + step], value[first:first + step] = j, scores[np.arange(len(j)), j]
+        good = value >= threshold
+        return pd.DataFrame({"query_id": pd.Series(queries[good], dtype=queries.dtype),
+                             "match_id": pd.Series(stored[best_at[good]], dtype=stored.dtype), "score": value[good]})
+
     def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "match_id": [], "score": []})
         b = b.sort_values("match_id", kind="stable")
         queries, stored = a["query_id"].to_numpy(), b["match_id"].to_numpy()
-        u, v = np.array(a["qv"].tolist()), np.array(b["sv"].tolist()).T
+        u, v = _matrix(a["qv"]), _matrix(b["sv"]).T
+        step = max(1, BLOCK_CELLS // len(stored))
+        if best == 1 and np.isfinite(v).all() and not (a["query_id"].hasnans or b["match_id"].hasnans):
+            return best_of(u, v, queries, stored, step)
         out = []
-        for first in range(0, len(u), BLOCK_ROWS // 8):
-            scores = u[first:first + BLOCK_ROWS // 8] @ v
+        for first in range(0, len(u), step):
+            scores = u[first:first + step] @ v
             i, j = np.nonzero(scores >= threshold)
             value, i = scores[i, j], i + first
             other = queries[i] != stored[j]

@@ -499,3 +499,36 @@ def test_title_pairs_are_found_once(spark):
     assert both._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 1
     rows = {(r["a"], r["b"]) for r in both.collect()}
     assert len(rows) == 6 and all((b, a) in rows for a, b in rows)
+
+
+def test_best_match_against_brute_force(spark, monkeypatch):
+    """Best matches in many small blocks, with copies, zero vectors and ids that are strings."""
+    import numpy as np
+    rng = np.random.default_rng(9)
+    m = rng.standard_normal((60, 6))
+    m[50:] = m[:10]
+    m[3] = 0
+    m[20, 2] = np.nan
+    rows = [(f"k{i:02d}", x.tolist()) for i, x in enumerate(m)]
+    monkeypatch.setattr(S, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(S, "BLOCK_CELLS", 20)
+    df = spark.createDataFrame(rows, "id string, embedding array<double>")
+    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    scores = unit @ unit.T
+    np.fill_diagonal(scores, -2)
+    got = {r["query_id"]: r["max_similarity"] for r in S.max_similarity(df, df, 0.2).collect()}
+    scores = np.nan_to_num(scores, nan=-2)  # a vector that is no number matches nothing and hides nothing
+    want = {f"k{i:02d}": s.max() for i, s in enumerate(scores) if s.max() >= 0.2}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    first = {r["query_id"]: r["match_id"] for r in S.similar_topk(df, df, 0.2, 1).collect()}
+    assert first["k00"] == "k50" and first["k50"] == "k00"
+
+
+def test_vectors_are_sent_as_given(spark):
+    """Blocks receive each vector in the type of its table; the unit vectors in doubles are made there."""
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "id long, embedding array<float>")
+    assert S._cells([[1.0, 0.0]], 1.0).returnType.simpleString() == "struct<home:int,cells:array<int>>"
+    plan = S.cosine_matches(df, df, 0.2, best=1)._jdf.queryExecution().analyzed()
+    sent = [f for f in plan.children().head().output().mkString(";").split(";")]
+    assert any(f.startswith("qv#") for f in sent)
+    assert "array<double>" not in plan.children().head().schema().simpleString()
