@@ -78,19 +78,26 @@ def market_enrichment(bars: DataFrame, symbol: str = "symbol") -> DataFrame:
                       "ma50", side("ma50").alias("vs_ma50"), "volume", ratio.alias("volume_ratio"))
 
 
+def novelty_rule(text: Column, is_breaking: Column, shock=S.SHOCK_WORDS, fresh=S.NOVELTY_WORDS) -> Column:
+    """Novelty that the text alone decides; null if it depends on earlier texts."""
+    t = F.coalesce(text, F.lit(""))
+    low = F.lower(t)
+    shocks, news_words = count_found(low, shock), count_found(low, fresh)
+    return (F.when(t == "", 0.85).when(is_breaking, 1.0).when(shocks >= 2, 1.0).when(shocks == 1, 0.9)
+            .when(news_words >= 2, 0.85))
+
+
 def novelty(news: DataFrame, text: str = "text", id_col: str = "news_id", order: str = "captured_at",
             shock=S.SHOCK_WORDS, fresh=S.NOVELTY_WORDS, head_chars: int | None = None) -> DataFrame:
     """Novelty factor; a repeated text scores 0.1. ``head_chars`` (200 in the described system) compares heads only.
 
     Only texts that reach the repeat test are remembered, as in the rule order. First
     occurrences are found by an aggregate and flagged by id, so copies never meet in one task.
+    ``novelty_rule`` is used where the column is there, as from one pass over the distinct texts.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(t)
-    shocks, news_words = count_found(low, shock), count_found(low, fresh)
-    rated = news.withColumn("_rule", F.when(t == "", 0.85).when(F.col("is_breaking"), 1.0)
-                            .when(shocks >= 2, 1.0).when(shocks == 1, 0.9)
-                            .when(news_words >= 2, 0.85))
+    ready = "novelty_rule" in news.columns
+    rated = news.withColumn("_rule", F.col("novelty_rule") if ready else novelty_rule(F.col(text), F.col("is_breaking"), shock, fresh))
     firsts = (rated.filter("_rule is null")
               .groupBy(F.sha2(F.substring(t, 1, head_chars) if head_chars else t, 256).alias("h"))
               .agg(F.min(F.struct(order, id_col)).alias("f"))

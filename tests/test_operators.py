@@ -532,3 +532,16 @@ def test_vectors_are_sent_as_given(spark):
     sent = [f for f in plan.children().head().output().mkString(";").split(";")]
     assert any(f.startswith("qv#") for f in sent)
     assert "array<double>" not in plan.children().head().schema().simpleString()
+
+
+def test_title_rules_of_signal_scores_run_once(spark):
+    """The rules of the titles are worked out before the novelty reads them twice; a given rule changes no novelty."""
+    from newsflow.operators import windows as W
+    from newsflow.plans import QUERIES
+    plan = QUERIES["signal_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategic" not in plan and "RLIKE" not in plan and "lower(" not in plan
+    rows = [(i, t, i % 3 == 0, T0 + timedelta(minutes=i)) for i, t in enumerate(["a", "", "a", None, "shock crash plunge", "a", "b", "b"])]
+    df = spark.createDataFrame(rows, "news_id long, text string, is_breaking boolean, captured_at timestamp")
+    given = df.withColumn("novelty_rule", W.novelty_rule(F.col("text"), F.col("is_breaking")))
+    one, two = ({r["news_id"]: r["novelty"] for r in W.novelty(x).collect()} for x in (df, given))
+    assert one == two and len(one) == 8 and one[2] == 0.85 and one[5] == 0.1
